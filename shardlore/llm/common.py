@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words whose hashes a worker keeps at once (about 150 bytes each).
 HASH_CACHE = 400_000
@@ -115,3 +116,52 @@ def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+
+
+#: Bits of an id filter at most (8 MB), and bits an id.
+FILTER_BITS, BITS_PER_ID = 1 << 26, 8
+
+
+def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix64(ids.astype(np.int64).view(np.uint64))
+    return [(h % np.uint64(bits)).astype(np.int64), (mix64(h) % np.uint64(bits)).astype(np.int64), (mix64(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)]
+
+
+def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """rows whose id may be among ids: all that are, and a few percent of the others.
+
+    A Bloom filter of a bounded size drops most other rows where they are read,
+    before a join has to shuffle their texts; the join after it stays exact.
+    With more ids than the filter holds, rows are returned as they are.
+    """
+    spark = rows.sparkSession
+    n = ids.count()
+    bits = 1 << max(10, (n * BITS_PER_ID).bit_length())
+    if bits > FILTER_BITS:
+        return rows
+    (name,) = ids.columns
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_filter_places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits)))
+            words, heads = np.unique(at >> 6, return_index=True)
+            values = np.bitwise_or.reduceat(np.int64(1) << (at & 63), heads) if len(at) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values)], ["word", "value"])
+
+    table = np.zeros(bits // 64, np.int64)
+    for word, value in ids.select(F.col(name).cast("long")).mapInArrow(fill, "word long, value long").groupBy("word").agg(F.bit_or("value")).toLocalIterator():
+        table[word] = value
+    shared = spark.sparkContext.broadcast(table)  # at most FILTER_BITS / 8 bytes
+    place = rows.columns.index(id_col)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            column = batch.column(place)
+            good = ~column.is_null().to_numpy(zero_copy_only=False)
+            keys = column.fill_null(0).to_numpy(zero_copy_only=False)
+            for at in _filter_places(keys, bits):
+                good &= (bitmap[at >> 6] >> (at & 63) & 1).astype(bool)
+            yield batch.filter(pa.array(good))
+
+    return rows.mapInArrow(test, rows.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chain64, mix64, read_table, space_words, staged, text_batches
+from .common import WordHashes, chain64, maybe_among, mix64, read_table, space_words, staged, text_batches
 from .components import UnionFind, components
 
 SHINGLE = 5
@@ -226,12 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # classes of equal sets: pre-aggregated, one row a class goes on
     reps = feats.filter("f1 is not null and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("buckets").alias("buckets"))
     reps = staged(reps, "minhash-classes")
-    slots = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
-    heads = slots.groupBy("band", "bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = staged(slots.join(heads, ["band", "bucket"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).dropDuplicates(), "minhash-pairs")
+    slots = reps.select("rep", F.explode("buckets").alias("bucket"))  # a bucket's name holds its band
+    heads = slots.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = staged(slots.join(heads, "bucket").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).dropDuplicates(), "minhash-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).dropDuplicates()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = staged(shingle_sets(texts.join(ends, "id"), size).dropDuplicates(["id"]), "minhash-sets")
+    ends = staged(ends, "minhash-ends")
+    sets = staged(shingle_sets(maybe_among(texts, "id", ends), size).dropDuplicates(["id"]), "minhash-sets")
     links = staged(verified(pairs, sets, percent), "minhash-links")
     comps = components(links)
     rest = _unfinished(pairs, comps, sets, percent, block)
