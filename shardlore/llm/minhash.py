@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).dropDuplicates()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ends = staged(ends, "minhash-ends")
-    sets = staged(shingle_sets(maybe_among(texts, "id", ends), size).dropDuplicates(["id"]), "minhash-sets")
+    needed = maybe_among(texts, "id", ends).join(ends, "id", "left_semi").dropDuplicates(["id"])
+    sets = staged(shingle_sets(needed, size), "minhash-sets")
     links = staged(verified(pairs, sets, percent), "minhash-links")
     comps = components(links)
     rest = _unfinished(pairs, comps, sets, percent, block)
