@@ -1,6 +1,446 @@
-"""The engine's queries, by name, and their SQL."""
+"""The engine's queries over the given tables, by name, and their SQL for DuckDB.
+
+documents, pages and conversations stand for three corpora; lineitem, part and
+orders for large edge lists.  Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .functions.parse import split_c, split_kconfig, split_md, split_rst
+from .operators import bm25, fusion, graph, knn, parsing
+from .schema import SECTIONS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, with its SQL if there is any."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- corpora ---------------------------------------------------------------------
+
+#: corpus -> (table, id, repo, path, text, kind), the same in both dialects.
+CORPORA = {
+    "documents": ("documents", "doc_id", "source", "concat(source, '/', CAST(doc_id AS {s}), '.rst')", "text", "CASE WHEN lang = 'en' THEN 'rst' ELSE 'code' END"),
+    "pages": ("pages", "page_id", "'web'", "concat('web/', CAST(page_id AS {s}), '.html')", "html", "'html'"),
+    "conversations": ("conversations", "conv_id * 100000 + turn", "'chat'", "concat('chat/', CAST(conv_id AS {s}), '.md')", "text", "'rst'"),
+}
+
+
+def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source, ident, repo, path, text, kind = CORPORA[name]
+    rows = table(spark, sf_dir, source)
+    made = rows.selectExpr(f"'{name}' AS corpus", f"{ident} AS id", f"{repo} AS repo", path.format(s="STRING") + " AS file_path", "'' AS anchor", "'' AS breadcrumb", "'' AS header", "1 AS line_start", f"CAST(regexp_count({text}, '\\n') + 1 AS INT) AS line_end", f"{text} AS text", f"{kind} AS source_kind", "CAST(array() AS array<string>) AS all_anchors")
+    return made.select(SECTIONS.names)
+
+
+def corpora(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    out = corpus(spark, sf_dir, names[0])
+    for name in names[1:]:
+        out = out.unionByName(corpus(spark, sf_dir, name))
+    return out
+
+
+def corpora_sql(*names: str) -> str:
+    """CTE ``sections``."""
+    parts = []
+    for place, name in enumerate(names):
+        source, ident, repo, path, text, kind = CORPORA[name]
+        parts.append(f"SELECT '{name}' AS corpus, {place} AS place, {ident} AS id, {repo} AS repo, {path.format(s='VARCHAR')} AS file_path, {text} AS text, {kind} AS source_kind FROM {source}")
+    return "sections AS (" + " UNION ALL ".join(parts) + ")"
+
+
+TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '([\p{L}\p{N}\p{Co}_]+)', 1)"
+POSTINGS = f"""toks AS (SELECT corpus, place, id, {TOKENS} AS t FROM sections),
+  post AS (SELECT corpus, place, id, len(t) AS dl, unnest(t) AS term FROM toks),
+  stats AS (SELECT corpus, count(*) AS n_docs, sum(len(t)) / count(*) AS avgdl FROM toks GROUP BY corpus)"""
+TERMS = r"""terms AS (
+    SELECT qid, i AS phrase, lower(rtrim(t, '*')) AS term, ends_with(t, '*') AS is_prefix FROM (
+      SELECT qid, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT qid, regexp_extract_all(coalesce(query, ''), '[A-Za-z0-9_]+\*?') AS l FROM queries)
+      WHERE NOT list_has_any(l, ['OR*', 'AND*', 'NOT*'])))"""
+BM25 = f"""{POSTINGS}, {TERMS},
+  tf AS (
+    SELECT qid, corpus, place, phrase, id, dl, count(*) AS f FROM (
+      SELECT qid, corpus, place, phrase, id, dl FROM post JOIN terms ON post.term = terms.term WHERE NOT is_prefix
+      UNION ALL SELECT qid, corpus, place, phrase, id, dl FROM post JOIN (SELECT * FROM terms WHERE is_prefix) p ON starts_with(post.term, p.term))
+    GROUP BY ALL),
+  df AS (SELECT qid, corpus, phrase, count(*) AS nd FROM tf GROUP BY ALL),
+  idf AS (SELECT qid, df.corpus, phrase, avgdl, CASE WHEN ln((n_docs - nd + 0.5) / (nd + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - nd + 0.5) / (nd + 0.5)) END AS w FROM df JOIN stats ON df.corpus = stats.corpus),
+  scored AS (
+    SELECT tf.qid, tf.corpus, place, id, round(sum(w * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+    FROM tf JOIN idf ON tf.qid = idf.qid AND tf.corpus = idf.corpus AND tf.phrase = idf.phrase GROUP BY ALL),
+  keyword AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, corpus ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored) WHERE rank <= 50)"""
+BENCHMARK = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"
+
+
+def ranked(sections: DataFrame, queries: DataFrame) -> DataFrame:
+    columns = ("text",)
+    return bm25.bm25(queries, bm25.postings(sections, columns), bm25.corpus_stats(sections, columns))
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+# --- full text -------------------------------------------------------------------
+
+
+@query(f"WITH {corpora_sql('documents')}, {POSTINGS} SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n_occ FROM post GROUP BY term")
+def tokens_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post = bm25.postings(corpus(spark, sf_dir, "documents"), ("text",))
+    return post.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_occ"))
+
+
+@query(f"WITH {corpora_sql(*CORPORA)}, {POSTINGS} SELECT corpus, n_docs, round(avgdl, 6) AS avgdl FROM stats")
+def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.corpus_stats(corpora(spark, sf_dir, *CORPORA), ("text",)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+def _keyword(name: str, text: str) -> None:
+    sql = f"WITH {corpora_sql('documents')}, queries AS (SELECT 0 AS qid, '{text}' AS query), {BM25} SELECT id, rank, round(score, 6) AS score FROM keyword"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        asked = spark.createDataFrame([(0, text)], "qid int, query string")
+        return ranked(corpus(spark, sf_dir, "documents"), asked).select("id", "rank", F.round("score", 6).alias("score"))
+
+    query(sql, name)(run)
+
+
+_keyword("bm25_exact", "tionening handor erthation")
+_keyword("bm25_prefix", "eren* the")
+_keyword("bm25_repeat_term", "ation ation hering")
+_keyword("bm25_common_terms", "the of and to")
+_keyword("bm25_void_query", "the OR* of")
+_keyword("bm25_no_terms", "??? ...")
+
+
+@query(f"WITH {BENCHMARK}, {TERMS} SELECT qid, phrase, term, is_prefix FROM terms")
+def fts_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = benchmark_queries(spark, sf_dir).select("qid", F.posexplode(tx.query_terms(F.col("query"))).alias("phrase", "t"))
+    return terms.select("qid", (F.col("phrase") + 1).cast("long").alias("phrase"), "t.term", "t.is_prefix")
+
+
+@query(f"WITH {corpora_sql('documents')}, {BENCHMARK}, {BM25} SELECT qid, id, rank, round(score, 6) AS score FROM keyword")
+def bm25_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked(corpus(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir))
+    return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+# --- vectors ----------------------------------------------------------------------
+
+COSINE = "abs(round(1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform({b}, lambda x: CAST(x AS DOUBLE) * x)))), 6))"
+
+
+@query("SELECT v.vec_id AS id, " + COSINE.format(a="v.embedding", b="q.embedding") + " AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, id LIMIT 50")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return knn.nearest(vectors, vectors.filter("id = 0").first()["embedding"])
+
+
+@query("SELECT qid, id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, " + COSINE.format(a="v.embedding", b="q.embedding") + " AS distance FROM embeddings v, embeddings q)) WHERE rank <= 10")
+def cosine_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("documents").alias("corpus"), F.col("vec_id").alias("id"), "embedding")
+    return knn.nearest_batch(vectors, vectors.select(F.col("id").alias("qid"), "embedding"), 10).select("qid", "id", "distance", "rank")
+
+
+# --- fusion ------------------------------------------------------------------------
+
+SEMANTIC = """semantic AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM (
+      SELECT b.item_id AS qid, 'documents' AS corpus, v.vec_id AS id, """ + COSINE.format(a="v.embedding", b="q.embedding") + """ AS distance
+      FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v)) WHERE rank <= 50)"""
+FUSED = """sums AS (SELECT qid, corpus, id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(list * 1000 + rank) AS first FROM lists GROUP BY ALL)
+SELECT qid, corpus, id, round(rrf, 9) AS rrf, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first, corpus, id) AS n FROM sums) WHERE n <= 8"""
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("documents").alias("corpus"), F.col("vec_id").alias("id"), "embedding")
+    asked = benchmark_queries(spark, sf_dir).join(vectors.drop("corpus"), F.col("qid") == F.col("id")).select("qid", "embedding")
+    return knn.nearest_batch(vectors, asked)
+
+
+def _fused(lists: list[DataFrame]) -> DataFrame:
+    return fusion.fuse(lists, 8).select("qid", "corpus", "id", F.round("rrf", 9).alias("rrf"), "place")
+
+
+@query(f"WITH {corpora_sql('documents')}, {BENCHMARK}, {BM25}, {SEMANTIC}, lists AS (SELECT qid, corpus, id, rank, 0 AS list FROM keyword UNION ALL SELECT qid, corpus, id, rank, 1 FROM semantic), {FUSED}")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused([ranked(corpus(spark, sf_dir, "documents"), benchmark_queries(spark, sf_dir)), _semantic(spark, sf_dir)])
+
+
+@query(f"WITH {corpora_sql(*CORPORA)}, {BENCHMARK}, {BM25}, lists AS (SELECT qid, corpus, id, rank, place AS list FROM keyword), {FUSED}")
+def rrf_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked(corpora(spark, sf_dir, *CORPORA), benchmark_queries(spark, sf_dir))
+    return _fused([found.filter(F.col("corpus") == name) for name in CORPORA])
+
+
+@query(
+    f"WITH {corpora_sql('documents')}, {BENCHMARK}, {BM25}, {SEMANTIC}, kinds AS (SELECT id FROM sections WHERE source_kind = 'code'),"
+    " lists AS (SELECT qid, corpus, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank, 0 AS list FROM keyword WHERE id IN (SELECT id FROM kinds)"
+    f" UNION ALL SELECT qid, corpus, id, row_number() OVER (PARTITION BY qid ORDER BY rank), 1 FROM semantic WHERE id IN (SELECT id FROM kinds)), {FUSED}"
+)
+def rrf_kind_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = corpus(spark, sf_dir, "documents")
+    lists = [ranked(sections, benchmark_queries(spark, sf_dir)), _semantic(spark, sf_dir)]
+    return _fused([fusion.keep_kinds(one.select("qid", "corpus", "id", "rank"), sections, ["code"]) for one in lists])
+
+
+# --- sections and documents -----------------------------------------------------------
+
+SNIPPET = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"WITH {corpora_sql(*CORPORA)} SELECT corpus, id, CASE WHEN length({SNIPPET}) > 320 THEN left({SNIPPET}, 320) || '…' ELSE {SNIPPET} END AS snippet, file_path || ':1-' || CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS VARCHAR) AS citation FROM sections")
+def snippet_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = tx.citation(F.col("file_path"), F.col("anchor"), F.col("line_start"), F.col("line_end"))
+    return corpora(spark, sf_dir, *CORPORA).select("corpus", "id", tx.snippet(F.col("text")).alias("snippet"), cited.alias("citation"))
+
+
+@query(f"WITH {corpora_sql('documents')} SELECT 'documents:' || CAST(id AS VARCHAR) AS id, repo, file_path, source_kind, text FROM sections WHERE id = 7")
+def get_section_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus(spark, sf_dir, "documents").filter("id = 7")
+    return found.select(tx.id_text(F.col("corpus"), F.col("id"), True).alias("id"), "repo", "file_path", "source_kind", "text")
+
+
+@query(f"WITH {corpora_sql('documents')} SELECT file_path, len(string_split(text, chr(10))) AS lines FROM sections")
+def get_doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir, "documents").select("file_path", tx.line_count(F.col("text")).alias("lines"))
+
+
+@query(f"WITH {corpora_sql(*CORPORA)} SELECT source_kind, count(*) AS n, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM sections GROUP BY source_kind")
+def est_tokens_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora(spark, sf_dir, *CORPORA).groupBy("source_kind").agg(F.count(F.lit(1)).alias("n"), F.sum(tx.est_tokens(F.col("text"))).alias("tokens"))
+
+
+@query(f"WITH {corpora_sql(*CORPORA)} SELECT corpus, count(*) FILTER (length(text) // 4 > 1000) AS over_code, count(*) FILTER (length(text) // 4 > 1500) AS over_prose FROM sections GROUP BY corpus")
+def oversize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = tx.est_tokens(F.col("text"))
+    return corpora(spark, sf_dir, *CORPORA).groupBy("corpus").agg(F.count_if(size > 1000).alias("over_code"), F.count_if(size > 1500).alias("over_prose"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT id, lines, unnest(range(0, len(lines), 15)) AS off FROM l)
+SELECT id, off + 1 AS line_start, least(off + 20, len(lines)) AS line_end, array_to_string(lines[off + 1:off + 20], chr(10)) AS window_text
+FROM w WHERE (off = 0 OR off + 5 < len(lines)) AND len(list_filter(lines[off + 1:off + 20], lambda x: trim(x) <> '')) > 0
+""")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.line_windows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 20, 5)
+
+
+@query(r"""
+WITH RECURSIVE l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS lines, length(text) // 4 > 1000 AS big FROM documents),
+c AS (
+  SELECT id, lines, 1 AS n, 1 AS start, greatest(1, length(lines[1]) // 4) + 1 AS load FROM l WHERE big
+  UNION ALL
+  SELECT id, lines, n + 1, CASE WHEN load + greatest(1, length(lines[n + 1]) // 4) + 1 > 800 THEN n + 1 ELSE start END,
+    CASE WHEN load + greatest(1, length(lines[n + 1]) // 4) + 1 > 800 THEN greatest(1, length(lines[n + 1]) // 4) + 1 ELSE load + greatest(1, length(lines[n + 1]) // 4) + 1 END
+  FROM c WHERE n < len(lines)
+)
+SELECT id, CAST(start AS BIGINT) AS line_start, CAST(max(n) AS BIGINT) AS line_end, md5(array_to_string(any_value(lines)[start:max(n)], chr(10))) AS body_md5 FROM c GROUP BY id, start
+UNION ALL SELECT id, 1, len(lines), md5(array_to_string(lines, chr(10))) FROM l WHERE NOT big
+""")
+def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(parsing.packed_lines(F.col("text"), 1000, 800)).alias("p"))
+    return packed.select("id", "p.line_start", "p.line_end", F.md5("p.body").alias("body_md5"))
+
+
+@query("SELECT doc_id AS old_id, 'documents' AS corpus, row_number() OVER (ORDER BY source, doc_id) AS id FROM documents UNION ALL SELECT conv_id * 100000 + turn, 'conversations', row_number() OVER (ORDER BY conv_id, turn) + (SELECT count(*) FROM documents) FROM conversations")
+def union_offset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.array(F.col("source"), F.format_string("%012d", "doc_id")).alias("file_key"), F.lit(0).alias("ord"), F.col("doc_id").alias("old_id"), F.lit("documents").alias("corpus"))
+    turns = table(spark, sf_dir, "conversations").select(F.array(F.format_string("%012d", "conv_id")).alias("file_key"), F.col("turn").cast("int").alias("ord"), (F.col("conv_id") * 100000 + F.col("turn")).alias("old_id"), F.lit("conversations").alias("corpus"))
+    return parsing.offset_union(parsing.number(docs), parsing.number(turns)).select("old_id", "corpus", "id")
+
+
+@query(f"WITH {corpora_sql(*CORPORA)} SELECT corpus, count(*) AS section_count, string_agg(DISTINCT source_kind || ':' || CAST(n AS VARCHAR), ',' ORDER BY source_kind || ':' || CAST(n AS VARCHAR)) AS source_kinds FROM (SELECT *, count(*) OVER (PARTITION BY corpus, source_kind) AS n FROM sections) GROUP BY corpus")
+def meta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = corpora(spark, sf_dir, *CORPORA).groupBy("corpus", "source_kind").agg(F.count(F.lit(1)).alias("n"))
+    text = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "source_kind", F.col("n").cast("string")))), ",")
+    return kinds.groupBy("corpus").agg(F.sum("n").alias("section_count"), text.alias("source_kinds"))
+
+
+# --- the graph -------------------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as edges from orders to parts; parts over size 25 don't resolve."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    known = table(spark, sf_dir, "part").filter("p_size <= 25").select("p_partkey")
+    edges = lines.join(known, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return edges.select(F.col("l_orderkey").alias("src_id"), F.lit("ref").alias("kind"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("target_raw"), F.col("p_partkey").alias("resolved_id"), ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).cast("long").alias("edge"))
+
+
+EDGES = "edges AS (SELECT l_orderkey AS src_id, 'part-' || CAST(l_partkey AS VARCHAR) AS target_raw, p_partkey AS resolved_id, CAST((l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey AS BIGINT) AS edge FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON l_partkey = p_partkey)"
+
+
+@query("SELECT l_orderkey AS src_id, l_linenumber AS pos, 'brand-' || CAST(l_suppkey % 60 AS VARCHAR) AS target_raw, id AS resolved_id FROM lineitem LEFT JOIN (SELECT replace(lower(p_brand), '#', '-') AS anchor, min(p_partkey) AS id FROM part GROUP BY ALL) ON 'brand-' || CAST(l_suppkey % 60 AS VARCHAR) = anchor")
+def links_resolve_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-"))).alias("all_anchors"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("brand-"), (F.col("l_suppkey") % 60).cast("string")).alias("target_raw"))
+    found = edges.join(graph.anchor_map(sections), F.col("target_raw") == F.col("anchor"), "left")
+    return found.select("src_id", "pos", "target_raw", F.col("id").alias("resolved_id"))
+
+
+@query("SELECT anchor, min(p_partkey) AS id FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS anchor FROM part) GROUP BY anchor")
+def links_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.anchor_map(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type").alias("all_anchors")))
+
+
+@query(f"WITH {EDGES} SELECT count(*) AS n_links, count(resolved_id) AS n_resolved FROM edges")
+def resolved_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("resolved_id").isNotNull()).alias("n_resolved"))
+
+
+def _related(direction: str, asked: str, key: str) -> None:
+    ends = {"out": ("src_id", "resolved_id IS NOT NULL", "resolved_id"), "in": ("resolved_id", "resolved_id IS NOT NULL", "src_id"), "unresolved": ("src_id", "resolved_id IS NULL", "CAST(NULL AS BIGINT)")}
+    own, fit, other = ends[direction]
+    sql = f"WITH {EDGES} SELECT {own} AS asked_id, CAST(pos AS INTEGER) AS pos, target_raw, {other} AS id FROM (SELECT *, row_number() OVER (PARTITION BY {own} ORDER BY edge) AS pos FROM edges WHERE {fit}) WHERE pos <= 20"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = table(spark, sf_dir, asked).select(F.col(key).alias("id"))
+        ends = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).union(table(spark, sf_dir, "orders").select("o_orderkey")).distinct()
+        found = graph.related(_edges(spark, sf_dir), ends, ids)
+        return found.filter(F.col("direction") == direction).select("asked_id", "pos", "target_raw", "id")
+
+    query(sql, f"related_{direction}")(run)
+
+
+_related("out", "orders", "o_orderkey")
+_related("in", "part", "p_partkey")
+_related("unresolved", "orders", "o_orderkey")
+
+URL_PATH = r"regexp_extract(url, '://[^/?#]*/([^?#]*)', 1)"
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT {URL_PATH} AS path FROM pages WHERE {URL_PATH} <> ''),
+s AS (SELECT path, array_to_string(string_split(path, '/')[unnest(range(1, len(string_split(path, '/')) + 1)):], '/') AS suffix FROM k)
+SELECT suffix, min(path) AS path FROM s GROUP BY suffix HAVING count(*) = 1
+""")
+def suffix_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"://[^/?#]*/([^?#]*)", 1).alias("path")).filter("path <> ''").distinct()
+    return graph.unique_suffixes(keys.withColumn("key", F.col("path")), "key", "path")
+
+
+@query(r"""
+WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+p AS (SELECT page_id, ltrim(regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1), '/') AS path FROM pages), m AS (SELECT path, min(page_id) AS id FROM p WHERE path <> '' GROUP BY path)
+SELECT h.page_id AS src_id, href, m.id AS resolved_id, count(*) AS n FROM h LEFT JOIN m ON ltrim(href, '/') = m.path GROUP BY ALL
+""")
+def href_extract_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    hrefs = pages.select(F.col("page_id").alias("src_id"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    paths = pages.select("page_id", F.ltrim(F.regexp_extract("url", r"://[^/?#]*(/[^?#]*)", 1), F.lit("/")).alias("path")).filter("path <> ''")
+    found = paths.groupBy("path").agg(F.min("page_id").alias("resolved_id"))
+    return hrefs.join(found, F.ltrim(F.col("href"), F.lit("/")) == F.col("path"), "left").groupBy("src_id", "href", "resolved_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def html_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: SQL has no HTML parser; tests hold the parser against pages of known text."""
+    pages = table(spark, sf_dir, "pages").select(F.array(F.format_string("%012d", "page_id")).alias("file_key"), F.lit("web").alias("docset"), F.concat(F.lit("web/"), F.col("page_id").cast("string")).alias("docname"), F.encode("html", "utf-8").alias("content"))
+    return parsing.number(parsing.parse_pages(pages)).select("id", "docname", "header", "breadcrumb", "text")
+
+
+# --- parsers on inline sources, against rows derived by hand -----------------------------------
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+SECTION_COLUMNS = "anchor, breadcrumb, header, line_start, line_end"
+
+
+def _parsed(spark: SparkSession, parser: Callable, source: str, rel: str) -> DataFrame:
+    """The parser run on the workers, over a one-row table of the source."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(s.anchor, s.breadcrumb, s.header, s.line_start, s.line_end) for text in batch["text"] for s in parser(text, "repo", rel)]
+            yield pd.DataFrame(rows, columns=SECTION_COLUMNS.split(", "))
+
+    return spark.createDataFrame([(source,)], "text string").mapInPandas(run, "anchor string, breadcrumb string, header string, line_start int, line_end int")
+
+
+RST = "lost text\n\n.. _top:\n\nTitle\n=====\n\nIntro :ref:`top`.\n\n.. _part_a:\n\nPart A\n------\n\nBody.\n\nPart B\n------\n\nEnd.\n"
+C = '// SPDX: none\n#include "a.h"\n#define LIMIT 10\n\nstruct point {\n\tint x;\n};\n\n/** Adds. */\nint add(int a, int b)\n{\n\treturn a + b;\n}\n\nint later(void);\n'
+KCONFIG = 'menu "Options"\n\nconfig FAST\n\tbool "Be fast"\n\thelp\n\t  Speeds up.\n\nconfig SIZE\n\tint\n\tdefault 3\n\nendmenu\n'
+MD = "# One\ntext\n```\n# not a heading\n```\n## Two\nmore\n# Three\n"
+
+
+@query(_values(SECTION_COLUMNS, [("top", "Title", "Title", 3, 8), ("part_a", "Title > Part A", "Part A", 10, 15), ("", "Title > Part B", "Part B", 17, 20)]))
+def rst_sections_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, split_rst, RST, "repo/a.rst")
+
+
+@query(_values(SECTION_COLUMNS, [("", "One", "One", 1, 5), ("", "One > Two", "Two", 6, 7), ("", "Three", "Three", 8, 8)]))
+def md_sections_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, split_md, MD, "repo/a.md")
+
+
+@query(_values(SECTION_COLUMNS, [("", "repo > a.c", "", 2, 2), ("LIMIT", "repo > a.c > LIMIT", "#define LIMIT 10", 3, 3), ("point", "repo > a.c > point", "struct point", 5, 7), ("add", "repo > a.c > add", "int add(int a, int b)", 9, 13), ("", "repo > a.c", "", 15, 15)]))
+def c_symbols_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, split_c, C, "a.c")
+
+
+@query(_values(SECTION_COLUMNS, [("", 'repo > Kconfig > menu "Options"', 'menu "Options"', 1, 1), ("CONFIG_FAST", "repo > Kconfig > CONFIG_FAST", "Be fast", 3, 6), ("CONFIG_SIZE", "repo > Kconfig > CONFIG_SIZE", "SIZE", 8, 10), ("", "repo > Kconfig > endmenu", "endmenu", 12, 12)]))
+def kconfig_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, split_kconfig, KCONFIG, "Kconfig")
+
+
+@query(_values("pos, kind, target", [(0, "ref", "top"), (1, "doc", "guide/a"), (2, "option", "CONFIG_X"), (3, "file", "b.c")]))
+def role_links_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = "See :ref:`The top <top>`, :doc:`/guide/a`, :option:`CONFIG_X` and :ref:`top`; :file:`~b.c`, :other:`x`."
+    links = spark.createDataFrame([(source,)], "text string").select(F.posexplode(tx.role_links(F.col("text"))).alias("pos", "l"))
+    return links.select("pos", "l.kind", "l.target")
+
+
+PATHS = [("a/b/../c", "a/c"), ("./x//y/", "x/y"), ("../../z", "../../z"), ("a/..", "."), ("/../k", "/k"), ("", ".")]
+
+
+@query(_values("path, normal", PATHS))
+def path_normalise_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p, _ in PATHS], "path string").select("path", tx.normal_path(F.col("path")).alias("normal"))
+
+
+EDGE_TARGETS = [(1, "a/p#x", 1), (2, "b/q#x", 3), (3, "zz#x", 1), (4, "b/q", 3), (5, "b/q#none", None), (6, "a/p#", 1), (7, "nowhere", None)]
+
+
+@query(_values("src_id, target_raw, resolved_id", EDGE_TARGETS))
+def page_edges_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.createDataFrame([(1, "a/p", ["x"]), (2, "a/p", ["y"]), (3, "b/q", ["x"])], "id int, docname string, all_anchors array<string>")
+    edges = spark.createDataFrame([(s, t) for s, t, _ in EDGE_TARGETS], "src_id int, target_raw string")
+    return graph.resolve_pages(edges, *graph.page_maps(pages)).select("src_id", "target_raw", "resolved_id")
+
+
+DOC_TARGETS = [("k/one.rst", "two", 2), ("k/one.rst", "../m/three", 3), ("k/one.rst", "three", 3), ("k/one.rst", "ext:two", None), ("k/one.rst", "/k/two", 2), ("k/one.rst", "same", None), ("k/one.rst", "/two", 2)]
+
+
+@query(_values("src_path, target_raw, resolved_id", DOC_TARGETS))
+def doc_edges_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([("k/one.rst", 1), ("k/two.rst", 2), ("m/three.md", 3), ("m/same.rst", 4), ("n/same.rst", 5)], "file_path string, id int")
+    edges = spark.createDataFrame([(p, t) for p, t, _ in DOC_TARGETS], "src_path string, target_raw string")
+    return graph.resolve_docs(edges, graph.doc_map(docs)).select("src_path", "target_raw", "resolved_id")
