@@ -129,8 +129,8 @@ def reduced(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def packed(kind: str, level: int, bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[str, int, int, int, bytes]]:
-    """(kind, level, bucket, n, bytes of the arrays) per bucket."""
-    order = np.argsort(bucket, kind="stable")
+    """(kind, level, bucket, n, bytes of the arrays) per bucket. Rows go by the first array, so that its repeats compress."""
+    order = np.lexsort((arrays[0], bucket))
     names, heads = np.unique(bucket[order], return_index=True)
     for b, rows in zip(names.tolist(), np.split(order, heads[1:]), strict=True):
         yield kind, level, b, len(rows), b"".join(np.ascontiguousarray(a[rows]).tobytes() for a in arrays)
@@ -165,9 +165,9 @@ def count_ngrams(texts: DataFrame, order: int, grid: int) -> DataFrame:
             stream, at, _ = streams(waiting, order)
             grams = np.stack([stream[at - k] for k in range(order - 1, -1, -1)], axis=1)
             words, counts, _ = reduced(grams, np.ones(len(grams), np.uint64))
-            rows = list(packed("g", order, bucket_of(words, grid), [words, counts.astype(np.uint32)]))
+            rows = list(packed("g", order, bucket_of(words, grid), [*words.T, counts.astype(np.uint32)]))
             words, counts, _ = reduced(stream[at][:, None], np.ones(len(at), np.uint64))
-            return _table(rows + list(packed("u", 1, bucket_of(words, grid), [words, counts.astype(np.uint32)])))
+            return _table(rows + list(packed("u", 1, bucket_of(words, grid), [*words.T, counts.astype(np.uint32)])))
 
         for _, texts_ in text_batches(batches, "id", "text", 2_000_000):
             for text in texts_:
@@ -189,7 +189,7 @@ def _level(base: str, grid: int):
         kind, level, bucket = frame["kind"].iloc[0], int(frame["level"].iloc[0]), int(frame["bucket"].iloc[0])
         words, counts = [], []
         for n, body in zip(frame["n"], frame["body"], strict=True):
-            words.append(np.frombuffer(body, np.uint64, n * level).reshape(n, level))
+            words.append(np.frombuffer(body, np.uint64, n * level).reshape(level, n).T)
             counts.append(np.frombuffer(body, np.uint32, n, n * level * 8).astype(np.uint64))
         grams, counts, h = reduced(np.concatenate(words), np.concatenate(counts))
         write_shard(base, f"{kind}{level}-{bucket}", [h, counts])
@@ -203,7 +203,7 @@ def _level(base: str, grid: int):
             sums = [np.add.reduceat(x.astype(np.uint64), heads) for x in (c, c == 1, c == 2, c > 2)]
             rows += packed("c", level, (context[heads] % np.uint64(grid * grid)).astype(np.int64), [context[heads], *sums])
             lower, kinds, _ = reduced(grams[:, 1:], np.ones(len(grams), np.uint64))
-            rows += packed("g", level - 1, bucket_of(lower, grid), [lower, kinds.astype(np.uint32)])
+            rows += packed("g", level - 1, bucket_of(lower, grid), [*lower.T, kinds.astype(np.uint32)])
         return pd.DataFrame(rows, columns=[f.name for f in _PACK])
 
     return run
