@@ -33,7 +33,7 @@ from typing import Any
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,26 +173,35 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame
     return records.select(F.col(id_col).cast("long").alias("id"), F.col(json_col).alias("json")).mapInArrow(run, "id long, layout string, turn long, role string, text string")
 
 
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _step_turns(df: DataFrame, step: tuple[str, ...]) -> Column:
+    """One step of a mapping as an array of turns."""
+    if step[0] == "*":
+        _, where, role, text = step
+        messages = F.coalesce(F.col(where), F.array().cast(df.schema[where].dataType))
+        named = lambda r: F.coalesce(*[F.when(r == k, F.lit(v)) for k, v in ROLES.items()], r, F.lit(""))
+        return F.transform(messages, lambda m: _turn(named(m[role]), m[text]))
+    if step[0] == "#":
+        _, where, *roles = step
+        exchanges = F.coalesce(F.col(where), F.array().cast(df.schema[where].dataType))
+        pairs = F.flatten(F.transform(exchanges, lambda m: F.array(*[F.struct(F.lit(r).alias("role"), m[r].alias("text")) for r in roles])))
+        return F.filter(pairs, lambda t: t["text"].isNotNull())
+    if len(step) == 4:
+        extra = F.when(F.coalesce(F.col(step[3]), F.lit("")) != "", F.concat(F.lit(step[2]), F.col(step[3]))).otherwise("")
+        return F.array(_turn(F.lit(step[0]), F.concat(F.coalesce(F.col(step[1]), F.lit("")), extra)))
+    return F.array(_turn(F.lit(step[0]), F.col(step[1])))
+
+
 def mapped_frame(df: DataFrame, id_col: str) -> DataFrame:
     """The same for a typed table: its schema's fingerprint selects the mapping once, and no Python runs on the rows."""
     shape = T.StructType([f for f in df.schema.fields if f.name != id_col])
     layout = fingerprint(field_paths(shape))
     if layout not in MAPPINGS:
         raise ValueError(f"no mapping for the layout {field_paths(shape)}")
-    turn = lambda role, text: F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    parts = []
-    for step in MAPPINGS[layout]:
-        if step[0] == "*":
-            named = lambda r: F.coalesce(*[F.when(r == k, F.lit(v)) for k, v in ROLES.items()], r, F.lit(""))
-            parts.append(F.transform(F.coalesce(F.col(step[1]), F.array().cast(df.schema[step[1]].dataType)), lambda m, s=step, f=named: turn(f(m[s[2]]), m[s[3]])))
-        elif step[0] == "#":
-            pairs = F.flatten(F.transform(F.col(step[1]), lambda m, s=step: F.array(*[F.struct(F.lit(r).alias("role"), m[r].alias("text")) for r in s[2:]])))
-            parts.append(F.filter(pairs, lambda t: t["text"].isNotNull()))
-        elif len(step) == 4:
-            extra = F.when(F.coalesce(F.col(step[3]), F.lit("")) != "", F.concat(F.lit(step[2]), F.col(step[3]))).otherwise("")
-            parts.append(F.array(turn(F.lit(step[0]), F.concat(F.coalesce(F.col(step[1]), F.lit("")), extra))))
-        else:
-            parts.append(F.array(turn(F.lit(step[0]), F.col(step[1]))))
+    parts = [_step_turns(df, step) for step in MAPPINGS[layout]]
     exploded = df.select(F.col(id_col).alias("id"), F.posexplode(F.concat(*parts)).alias("turn", "t"))
     return exploded.select("id", F.lit(layout).alias("layout"), F.col("turn").cast("long"), "t.role", "t.text")
 

@@ -157,7 +157,7 @@ class _Draw:
 
     def like(self, text: str) -> str:
         """The same format: digit for digit, letter for letter; hex stays hex."""
-        hexed = re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", text) is not None
+        hexed = re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", text) is not None and not text.isdigit()
         out = []
         for c in text:
             if hexed:
@@ -199,7 +199,7 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         script, *gender, _ = canon.split(":")
         names = FIRST[script, gender[0] or "mf"[draw.below(2)]] if kind == "first" else LAST[script]
         name = names[draw.below(len(names))]
-        extra = "".join(SYLLABLES[script][draw.below(10)] for _ in range(min(attempt, 8)))
+        extra = "".join(SYLLABLES[script][draw.below(10)] for _ in range(min(max(0, attempt - 1), 8)))
         return ":".join([script, *gender, (name + extra).casefold()])
     return draw.like(canon)
 
