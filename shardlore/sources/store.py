@@ -83,7 +83,8 @@ def open_corpus(spark: SparkSession, path: str, name: str | None = None) -> Corp
     if not meta.get("docs_root_relative"):
         raise ValueError(f"{path} has no docs_root_relative")
     kind = "html" if meta.get("source_format") == "html" else "rst"
-    root = posixpath.normpath(posixpath.join(posixpath.dirname(path), meta["docs_root_relative"]))
+    root = meta["docs_root_relative"]
+    root = posixpath.normpath(root if "://" in root or root.startswith("file:") else posixpath.join(posixpath.dirname(path), root))
     return Corpus(name or corpus_name(path, set()), path, root, kind, "source_kind" in tables["sections"].columns, meta.get("embed_model", ""), tables)
 
 

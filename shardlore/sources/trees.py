@@ -7,6 +7,8 @@ with malformed bytes replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,19 @@ WINDOWED = ("asm", "cmake", "conf", "dts", "dtsi", "ld", "overlay", "s", "yaml",
 MAX_BYTES, PROBE_BYTES = 1_500_000, 8192
 
 
+def relative(root: str) -> Column:
+    """The reader's path column, relative to root."""
+    base = re.sub("^[a-z0-9]+:/*|^/+", "", root.rstrip("/"))
+    return F.substring(F.regexp_replace("path", "^[a-z0-9]+:/*", ""), len(base) + 2, 1 << 30)
+
+
 def tree(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """(path, rel, length, content) of all files below root; rel is relative to it."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(root)
-    base = root.rstrip("/").removeprefix("file:").lstrip("/")
-    rel = F.substring_index(F.col("path"), F.lit(f"/{base}/"), -1) if base else F.col("path")
-    return files.select("path", F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("rel"), "length", "content")
+    return files.select("path", relative(root).alias("rel"), "length", "content")
 
 
 def decode(content: Column) -> Column:

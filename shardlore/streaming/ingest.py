@@ -9,18 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql import functions as F
 
 from ..operators.parsing import parse_prose
-from ..sources.trees import doc_files
+from ..sources.trees import doc_files, relative
 
 
 def prose_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
     """Sections of each new RST or Markdown file below root."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = files.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(root)
-    base = root.rstrip("/").removeprefix("file:").lstrip("/")
-    return parse_prose(doc_files(files.withColumn("rel", F.substring_index("path", f"/{base}/", -1))))
+    return parse_prose(doc_files(files.withColumn("rel", relative(root))))
 
 
 def write_sections(sections: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
