@@ -1,0 +1,22 @@
+"""Each training-data query against its SQL in DuckDB, on the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from shardlore.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows(spark, sf_dir, name):
+    con = duckdb.connect()
+    for path in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    frame = QUERIES[name](spark, sf_dir)
+    columns = sorted(frame.columns)
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    want = [tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()]
+    assert sorted(map(tuple, frame.select(columns).collect()), key=str) == sorted(want, key=str)
