@@ -15,8 +15,9 @@ Formatting is reversible for any text: ``\x`` is read as ``x``.
 
 *Loss mask.* The inside of each assistant turn, as code point ranges of the output.
 
-:func:`format_turns` streams rows sorted by conversation and turn: one turn is
-in memory at a time, also for a conversation with a third of all rows.
+:func:`format_turns` and :func:`digests` stream rows sorted by conversation and
+turn: one batch of turns is in memory at a time, also for a conversation with a
+third of all rows.
 
 Edge cases: a null text is empty, a null role is ``""``.  Rows with a null
 conv_id are one conversation.  Turns of equal number go by role and text;
@@ -208,12 +209,16 @@ def mapped_frame(df: DataFrame, id_col: str) -> DataFrame:
 
 # --- formatting ---------------------------------------------------------------
 
-DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("formatted_sha256", pa.string())])
+DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+READ = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("size", pa.int64())])
 
 
-def sorted_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, role, text), each conversation in one partition and in order."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def clean_turns(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Each conversation in one partition and in order; the sort spills, so its length doesn't matter."""
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
@@ -235,20 +240,43 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 at, k = at + len(piece), k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return sorted_turns(turns).mapInArrow(run, "conv_id long, turn long, piece string, loss_start long, loss_end long")
+    return in_order(clean_turns(turns)).mapInArrow(run, "conv_id long, turn long, piece string, loss_start long, loss_end long")
+
+
+def read_back(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, size): each turn is formatted where it lies, and read back from its output."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roles, texts, sizes = [], [], []
+            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                piece = format_turn(role, text)
+                role, text, _, end = parse_turn(piece, 0)  # from here on only what the output says
+                if end != len(piece):
+                    raise ValueError("a turn was cut short")
+                roles.append(role)
+                texts.append(text)
+                sizes.append(end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], schema=READ)
+
+    return clean_turns(turns).mapInArrow(run, "conv_id long, turn long, role string, text string, size long")
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation what is read back from its formatted output (see DIGEST), piece by piece."""
+    """Per conversation what is read back from its formatted output (see DIGEST).
+
+    A digest of a conversation goes through its turns in order, so only the
+    hashing itself runs in one task, turn by turn; all other work is done before
+    the shuffle, wherever the turns lie.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         state: list | None = None
 
         def close() -> None:
-            conv, n, turns_sha, chars, loss_sha, size, out_sha = state
-            out_sha.update(CLOSE.encode())
-            done.append((conv, n, turns_sha.hexdigest(), chars, loss_sha.hexdigest(), size + len(CLOSE), out_sha.hexdigest()))
+            conv, n, turns_sha, chars, loss_sha, size = state
+            done.append((conv, n, turns_sha.hexdigest(), chars, loss_sha.hexdigest(), size + len(CLOSE)))
 
         def out() -> pa.RecordBatch:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), DIGEST, strict=True)]
@@ -256,22 +284,18 @@ def digests(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, schema=DIGEST)
 
         for batch in batches:
-            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4)]
+            for conv, role, text, size in zip(*columns, strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         close()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), len(OPEN), hashlib.sha256(OPEN.encode())]
-                piece = format_turn(role, text)
-                role, text, _, end = parse_turn(piece, 0)  # from here on only what the output says
-                if end != len(piece):
-                    raise ValueError("a turn was cut short")
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), len(OPEN)]
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 if role == "assistant":
                     state[3] += len(text)
                     state[4].update(text.encode())
-                state[5] += len(piece)
-                state[6].update(piece.encode())
+                state[5] += size
             if len(done) >= 1000:
                 yield out()
         if state is not None:
@@ -279,14 +303,14 @@ def digests(turns: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    return sorted_turns(turns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, formatted_sha256 string")
+    return in_order(read_back(turns)).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    return digests(turns.unionByName(added)).drop("formatted_sha256")
+    return digests(turns.unionByName(added))
 
 
 _ESC = r"replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '[TURN ', '[\TURN '), '[/TURN]', '[\/TURN]')"
@@ -295,9 +319,9 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(regexp_replace(role, '([^A-Za-z0-9_])', '\\\1', 'g')) + length({_ESC}) + 14) + 7 AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -87,8 +87,9 @@ def map_shard(base: str, name: str, n: int, dtypes: list[str]) -> list[np.ndarra
     if not isinstance(fs, pyarrow.fs.LocalFileSystem):
         own = os.path.join(tempfile.gettempdir(), f"ngrams-{abs(hash(base))}-{name}")
         if not os.path.exists(own):
-            pyarrow.fs.copy_files(path, own + ".part", source_filesystem=fs)
-            os.replace(own + ".part", own)
+            part = f"{own}.{uuid.uuid4().hex}"  # workers of one executor may copy at the same time
+            pyarrow.fs.copy_files(path, part, source_filesystem=fs)
+            os.replace(part, own)
         path = own
     out, at = [], 0
     for kind in dtypes:

@@ -272,7 +272,33 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id; repeated rows of an id become one row."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").dropDuplicates()
+    """One document of each group stays, the one of the smallest id; rows of a repeated id become one row."""
+    judged = staged(near_duplicates(docs), "minhash-judged")
+    gone = judged.filter(~F.col("kept")).select("doc_id").dropDuplicates()
     stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return stay
+    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    repeated = staged(repeated, "minhash-repeated")
+    if not repeated.limit(1).count():
+        return stay
+    once = stay.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return stay.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 4, 1) + 1) END, lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (SELECT rep, n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT rep AS v, rep AS c FROM classes
+  UNION SELECT e.b, r.c FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.v
+), least_of AS (SELECT v, min(c) AS c FROM reach GROUP BY v)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(c, sets.doc_id) AS component_id, sets.doc_id = coalesce(c, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least_of ON classes.rep = v
+"""

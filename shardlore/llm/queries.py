@@ -20,6 +20,7 @@ ORACLE_SQL = {
     "op1_mtree_topk": mtree.SQL,
     "op2_line_dedup": line_runs.SQL,
     "op4_decontaminate": positional.SQL,
+    "op6_minhash": minhash.SQL,
     "op7_url_filter": cascade.SQL,
     "op8_mixing": curriculum.SQL,
     "op10_chat": chat.SQL,

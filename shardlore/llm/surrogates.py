@@ -8,7 +8,8 @@ by a title or by two gazetteer names.
 An entity is (kind, canonical form): case, spaces and punctuation of a surface
 don't matter, so one entity has one surrogate in the whole corpus
 (coreference), laid out in each surface's own format: digits for digits,
-letters for letters in the same case, separators as they were.  Kinds keep what
+letters for letters in the same case, separators as they were, a phone with or
+without its country code.  Kinds keep what
 makes them valid: a card's Luhn property and first digit, an IBAN's country and
 check digits, a phone's country code, octets below 256, a top-level domain; a
 first name's surrogate has its gender and script, a last name's its script.
@@ -71,7 +72,7 @@ PATTERNS = (
     ("card", re.compile(r"(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?:\d{1,3})?(?![\d-]|\.\d)|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-]|\.\d)")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\w)")),
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])|(?<![\w(+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+(-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])|(?<![\w(+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+(-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])")),
     ("title", re.compile(rf"(?<!\w)((?i:{'|'.join(TITLES)}))(\.?\s{{1,2}})({_NAME})(?:(\s)({_NAME}))?")),
     ("person", re.compile(rf"(?<!\w)({_NAME})(\s)({_NAME})(?!\w)")),
 )
@@ -96,22 +97,29 @@ def script_of(name: str) -> str:
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
 
 
+#: Country codes of one and of two digits; all others have three.
+_SHORT_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
+
+
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form), in order and without overlaps; earlier patterns win."""
+    """(start, end, kind, canonical form), in order and without overlaps; later patterns don't see what earlier ones took."""
     taken: list[tuple[int, int, str, str]] = []
-    busy: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str, str]] = []
+    rest = text
 
     def add(start: int, end: int, kind: str, canon: str) -> None:
-        if all(end <= a or b <= start for a, b in busy):
-            busy.append((start, end))
-            taken.append((start, end, kind, canon))
+        found.append((start, end, kind, canon))
 
     digits = lambda s: re.sub(r"\D", "", s)
     has_digit = re.search(r"\d", text) is not None
     for kind, pattern in PATTERNS:
         if kind in _HINTS and not _HINTS[kind].search(text) or kind in ("iban", "card", "ip", "ssn", "phone") and not has_digit:
             continue
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(rest):
             if kind == "email":
                 add(*m.span(), kind, m[0].lower())
             elif kind == "secret":
@@ -124,9 +132,9 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             elif kind in ("card", "ssn"):
                 add(*m.span(), kind, digits(m[0]))
             elif kind == "phone":
-                if 7 <= len(digits(m[0])) <= 15:
-                    code = re.match(r"\+(\d{1,3})(?=[ .(-])", m[0])
-                    add(*m.span(), kind, ("+" + code[1] + "|" + digits(m[0])[len(code[1]) :]) if code else digits(m[0]))
+                number = digits(m[0])
+                if 7 <= len(number) <= 15:  # without a country code it is a number of country 1
+                    add(*m.span(), kind, "+" + ("" if m[0][0] == "+" else "1") + number)
             elif kind == "ip":
                 add(*m.span(), kind, ".".join(str(int(x)) for x in m[0].split(".")))
             elif kind == "title":
@@ -139,6 +147,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "person" and m[1].casefold() in _GENDER and m[3].casefold() in _LAST:
                 add(*m.span(1), "first", f"{script_of(m[1])}:{_GENDER[m[1].casefold()]}:{m[1].casefold()}")
                 add(*m.span(3), "last", f"{script_of(m[3])}:{m[3].casefold()}")
+        if found:
+            pieces, at = [], 0
+            for start, end, *_ in found:
+                pieces += [rest[at:start], "\0" * (end - start)]
+                at = end
+            rest = "".join([*pieces, rest[at:]])
+            taken += found
+            found.clear()
     return sorted(taken)
 
 
@@ -182,8 +198,8 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         labels = domain.split(".")
         return draw.like(local) + "@" + ".".join([*(site.like(x) for x in labels[:-1]), labels[-1]])
     if kind == "phone":
-        code, mark, rest = canon.rpartition("|")
-        return code + mark + draw.like(rest)
+        code = country_code(canon[1:])
+        return "+" + code + draw.like(canon[1 + len(code) :])
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
@@ -213,10 +229,11 @@ def lay_out(kind: str, surface: str, value: str) -> str:
         return value
     if kind == "secret":
         return value
-    chars = iter(re.sub(r"\D", "", value) if kind in ("phone", "card", "ssn") else value)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(surface, value, strict=True))
     pattern = r"\d" if kind in ("phone", "card", "ssn") else r"[A-Za-z0-9]"
+    signs = re.findall(pattern, value)
+    chars = iter(signs[len(signs) - len(re.findall(pattern, surface)) :])  # a phone's surface may lack the country code
     return re.sub(pattern, lambda _: next(chars), surface)
 
 

@@ -31,7 +31,7 @@ def brute(rows):
         output, _ = chat.format_conversation(turns)
         said = "".join(t for r, t in turns if r == "assistant")
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(output), sha(output)))
+        out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(output)))
     return sorted(out, key=str)
 
 

@@ -45,6 +45,17 @@ def test_coreference_and_format(out):
     assert sg.luhn("4929348385146306") == sg.luhn(cards[1].strip())
 
 
+def test_neighbours_and_phone_forms():
+    """A number isn't lost to the one next to it; all forms of a phone are one entity."""
+    kinds = lambda t: [(k, c) for _, _, k, c in sg.find_entities(t)]
+    assert kinds("+1 (843) 555-7672 97.51.17.173 now") == [("phone", "+18435557672"), ("ip", "97.51.17.173")]
+    assert kinds("97.51.17.173 +1 (843) 555-7672 4845168114407329") == [("ip", "97.51.17.173"), ("phone", "+18435557672"), ("card", "4845168114407329")]
+    assert {kinds(x)[0] for x in ("+1 (843) 555-7672 12 34", "(843) 555-7672", "843-555-7672", "+18435557672")} == {("phone", "+18435557672")}
+    assert {kinds(x)[0] for x in ("+44 20 7946 0958", "+442079460958")} == {("phone", "+442079460958")}
+    value = sg.surrogate("phone", "+18435557672", 0)
+    assert value[:2] == "+1" and sg.lay_out("phone", "(843) 555-7672", value) == f"({value[2:5]}) {value[5:8]}-{value[8:]}"
+
+
 def test_names(out):
     m = re.match(r"Mr\. (\w+) met (\w+) (\w+), FRAU (\w+) and (\w+) (\w+)\. Mrs (\w+) too\.", out[4].new_text)
     assert m[1] == m[3] and m[2] in sg.FIRST["latin", "f"] and m[4].isupper()
