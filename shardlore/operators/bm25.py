@@ -8,7 +8,8 @@ it starts.  Rows rank by the score rounded to 9 digits, then by id.
 Exact terms are an equi-join with the postings on (corpus, term); prefixes are
 first turned into terms over the distinct vocabulary, so no postings are
 scanned by comparison.  The query side is broadcast only if its size is known
-to be small (``BROADCAST_TERMS``); beyond that it is shuffled by term.
+to be small (``BROADCAST_TERMS``); beyond that it is shuffled by term.  Postings
+may be stored ones or the occurrences of texts: equal rows are summed.
 """
 
 from __future__ import annotations
@@ -16,23 +17,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, tokens
+from ..functions.text import query_terms, token_count, tokens
 
+#: Fixed values of the ranking: k1 and b of BM25, and the candidates a list keeps.
 K1, B = 1.2, 0.75
 DEPTH = 50
+#: Query terms that are broadcast at most (some 100 bytes each).
 BROADCAST_TERMS = 50_000
 
 
-def postings(sections: DataFrame, columns: tuple[str, ...] = ("text", "header", "anchor")) -> DataFrame:
-    """(corpus, term, id, tf, dl)."""
+def occurrences(sections: DataFrame, columns: tuple[str, ...] = ("text", "header", "anchor")) -> DataFrame:
+    """(corpus, id, dl, term, tf) with a row per token, for ranking texts that have no stored postings.
+
+    The query terms meet the tokens before any are shuffled, so only matches are counted.
+    """
     toks = sections.select("corpus", "id", tokens(*[F.col(c) for c in columns]).alias("toks"))
-    rows = toks.select("corpus", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return rows.groupBy("corpus", "term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return toks.select("corpus", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"), F.lit(1).cast("long").alias("tf"))
+
+
+def postings(sections: DataFrame, columns: tuple[str, ...] = ("text", "header", "anchor")) -> DataFrame:
+    """(corpus, term, id, dl, tf)."""
+    return occurrences(sections, columns).groupBy("corpus", "term", "id", "dl").agg(F.sum("tf").alias("tf"))
 
 
 def corpus_stats(sections: DataFrame, columns: tuple[str, ...] = ("text", "header", "anchor")) -> DataFrame:
     """(corpus, n_docs, avgdl): one row a corpus."""
-    size = F.size(tokens(*[F.col(c) for c in columns]))
+    size = token_count(*[F.col(c) for c in columns])
     return sections.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum(size) / F.count(F.lit(1))).alias("avgdl"))
 
 
@@ -44,19 +54,18 @@ def phrases(queries: DataFrame, corpora: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(qid, corpus, id, score, rank): each query's best in each corpus."""
+    """(qid, corpus, id, score, rank): each query's best in each corpus. post: (corpus, term, id, dl, tf)."""
     wanted = phrases(queries, stats)
-    exact = wanted.filter(~F.col("is_prefix")).drop("is_prefix")
-    # prefixes: the vocabulary is cut by the first sign, then compared
-    vocabulary = post.select("corpus", "term").distinct().withColumn("lead", F.substring("term", 1, 1))
+    exact = wanted.filter(~F.col("is_prefix")).select("corpus", "qid", "phrase", "term")
     starts = wanted.filter("is_prefix").select("corpus", "qid", "phrase", F.col("term").alias("prefix"), F.substring("term", 1, 1).alias("lead"))
-    grown = starts.join(vocabulary, ["corpus", "lead"]).filter(F.startswith("term", "prefix")).select("corpus", "qid", "phrase", "term")
-    asked = exact.select("corpus", "qid", "phrase", "term").union(grown)
-    if queries.limit(BROADCAST_TERMS // 64 + 1).count() <= BROADCAST_TERMS // 64:
-        exact_small = F.broadcast(exact.select("corpus", "qid", "phrase", "term"))
-        hits = post.join(exact_small, ["corpus", "term"]).unionByName(post.join(grown, ["corpus", "term"]))
-    else:
-        hits = post.join(asked, ["corpus", "term"])
+    if exact.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        exact = F.broadcast(exact)  # counted: at most BROADCAST_TERMS rows
+    hits = post.join(exact, ["corpus", "term"])
+    if starts.limit(1).count():
+        # prefixes: the vocabulary is cut by the first sign, then compared
+        vocabulary = post.select("corpus", "term").distinct().withColumn("lead", F.substring("term", 1, 1))
+        grown = starts.join(vocabulary, ["corpus", "lead"]).filter(F.startswith("term", "prefix")).select("corpus", "qid", "phrase", "term")
+        hits = hits.unionByName(post.join(grown, ["corpus", "term"]))
     tf = hits.groupBy("qid", "corpus", "phrase", "id", "dl").agg(F.sum("tf").alias("f"))
     df = tf.groupBy("qid", "corpus", "phrase").agg(F.count(F.lit(1)).alias("n"))
     scored = tf.join(df, ["qid", "corpus", "phrase"]).join(F.broadcast(stats), "corpus")  # stats: one row a corpus

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value.
 DEPTH = 50
 #: Queries that are sent to the workers at once; more are done in blocks.
 BLOCK = 2048

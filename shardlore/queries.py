@@ -6,32 +6,14 @@ orders for large edge lists.  Every query reads its whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.parse import split_c, split_kconfig, split_md, split_rst
 from .operators import bm25, fusion, graph, knn, parsing
+from .registry import query
 from .schema import SECTIONS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query, with its SQL if there is any."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,7 +76,7 @@ BENCHMARK = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 
 def ranked(sections: DataFrame, queries: DataFrame) -> DataFrame:
     columns = ("text",)
-    return bm25.bm25(queries, bm25.postings(sections, columns), bm25.corpus_stats(sections, columns))
+    return bm25.bm25(queries, bm25.occurrences(sections, columns), bm25.corpus_stats(sections, columns))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,88 +341,3 @@ def html_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows only: SQL has no HTML parser; tests hold the parser against pages of known text."""
     pages = table(spark, sf_dir, "pages").select(F.array(F.format_string("%012d", "page_id")).alias("file_key"), F.lit("web").alias("docset"), F.concat(F.lit("web/"), F.col("page_id").cast("string")).alias("docname"), F.encode("html", "utf-8").alias("content"))
     return parsing.number(parsing.parse_pages(pages)).select("id", "docname", "header", "breadcrumb", "text")
-
-
-# --- parsers on inline sources, against rows derived by hand -----------------------------------
-
-
-def _values(columns: str, rows: list[tuple]) -> str:
-    quoted = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS t({columns})"
-
-
-SECTION_COLUMNS = "anchor, breadcrumb, header, line_start, line_end"
-
-
-def _parsed(spark: SparkSession, parser: Callable, source: str, rel: str) -> DataFrame:
-    """The parser run on the workers, over a one-row table of the source."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        for batch in batches:
-            rows = [(s.anchor, s.breadcrumb, s.header, s.line_start, s.line_end) for text in batch["text"] for s in parser(text, "repo", rel)]
-            yield pd.DataFrame(rows, columns=SECTION_COLUMNS.split(", "))
-
-    return spark.createDataFrame([(source,)], "text string").mapInPandas(run, "anchor string, breadcrumb string, header string, line_start int, line_end int")
-
-
-RST = "lost text\n\n.. _top:\n\nTitle\n=====\n\nIntro :ref:`top`.\n\n.. _part_a:\n\nPart A\n------\n\nBody.\n\nPart B\n------\n\nEnd.\n"
-C = '// SPDX: none\n#include "a.h"\n#define LIMIT 10\n\nstruct point {\n\tint x;\n};\n\n/** Adds. */\nint add(int a, int b)\n{\n\treturn a + b;\n}\n\nint later(void);\n'
-KCONFIG = 'menu "Options"\n\nconfig FAST\n\tbool "Be fast"\n\thelp\n\t  Speeds up.\n\nconfig SIZE\n\tint\n\tdefault 3\n\nendmenu\n'
-MD = "# One\ntext\n```\n# not a heading\n```\n## Two\nmore\n# Three\n"
-
-
-@query(_values(SECTION_COLUMNS, [("top", "Title", "Title", 3, 8), ("part_a", "Title > Part A", "Part A", 10, 15), ("", "Title > Part B", "Part B", 17, 20)]))
-def rst_sections_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, split_rst, RST, "repo/a.rst")
-
-
-@query(_values(SECTION_COLUMNS, [("", "One", "One", 1, 5), ("", "One > Two", "Two", 6, 7), ("", "Three", "Three", 8, 8)]))
-def md_sections_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, split_md, MD, "repo/a.md")
-
-
-@query(_values(SECTION_COLUMNS, [("", "repo > a.c", "", 2, 2), ("LIMIT", "repo > a.c > LIMIT", "#define LIMIT 10", 3, 3), ("point", "repo > a.c > point", "struct point", 5, 7), ("add", "repo > a.c > add", "int add(int a, int b)", 9, 13), ("", "repo > a.c", "", 15, 15)]))
-def c_symbols_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, split_c, C, "a.c")
-
-
-@query(_values(SECTION_COLUMNS, [("", 'repo > Kconfig > menu "Options"', 'menu "Options"', 1, 1), ("CONFIG_FAST", "repo > Kconfig > CONFIG_FAST", "Be fast", 3, 6), ("CONFIG_SIZE", "repo > Kconfig > CONFIG_SIZE", "SIZE", 8, 10), ("", "repo > Kconfig > endmenu", "endmenu", 12, 12)]))
-def kconfig_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, split_kconfig, KCONFIG, "Kconfig")
-
-
-@query(_values("pos, kind, target", [(0, "ref", "top"), (1, "doc", "guide/a"), (2, "option", "CONFIG_X"), (3, "file", "b.c")]))
-def role_links_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = "See :ref:`The top <top>`, :doc:`/guide/a`, :option:`CONFIG_X` and :ref:`top`; :file:`~b.c`, :other:`x`."
-    links = spark.createDataFrame([(source,)], "text string").select(F.posexplode(tx.role_links(F.col("text"))).alias("pos", "l"))
-    return links.select("pos", "l.kind", "l.target")
-
-
-PATHS = [("a/b/../c", "a/c"), ("./x//y/", "x/y"), ("../../z", "../../z"), ("a/..", "."), ("/../k", "/k"), ("", ".")]
-
-
-@query(_values("path, normal", PATHS))
-def path_normalise_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p, _ in PATHS], "path string").select("path", tx.normal_path(F.col("path")).alias("normal"))
-
-
-EDGE_TARGETS = [(1, "a/p#x", 1), (2, "b/q#x", 3), (3, "zz#x", 1), (4, "b/q", 3), (5, "b/q#none", None), (6, "a/p#", 1), (7, "nowhere", None)]
-
-
-@query(_values("src_id, target_raw, resolved_id", EDGE_TARGETS))
-def page_edges_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame([(1, "a/p", ["x"]), (2, "a/p", ["y"]), (3, "b/q", ["x"])], "id int, docname string, all_anchors array<string>")
-    edges = spark.createDataFrame([(s, t) for s, t, _ in EDGE_TARGETS], "src_id int, target_raw string")
-    return graph.resolve_pages(edges, *graph.page_maps(pages)).select("src_id", "target_raw", "resolved_id")
-
-
-DOC_TARGETS = [("k/one.rst", "two", 2), ("k/one.rst", "../m/three", 3), ("k/one.rst", "three", 3), ("k/one.rst", "ext:two", None), ("k/one.rst", "/k/two", 2), ("k/one.rst", "same", None), ("k/one.rst", "/two", 2)]
-
-
-@query(_values("src_path, target_raw, resolved_id", DOC_TARGETS))
-def doc_edges_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([("k/one.rst", 1), ("k/two.rst", 2), ("m/three.md", 3), ("m/same.rst", 4), ("n/same.rst", 5)], "file_path string, id int")
-    edges = spark.createDataFrame([(p, t) for p, t, _ in DOC_TARGETS], "src_path string, target_raw string")
-    return graph.resolve_docs(edges, graph.doc_map(docs)).select("src_path", "target_raw", "resolved_id")

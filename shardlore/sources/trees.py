@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders and files that are left out, suffixes by kind, and size limits.
 DOC_SKIP = ("_build", "_doxygen", ".git", "__pycache__")
 PAGE_SKIP = ("_static", "_sources", "_images", "_downloads", "__pycache__")
 PAGE_SKIP_NAMES = ("genindex.html", "search.html", "py-modindex.html", "objects.inv")
