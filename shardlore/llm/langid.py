@@ -49,8 +49,9 @@ BACKGROUND = 0.01
 #: P(declared = l | l) comes from counts smoothed by this many rows that agree.
 TRUST = 8.0
 
-_TAGS = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_LANG = re.compile(rb"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+# what isn't closed goes to the end, so that no place is scanned again
+_TAGS = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|</?[a-z!?][^>]*(?:>|\Z)", re.S | re.I)
+_LANG = re.compile(rb"""<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
 _LETTER = re.compile(rb"[A-Za-z\xc3-\xf4]")
 
 
@@ -59,7 +60,7 @@ def page_text(html: bytes | None) -> bytes:
 
 
 def declared_language(html: bytes | None) -> str | None:
-    found = _LANG.search((html or b"")[:4096])
+    found = _LANG.search(html or b"")
     return found[1].decode().lower() if found else None
 
 
