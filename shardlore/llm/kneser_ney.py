@@ -63,12 +63,17 @@ BEGIN, END = np.uint64(0x5BF0_3635_0D8E_8A11), np.uint64(0x2545_F491_4F6C_DD1D)
 # --- files ------------------------------------------------------------------
 
 
+#: Hadoop's names of stores, in pyarrow's.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _place(base: str) -> tuple[pyarrow.fs.FileSystem, str]:
     if "://" not in base and not base.startswith("file:"):
         return pyarrow.fs.LocalFileSystem(), base
     if base.startswith("file:"):
         return pyarrow.fs.LocalFileSystem(), "/" + base[5:].lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(base)
+    scheme, _, rest = base.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_shard(base: str, name: str, arrays: list[np.ndarray]) -> None:
