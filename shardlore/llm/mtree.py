@@ -26,7 +26,6 @@ id.  Empty tables give empty results.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -43,104 +42,178 @@ SCALE = 64
 QUERY_STEP = 20
 TREE_ROWS = 8192
 BLOCK_ROWS = 4096
-PAGE = 128
+PAGE = 512
 FANOUT = 16
 EPS = 1e-6
+#: Scores times entries below this are exact in doubles and fit keys of 64 bits.
+SAFE = 2.0**53
 
 
 class MTree:
-    """points: (n, d) distinct integer vectors; ids: for each, its smallest ids, ascending."""
+    """points: (n, d) distinct integer vectors; ids: for each, its smallest ids, ascending.
+
+    Routers are points of the tree, so a distance takes one inner product:
+    |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>.
+    """
 
     def __init__(self, points: np.ndarray, ids: list[np.ndarray], page: int = PAGE, fanout: int = FANOUT) -> None:
-        self.points, self.ids = points.astype(np.float64), ids
-        self.counts = np.array([len(i) for i in ids], np.int64)
-        squares = (self.points**2).sum(axis=1)
-        self.top_square = float(squares.max()) if len(points) else 0.0
-        self.lifted = np.column_stack([self.points, np.sqrt(np.maximum(self.top_square - squares, 0))]) if len(points) else np.zeros((0, 1))
-        #: Page: (True, rows, distances to the router) or (False, children, routers, radii, distances to the router).
-        self.pages: list[tuple] = []
+        self.points = points.astype(np.float64)
+        self.squares = (self.points**2).sum(axis=1)
+        self.top_square = float(self.squares.max()) if len(points) else 0.0
         self.page, self.fanout = page, max(2, fanout)
-        self.root = self._grow(np.arange(len(points)), self.lifted[0]) if len(points) else -1
+        #: Leaves: (start, stop, distances to the router); others: (children, routers, radii, distances to the router).
+        self.pages: list[tuple] = []
+        self._leaves: list[np.ndarray] = []
+        self.root_router = self.points[:1]
+        self.root = self._grow(np.arange(len(points)), 0) if len(points) else -1
+        # entries lie in the order of the leaves, so a leaf is a slice
+        order = np.concatenate(self._leaves) if self._leaves else np.zeros(0, np.int64)
+        del self._leaves
+        self.points, self.squares = self.points[order], self.squares[order]
+        self.counts = np.array([len(ids[i]) for i in order], np.int64)
+        self.ids = np.concatenate([ids[i] for i in order]) if len(order) else np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        first = self.ids[self.starts] if len(order) else self.ids
+        #: Entries by smallest id, best first, and each entry's place among them counted from the end.
+        self.by_id = np.argsort(first, kind="stable")
+        self.place = np.empty(len(order), np.int64)
+        self.place[self.by_id] = np.arange(len(order))[::-1]
         self.computed = 0
 
-    def _far(self, rows: np.ndarray, router: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.lifted[rows] - router) ** 2).sum(axis=1))
+    def _far(self, rows: np.ndarray, router: int) -> np.ndarray:
+        lift = lambda r: np.sqrt(np.maximum(self.top_square - self.squares[r], 0))
+        return np.sqrt(((self.points[rows] - self.points[router]) ** 2).sum(axis=1) + (lift(rows) - lift(router)) ** 2)
 
-    def _grow(self, rows: np.ndarray, router: np.ndarray) -> int:
+    def _grow(self, rows: np.ndarray, router: int) -> int:
         away = self._far(rows, router)
+        at = len(self.pages)
         if len(rows) <= self.page:
-            self.pages.append((True, rows, away))
-            return len(self.pages) - 1
+            start = sum(map(len, self._leaves))
+            self._leaves.append(rows)
+            self.pages.append((start, start + len(rows), away))
+            return at
         # k-centre: each further pivot is the row farthest from those so far
         n = min(self.fanout, -(-len(rows) // self.page) + 1)
         near, owner, pivots = away.copy(), np.zeros(len(rows), np.int64), []
         for k in range(n):
-            pivots.append(rows[int(np.argmax(near))])
-            d = self._far(rows, self.lifted[pivots[-1]])
+            pivots.append(int(rows[int(np.argmax(near))]))
+            d = self._far(rows, pivots[-1])
             better = d < near if k else np.ones(len(rows), bool)
             owner[better], near[better] = k, d[better]
         groups = [rows[owner == k] for k in range(n)]
         if max(map(len, groups)) == len(rows):  # nothing was told apart: cut by position
-            groups, pivots = np.array_split(rows, n), [g[0] for g in np.array_split(rows, n)]
+            groups = np.array_split(rows, n)
+            pivots = [int(g[0]) for g in groups]
         kept = [(g, p) for g, p in zip(groups, pivots, strict=True) if len(g)]
-        routers = self.lifted[[p for _, p in kept]]
-        radii = np.array([self._far(g, self.lifted[p]).max() for g, p in kept])
-        at = len(self.pages)
+        routers = np.array([p for _, p in kept])
+        radii = np.array([self._far(g, p).max() for g, p in kept])
+        stored = self._far(routers, router)
         self.pages.append(())
-        children = [self._grow(g, self.lifted[p]) for g, p in kept]
-        self.pages[at] = (False, children, routers, radii, np.sqrt(((routers - router) ** 2).sum(axis=1)))
+        children = np.array([self._grow(g, p) for g, p in kept])
+        self.pages[at] = (children, self.points[routers], radii, stored)
         return at
 
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, score) of every entry whose score is at least the k-th best, counting an entry's ids."""
-        if self.root < 0 or k <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q = np.append(query.astype(np.float64), 0.0)
-        square = float(q @ q)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        limit = np.inf
-        first = float(np.sqrt(((q - self.lifted[0]) ** 2).sum()))
-        heap = [(0.0, self.root, first)]
-        while heap:
-            bound, at, away = heapq.heappop(heap)
-            if bound > limit:
-                break
-            page = self.pages[at]
-            if page[0]:
-                _, own, stored = page
-                own = own[np.abs(away - stored) <= limit] if limit < np.inf else own
-                self.computed += len(own)
-                found = np.rint(self.points[own] @ q[:-1]).astype(np.int64)
-                rows, scores = np.concatenate([rows, own]), np.concatenate([scores, found])
-                order = np.argsort(-scores, kind="stable")
-                rows, scores = rows[order], scores[order]
-                held = np.cumsum(self.counts[rows])
-                if held[-1] >= k:
-                    last = scores[np.searchsorted(held, k)]
-                    keep = scores >= last
-                    rows, scores = rows[keep], scores[keep]
-                    limit = float(np.sqrt(max(0.0, square + self.top_square - 2.0 * float(last)))) + EPS
-            else:
-                _, children, routers, radii, stored = page
-                todo = np.flatnonzero(np.abs(away - stored) - radii <= limit)
-                self.computed += len(todo)
-                d = np.sqrt(((routers[todo] - q) ** 2).sum(axis=1))
-                for i, far in zip(todo.tolist(), d.tolist(), strict=True):
-                    low = max(bound, far - radii[i], 0.0)
-                    if low <= limit:
-                        heapq.heappush(heap, (low, children[i], far))
-        return rows, scores
-
-    def best(self, query: np.ndarray, query_ids: list[int], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of the k best other than the query's own id; the query ids share one vector."""
-        rows, scores = self.search(query, k + 1)
-        ids = np.concatenate([self.ids[r] for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        scores = np.repeat(scores, self.counts[rows])
-        order = np.lexsort((ids, -scores))[: k + 1]
-        ids, scores = ids[order], scores[order]
-        for own in query_ids:
-            other = ids != own
-            yield own, ids[other][:k], scores[other][:k]
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, scores), each (queries, k), unordered, -1 where there are fewer: the k best by score, then smallest id.
+
+        Each query has its own queue of pages by lower bound and takes the best
+        one first.  Queries that take the same page in a round share its matrix
+        product, which leaves out all entries that the stored distances discard
+        for every one of them.
+        """
+        n, m = len(self.points), len(queries)
+        width = min(k, n)
+        none = np.full((m, k), -1, np.int64)
+        if not width or not m:
+            return none, none.copy()
+        q = queries.astype(np.float64)
+        squares = (q**2).sum(axis=1)
+        if max(self.top_square, float(squares.max())) * n >= SAFE:
+            return self._search_plainly(queries, k)
+        worst_of = np.iinfo(np.int64).min
+        best = np.full((m, width), worst_of)  # score * n + place; the first is the least
+        limit = np.full(m, np.inf)
+        low, away = np.full((m, len(self.pages)), np.inf), np.zeros((m, len(self.pages)))
+        low[:, self.root] = 0.0
+        away[:, self.root] = self._from(q, squares, self.root_router)[:, 0]
+        active = np.arange(m)
+        while len(active):
+            page = low[active].argmin(axis=1)
+            bound = low[active, page]
+            going = (bound <= limit[active]) & (bound < np.inf)
+            active, page, bound = active[going], page[going], bound[going]
+            low[active, page] = np.inf
+            order = np.argsort(page, kind="stable")
+            names, heads = np.unique(page[order], return_index=True)
+            for at, part in zip(names.tolist(), np.split(order, heads[1:]) if len(order) else [], strict=True):
+                rows = active[part]
+                entry = self.pages[at]
+                gap = np.abs(away[rows, at][:, None] - entry[-1])
+                if len(entry) == 3:
+                    start, stop, _ = entry
+                    cols = np.flatnonzero((gap <= limit[rows][:, None]).any(axis=0))
+                    if not len(cols):
+                        continue
+                    cols = slice(start, stop) if len(cols) == stop - start else start + cols
+                    points = self.points[cols]
+                    self.computed += len(rows) * len(points)
+                    keys = np.rint(q[rows] @ points.T).astype(np.int64) * n + self.place[cols]
+                    hit = (keys > best[rows, :1]).any(axis=1)
+                    rows = rows[hit]
+                    merged = np.concatenate([best[rows], keys[hit]], axis=1)
+                    cut = merged.shape[1] - width
+                    best[rows] = np.partition(merged, cut, axis=1)[:, cut:]
+                    least = best[rows, 0]
+                    reach = np.sqrt(np.maximum(0.0, squares[rows] + self.top_square - 2.0 * (least // n))) + EPS
+                    limit[rows] = np.where(least > worst_of, reach, np.inf)
+                else:
+                    children, routers, radii, _ = entry
+                    todo = gap - radii <= limit[rows][:, None]
+                    cols = np.flatnonzero(todo.any(axis=0))
+                    self.computed += len(rows) * len(cols)
+                    far = self._from(q[rows], squares[rows], routers[cols])
+                    lower = np.maximum(np.maximum(bound[part][:, None], far - radii[cols] - EPS), 0.0)
+                    into = rows[:, None], children[cols]
+                    low[into] = np.where(todo[:, cols] & (lower <= limit[rows][:, None]), lower, np.inf)
+                    away[into] = far
+        found = best > worst_of
+        none[:, :width] = np.where(found, self.by_id[n - 1 - best % n], -1)
+        scores = np.full((m, k), -1, np.int64)
+        scores[:, :width] = best // n
+        return none, scores
+
+    def _from(self, q: np.ndarray, squares: np.ndarray, points: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, squares[:, None] + self.top_square - 2.0 * (q @ points.T)))
+
+    def _search_plainly(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Components so large that doubles aren't exact: whole numbers of any size, cut to 64 bits at the end."""
+        entries, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -1, np.int64)
+        points = [[int(x) for x in p] for p in self.points]
+        for row, query in enumerate(queries.tolist()):
+            found = sorted((-sum(a * b for a, b in zip(p, query, strict=True)), -int(self.place[i]), i) for i, p in enumerate(points))[:k]
+            entries[row, : len(found)] = [f[2] for f in found]
+            scores[row, : len(found)] = [max(-(2**63), min(2**63 - 1, -f[0])) for f in found]
+        return entries, scores
+
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of the k best of each query id other than itself; owner: its row of queries."""
+        entries, scores = self.search(queries, k + 1)
+        row, at = np.nonzero(entries >= 0)
+        entry, score = entries[row, at], scores[row, at]
+        counts = self.counts[entry]
+        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids = self.ids[np.repeat(self.starts[entry], counts) + inner]
+        row, score = np.repeat(row, counts), np.repeat(score, counts)
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        good = place <= k
+        table, points = np.zeros((2, len(queries), k + 1), np.int64)
+        held = np.zeros((len(queries), k + 1), bool)
+        table[row[good], place[good]], points[row[good], place[good]], held[row[good], place[good]] = ids[good], score[good], True
+        other = held[owner] & (table[owner] != query_ids[:, None])
+        other &= np.cumsum(other, axis=1) <= k
+        return np.repeat(query_ids, other.sum(axis=1)), table[owner][other], points[owner][other]
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -187,11 +260,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 ids = np.asarray(batch.column(1)[i].values)
                 vectors = np.asarray(batch.column(2)[i].values).reshape(len(ids), -1)
                 every, owner = np.unique(vectors, axis=0, return_inverse=True)
-                order = np.argsort(owner, kind="stable")
-                heads = np.searchsorted(owner[order], np.arange(len(every)))
-                parts = [found for q, group in zip(every, np.split(ids[order], heads[1:]), strict=True) for found in tree.best(q, group.tolist(), k)]
-                names = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([p[1] for p in parts])), pa.array(np.concatenate([p[2] for p in parts]))], ["query_id", "vec_id", "score"])
+                columns = tree.best(every, ids, owner.reshape(-1), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     found = work.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

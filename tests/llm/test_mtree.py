@@ -39,17 +39,30 @@ def test_tree_prunes_and_stays_exact():
     tree = mt.MTree(points, [np.array([i]) for i in range(len(points))], page=32)
     for at in (0, 17, 999):
         tree.computed = 0
-        rows, scores = tree.search(points[at], 10)
-        every = np.sort(points @ points[at])[::-1]
-        assert np.array_equal(np.sort(scores)[::-1][:10], every[:10])
-        assert len(rows) == (points @ points[at] >= every[9]).sum()
+        (rows,), (scores,) = tree.search(points[at : at + 1], 10)
+        want = sorted(zip(-(points @ points[at]), range(len(points))))[:10]
+        assert sorted(zip((-scores).tolist(), tree.ids[tree.starts[rows]].tolist())) == want
         assert tree.computed < len(points) / 2
-    for leaf, *entry in tree.pages:
-        if not leaf:  # radii cover what is below them
-            for child, router, radius in zip(entry[0], entry[1], entry[2]):
-                stack, below = [child], []
-                while stack:
-                    page = tree.pages[stack.pop()]
-                    below += list(page[1]) if page[0] else []
-                    stack += [] if page[0] else page[1]
-                assert np.sqrt(((tree.lifted[below] - router) ** 2).sum(axis=1)).max() <= radius + 1e-9
+    together = tree.search(points[:200], 10)
+    for at in range(200):  # sharing pages doesn't change a query's result
+        alone = tree.search(points[at : at + 1], 10)
+        assert set(alone[0][0]) == set(together[0][at])
+    lifted = np.column_stack([tree.points, np.sqrt(tree.top_square - tree.squares)])
+
+    def below(at):
+        page = tree.pages[at]
+        return list(range(page[0], page[1])) if len(page) == 3 else [x for child in page[0] for x in below(child)]
+
+    assert below(tree.root) == list(range(len(points)))
+    for page in tree.pages:
+        if len(page) == 4:  # radii cover what is below them
+            for child, router, radius in zip(*page[:3]):
+                router = np.append(router, np.sqrt(tree.top_square - (router**2).sum()))
+                assert np.sqrt(((lifted[below(child)] - router) ** 2).sum(axis=1)).max() <= radius + 1e-9
+
+
+def test_huge_components(spark):
+    rows = [(0, [2.0**50, 1.0]), (1, [2.0**50, 1.0]), (2, [2.0**50, 2.0]), (3, [-(2.0**50), 0.0]), (4, [0.0, 0.5])]
+    got = mt.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).orderBy("rank").collect()
+    exact = sorted((-min(2**63 - 1, max(-(2**63), 2**56 * int(64 * v[0]) + 64 * int(64 * v[1]))), i) for i, v in rows if i)
+    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in exact]
