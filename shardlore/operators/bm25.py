@@ -32,7 +32,9 @@ def occurrences(sections: DataFrame, columns: tuple[str, ...] = ("text", "header
     The query terms meet the tokens before any are shuffled, so only matches are counted.
     """
     toks = sections.select("corpus", "id", tokens(*[F.col(c) for c in columns]).alias("toks"))
-    return toks.select("corpus", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"), F.lit(1).cast("long").alias("tf"))
+    # explode_outer: before an inner explode Spark would tokenise once more, to drop empty lists
+    rows = toks.select("corpus", "id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"), F.lit(1).cast("long").alias("tf"))
+    return rows.filter(F.col("term").isNotNull())
 
 
 def postings(sections: DataFrame, columns: tuple[str, ...] = ("text", "header", "anchor")) -> DataFrame:

@@ -37,7 +37,7 @@ def unique_suffixes(keys: DataFrame, key: str, value: str, within: list[str] | N
 
 def role_edges(sections: DataFrame) -> DataFrame:
     """(src_id, src_path, kind, target_raw, pos) of each section's roles."""
-    return sections.select(F.col("id").alias("src_id"), F.col("file_path").alias("src_path"), F.posexplode(role_links(F.col("text"))).alias("pos", "l")).select("src_id", "src_path", "pos", "l.kind", F.col("l.target").alias("target_raw"))
+    return sections.select(F.col("id").alias("src_id"), F.col("file_path").alias("src_path"), F.posexplode_outer(role_links(F.col("text"))).alias("pos", "l")).filter("l is not null").select("src_id", "src_path", "pos", "l.kind", F.col("l.target").alias("target_raw"))
 
 
 def doc_candidates(target: Column, source: Column) -> Column:
@@ -107,7 +107,7 @@ def match_sources(pages: DataFrame, files: DataFrame, tops: DataFrame) -> DataFr
 
 def label_lines(sections: DataFrame, sources: DataFrame) -> DataFrame:
     """(file_path, anchor, line): the first line that defines the label, with - and _ alike. sources: (rel, text)."""
-    lines = sources.select(F.col("rel").alias("file_path"), F.posexplode(F.split("text", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")).alias("n", "line"))
+    lines = sources.select(F.col("rel").alias("file_path"), F.posexplode_outer(F.split("text", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")).alias("n", "line"))
     labels = lines.select("file_path", (F.col("n") + 1).alias("n"), F.regexp_extract("line", r"^\.\.\s+_(.+):\s*$", 1).alias("label")).filter("label <> ''")
     asked = sections.filter("anchor <> ''").select("file_path", "anchor").distinct()
     forms = asked.select("file_path", "anchor", F.explode(F.array_distinct(F.array("anchor", F.translate("anchor", "-", "_"), F.translate("anchor", "_", "-")))).alias("label"))

@@ -85,7 +85,7 @@ def line_windows(texts: DataFrame, size: int = WINDOW_LINES, overlap: int = WIND
     """(id, text) -> (id, line_start, line_end, window_text): overlapping windows, the first that reaches the end is the last."""
     step = size - overlap
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = texts.select("id", lines.alias("lines")).withColumn("off", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))))
+    rows = texts.select("id", lines.alias("lines")).withColumn("off", F.explode_outer(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))))
     rows = rows.filter((F.col("off") == 0) | (F.col("off") - step + size < F.size("lines")))
     part = F.slice("lines", F.col("off") + 1, F.lit(size))
     rows = rows.select("id", "off", part.alias("part")).filter(F.exists("part", lambda x: F.trim(x) != ""))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import bm25, fusion, graph, knn, parsing
+from .operators import bm25, embed, fusion, graph, knn, parsing
 from .registry import query
 from .schema import SECTIONS
 
@@ -127,6 +127,24 @@ def bm25_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+# --- an index build ----------------------------------------------------------------
+
+
+@query(f"WITH {corpora_sql('documents')}, {POSTINGS} SELECT 'sections' AS part, count(*) AS n FROM sections UNION ALL SELECT 'vectors', count(*) FROM sections UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT id, term FROM post) UNION ALL SELECT 'tokens', count(*) FROM post")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: parsed, numbered, tokenised and embedded (by the hashing stand-in); the sizes of what an index holds."""
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".rst"))
+    files = table(spark, sf_dir, "documents").select(F.split(name, "/").alias("file_key"), F.col("source").alias("repo"), name.alias("rel"), F.encode("text", "utf-8").alias("content"))
+    sections = parsing.number(parsing.parse_prose(files)).withColumn("corpus", F.lit("documents")).persist()
+    inputs = sections.select("id", tx.embed_input(F.col("source_kind"), F.col("text")).alias("text"))
+    counts = [
+        sections.agg(F.count(F.lit(1)).alias("n")).select(F.lit("sections").alias("part"), "n"),
+        embed.embed_texts(inputs, embed.HashingEmbedder).agg(F.count(F.lit(1)).alias("n")).select(F.lit("vectors").alias("part"), "n"),
+        bm25.postings(sections, ("text",)).agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens")).selectExpr("stack(2, 'postings', postings, 'tokens', tokens) AS (part, n)"),
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 # --- vectors ----------------------------------------------------------------------
 
 COSINE = "abs(round(1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform({b}, lambda x: CAST(x AS DOUBLE) * x)))), 6))"
@@ -242,7 +260,7 @@ SELECT id, CAST(start AS BIGINT) AS line_start, CAST(max(n) AS BIGINT) AS line_e
 UNION ALL SELECT id, 1, len(lines), md5(array_to_string(lines, chr(10))) FROM l WHERE NOT big
 """)
 def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(parsing.packed_lines(F.col("text"), 1000, 800)).alias("p"))
+    packed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode_outer(parsing.packed_lines(F.col("text"), 1000, 800)).alias("p"))
     return packed.select("id", "p.line_start", "p.line_end", F.md5("p.body").alias("body_md5"))
 
 
@@ -330,7 +348,7 @@ SELECT h.page_id AS src_id, href, m.id AS resolved_id, count(*) AS n FROM h LEFT
 """)
 def href_extract_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    hrefs = pages.select(F.col("page_id").alias("src_id"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    hrefs = pages.select(F.col("page_id").alias("src_id"), F.explode_outer(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).filter("href is not null")
     paths = pages.select("page_id", F.ltrim(F.regexp_extract("url", r"://[^/?#]*(/[^?#]*)", 1), F.lit("/")).alias("path")).filter("path <> ''")
     found = paths.groupBy("path").agg(F.min("page_id").alias("resolved_id"))
     return hrefs.join(found, F.ltrim(F.col("href"), F.lit("/")) == F.col("path"), "left").groupBy("src_id", "href", "resolved_id").agg(F.count(F.lit(1)).alias("n"))

@@ -74,6 +74,20 @@ def test_tokens_and_scores_agree_with_sqlite(spark):
         assert [(r.id, round(r.score, 6)) for r in got] == want, query
 
 
+def test_ranking_paths_agree(spark, monkeypatch):
+    """Stored postings or texts, broadcast terms or shuffled ones: the same ranks."""
+    rows = [("a", i, f"tion tional {'word ' * (i % 4)}x{i % 3}", None, "") for i in range(30)] + [("b", 1, "word", "word", ""), ("b", 2, None, None, None)]
+    sections = spark.createDataFrame(rows, "corpus string, id long, text string, header string, anchor string")
+    queries = spark.createDataFrame([(1, "word x1 tion*"), (2, "x2 word word"), (3, "??"), (4, None)], "qid int, query string")
+    stats = bm25.corpus_stats(sections)
+    assert {(r.corpus, r.n_docs) for r in stats.collect()} == {("a", 30), ("b", 2)}
+    found = []
+    for limit in (bm25.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", limit)
+        found += [sorted(map(tuple, bm25.bm25(queries, post, stats).collect())) for post in (bm25.postings(sections), bm25.occurrences(sections))]
+    assert found[0] and all(f == found[0] for f in found)
+
+
 def test_fusion_order_of_lists_only_breaks_ties(spark):
     a = spark.createDataFrame([(1, "c", 10, 1), (1, "c", 20, 2)], "qid int, corpus string, id long, rank int")
     b = spark.createDataFrame([(1, "c", 30, 1), (1, "c", 20, 2)], "qid int, corpus string, id long, rank int")
