@@ -195,6 +195,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those judged 'und' go, by id."""
+    """Documents in a known language; those judged 'und' go. Ids decide, so rows of one id go together, and so do those without one."""
     gone = identify_documents(docs).filter("lang = 'und'").select(F.col("id").alias("gone_id")).dropDuplicates()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti").select(docs.columns)

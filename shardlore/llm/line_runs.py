@@ -1,7 +1,8 @@
 r"""Line dedup over levelled sorted runs of line hashes.
 
-A *run* is a table ``(h1, h2, n_docs, top_doc)`` range-sorted by a 128-bit line
-hash: in how many documents a line occurs, and the largest id among them.  New
+A *run* is a table ``(h1, h2, n_docs, top_doc)`` dealt to files by a 128-bit
+line hash and sorted by it within each: in how many documents a line occurs, and
+the largest id among them.  New
 batches become level-0 runs; ``fanout`` runs of a level are merged into one run
 of the next, so a store of n batches keeps O(fanout * log n) runs.
 

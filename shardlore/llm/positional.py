@@ -263,10 +263,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but the contaminated ones; ids decide, so rows of one id go together."""
+    """Documents but the contaminated ones; ids decide, so rows of one id go together, and so do those without one."""
     index = staged(build_index(docs), "positional-index")
-    bad = contamination(index, read_table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = contamination(index, read_table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti").select(docs.columns)
 
 
 SQL = r"""

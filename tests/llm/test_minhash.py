@@ -117,3 +117,10 @@ def test_stage_keeps_one_of_each_group(spark, sf_dir):
     kept = {i for i, *_, k in brute(rows) if k}
     out = mh.dedup_stage(spark, docs, sf_dir)
     assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} == kept
+
+
+def test_stage_with_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, "a"), (1, text, "a"), (2, "other words", None), (3, f"{text} x", "b"), (None, "a b c", "c"), (None, "a b c", "c")]
+    out = mh.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, rep string"), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
