@@ -263,12 +263,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but the contaminated ones; ids decide, so rows of one id go together, and so do those without one."""
+    """Documents without a benchmark passage: one goes as soon as WINDOW of its words lie in windows of any item.
+
+    One leaked passage is enough here; ``contaminated`` of the query is about
+    several items.  An item shorter than a window is no passage on its own.
+    Ids decide, so rows of one id go together, and so do those without one.
+    """
     index = staged(build_index(docs), "positional-index")
-    bad = contamination(index, read_table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = contamination(index, read_table(spark, sf_dir, "benchmark")).filter(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti").select(docs.columns)
 
 
+
 SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
