@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from .common import binary_column, read_table, staged
 
 LANGUAGES = ("de", "en", "es", "fr")
 SAMPLE = 500
+#: So many times the sample is ranked: fewer than SAMPLE of 4,000 expected hashes are never met in practice.
+SPARE = 8
 BINS = 1 << 16
 KAPPA = 5.0
 #: Trigrams' worth of evidence of a long text at most.
@@ -78,9 +81,13 @@ _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
     """(len(languages) + 1, BINS) log probabilities; the last row is the background. At most sample rows a language."""
-    chosen = labelled.filter(F.col(label_col).isin(*languages)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("id", "label").dropDuplicates()
+    named = labelled.filter(F.col(label_col).isin(*languages)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("h", F.xxhash64("id"))
+    # hashes are even, so the smallest of n rows lie below a known bound; what is above it needn't be ranked
+    sizes = named.groupBy("label").agg(F.approx_count_distinct("id").alias("n")).collect()  # a row a language
+    bounds = {r["label"]: -(2**63) + min(2**64 - 1, 2**64 * SPARE * sample // max(1, r["n"])) for r in sizes}
+    below = reduce(lambda a, b: a | b, [(F.col("label") == label) & (F.col("h") <= bound) for label, bound in bounds.items()], F.lit(False))
+    order = Window.partitionBy("label").orderBy("h", "id")
+    chosen = named.filter(below).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("id", "label").dropDuplicates()
     # at most sample * len(languages) ids
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 

@@ -67,6 +67,14 @@ def test_held_out_accuracy(spark, sf_dir):
     assert np.mean([r.lang == r.truth for r in found]) > 0.98
 
 
+def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
+    rows = [(k, "the cat " * (1 + k % 3) if k % 2 else "der hund", "en" if k % 2 else "de") for k in range(2000)] + [(7, "the cat", "en")] * 3000 + [(None, "und", "fr")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fast = li.fit(docs, "doc_id", "text", "lang", sample=20)
+    monkeypatch.setattr(li, "SPARE", 10**9)  # ranks all
+    assert np.array_equal(fast, li.fit(docs, "doc_id", "text", "lang", sample=20))
+
+
 def test_stage_keeps_documents_in_known_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(9001, "", "en", "s", 0), (9002, None, "en", "s", 0), (9003, "123 456 ###", "en", "s", 11), (9004, "это русский текст без перевода " * 5, "en", "s", 155)], docs.schema)
