@@ -107,9 +107,9 @@ def _keyword(name: str, text: str) -> None:
     query(sql, name)(run)
 
 
-_keyword("bm25_exact", "tionening handor erthation")
+_keyword("bm25_exact", "attion eriner thanedble")
 _keyword("bm25_prefix", "eren* the")
-_keyword("bm25_repeat_term", "ation ation hering")
+_keyword("bm25_repeat_term", "ertion ertion antion")
 _keyword("bm25_common_terms", "the of and to")
 _keyword("bm25_void_query", "the OR* of")
 _keyword("bm25_no_terms", "??? ...")
