@@ -255,9 +255,14 @@ def _unfinished(pairs: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     split = parts.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1")
     # a group of two was settled by its only link
     split = split.filter("size > 2").select("group", F.col("top.comp").alias("main"), F.ceil(F.col("size") / block).alias("blocks"), F.ceil((F.col("size") - F.col("top.n")) / block).alias("odd_blocks"))
+    # one row a group, written so that both sides of the join are plain shuffles
+    split = staged(split, "minhash-split")
+    if not split.limit(1).count():
+        return None
     todo = members.join(split, "group").withColumn("odd", F.col("comp") != F.col("main"))
     deal = lambda n: F.expr(f"pmod(xxhash64(id), {n})")
-    todo = todo.select("id", "group", "comp", "odd", deal("blocks").alias("k"), deal("odd_blocks").alias("odd_k"), "blocks", "odd_blocks")
+    # written, so that the join ends its stage and AQE can split the members of a large group
+    todo = staged(todo.select("id", "group", "comp", "odd", deal("blocks").alias("k"), deal("odd_blocks").alias("odd_k"), "blocks", "odd_blocks"), "minhash-todo")
     # each block of odd ones meets each block of the group: a row per block met, not per pair
     as_left = todo.filter("odd").select("id", "group", "comp", F.col("odd_k").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
     as_right = todo.select("id", "group", "comp", F.explode(F.expr("sequence(0L, odd_blocks - 1)")).alias("i"), F.col("k").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
