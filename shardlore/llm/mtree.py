@@ -12,8 +12,8 @@ entry has a vector and that distance.  The search takes the page of the smallest
 lower bound first; with the stored distances it discards entries by
 |d(q, parent) - d(entry, parent)| - radius > d_k before computing d(q, entry).
 
-Vectors are dealt by id to trees of about ``tree_rows`` and queries to blocks
-of about ``block_rows``; each (tree, block) pair is one bounded piece of work,
+Vectors are dealt by id to trees of at least about ``tree_rows`` and queries to
+blocks of about ``block_rows``; each (tree, block) pair is one bounded piece of work,
 and the trees' best k are merged by a window that trims before its shuffle.
 Equal vectors of a tree are one entry that keeps its k + 1 smallest ids: no
 more can be in a result, so the answer stays exact with any number of copies.
@@ -40,7 +40,8 @@ from .common import read_table, staged
 TOP = 20
 SCALE = 64
 QUERY_STEP = 20
-TREE_ROWS = 8192
+#: Vectors of a tree: at least the first, at most the second (some 70 MB with 64 components), with 64 trees in between.
+TREE_ROWS, MOST_TREE_ROWS, TREES = 8192, 65_536, 64
 BLOCK_ROWS = 4096
 PAGE = 512
 FANOUT = 16
@@ -244,7 +245,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by query_step."""
     rows = staged(usable_vectors(vectors, id_col, vector_col), "vectors")
     n = rows.count()
-    trees = max(1, -(-n // tree_rows))
+    # every query goes to every tree, so trees are large where that still leaves work for all executors
+    trees = max(1, -(-n // max(tree_rows, min(MOST_TREE_ROWS, n // TREES))))
     blocks = max(1, -(-n // (query_step * block_rows)))
     forest = staged(plant(rows, trees, k), "m-trees")
     queries = rows.filter(F.col("id") % query_step == 0).withColumn("dim", F.size("v"))

@@ -15,8 +15,9 @@ def brute(rows, k, step):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"tree_rows": 40, "block_rows": 3}])
-def test_top_k(spark, sizes):
+@pytest.mark.parametrize(("sizes", "trees"), [({}, 64), ({"tree_rows": 40, "block_rows": 3}, 64), ({"tree_rows": 40}, 2)])
+def test_top_k(spark, sizes, trees, monkeypatch):
+    monkeypatch.setattr(mt, "TREES", trees)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(300)]
     rows += [(400 + i, [0.5] * 6) for i in range(90)]  # many copies of one vector
