@@ -58,22 +58,29 @@ def phrases(queries: DataFrame, corpora: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(qid, corpus, id, score, rank): each query's best in each corpus. post: (corpus, term, id, dl, tf)."""
     wanted = phrases(queries, stats)
-    exact = wanted.filter(~F.col("is_prefix")).select("corpus", "qid", "phrase", "term")
-    starts = wanted.filter("is_prefix").select("corpus", "qid", "phrase", F.col("term").alias("prefix"), F.substring("term", 1, 1).alias("lead"))
-    if exact.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        exact = F.broadcast(exact)  # counted: at most BROADCAST_TERMS rows
-    hits = post.join(exact, ["corpus", "term"])
+    # a key is a term, or a prefix with its star, which no term holds; a repeated key counts as often as it is asked for
+    key = F.when(F.col("is_prefix"), F.concat("term", F.lit("*"))).otherwise(F.col("term"))
+    asked = wanted.withColumn("key", key).groupBy("corpus", "qid", "key", "term", "is_prefix").agg(F.count(F.lit(1)).alias("times"))
+    keys = asked.select("corpus", "key", "term", "is_prefix").distinct()
+    exact = keys.filter(~F.col("is_prefix")).select("corpus", "key", "term")
+    starts = keys.filter("is_prefix").select("corpus", "key", F.col("term").alias("prefix"), F.substring("term", 1, 1).alias("lead"))
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = F.broadcast if small else (lambda df: df)  # of tables with a row a key or less, counted just now
+    hits = post.join(few(exact), ["corpus", "term"])
     if starts.limit(1).count():
         # prefixes: the vocabulary is cut by the first sign, then compared
         vocabulary = post.select("corpus", "term").distinct().withColumn("lead", F.substring("term", 1, 1))
-        grown = starts.join(vocabulary, ["corpus", "lead"]).filter(F.startswith("term", "prefix")).select("corpus", "qid", "phrase", "term")
+        grown = few(starts).join(vocabulary, ["corpus", "lead"]).filter(F.startswith("term", "prefix")).select("corpus", "key", "term")
         hits = hits.unionByName(post.join(grown, ["corpus", "term"]))
-    tf = hits.groupBy("qid", "corpus", "phrase", "id", "dl").agg(F.sum("tf").alias("f"))
-    df = tf.groupBy("qid", "corpus", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(df, ["qid", "corpus", "phrase"]).join(F.broadcast(stats), "corpus")  # stats: one row a corpus
+    # each key's weight in each text is computed once; queries meet it only before the last sum
+    tf = hits.groupBy("corpus", "key", "id", "dl").agg(F.sum("tf").alias("f"))
+    df = tf.groupBy("corpus", "key").agg(F.count(F.lit(1)).alias("n"))
+    weighed = tf.join(few(df), ["corpus", "key"]).join(F.broadcast(stats), "corpus")  # stats: one row a corpus
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    sums = scored.groupBy("qid", "corpus", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    weighed = weighed.select("corpus", "key", "id", part.alias("part"))
+    met = weighed.join(few(asked.select("corpus", "qid", "key", "times")), ["corpus", "key"])
+    sums = met.groupBy("qid", "corpus", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid", "corpus").orderBy(F.desc("score"), "id"))
     return sums.withColumn("rank", rank).filter(F.col("rank") <= depth)
