@@ -74,7 +74,8 @@ PATTERNS = (
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}(?![\w-])|(?<![\w(+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+(-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])")),
     ("title", re.compile(rf"(?<!\w)((?i:{'|'.join(TITLES)}))(\.?\s{{1,2}})({_NAME})(?:(\s)({_NAME}))?")),
-    ("person", re.compile(rf"(?<!\w)({_NAME})(\s)({_NAME})(?!\w)")),
+    # the second name is only looked at: it may be the first of the next pair
+    ("person", re.compile(rf"(?<!\w)({_NAME})(?=(\s)({_NAME})(?!\w))")),
 )
 #: The patterns cost most where nothing is to be found; a text without these can have no entity of the kind.
 _HINTS = {"email": re.compile("@"), "title": re.compile(rf"(?<!\w)(?i:{'|'.join(TITLES)})(?!\w)"), "person": re.compile("|".join(sorted({n for names in FIRST.values() for n in names})))}
@@ -144,7 +145,7 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                     add(*m.span(5), "last", f"{script_of(m[5])}:{m[5].casefold()}")
                 else:
                     add(*m.span(3), "last", f"{script_of(m[3])}:{m[3].casefold()}")
-            elif kind == "person" and m[1].casefold() in _GENDER and m[3].casefold() in _LAST:
+            elif kind == "person" and m[1].casefold() in _GENDER and m[3].casefold() in _LAST and (not found or m.start() >= found[-1][1]):
                 add(*m.span(1), "first", f"{script_of(m[1])}:{_GENDER[m[1].casefold()]}:{m[1].casefold()}")
                 add(*m.span(3), "last", f"{script_of(m[3])}:{m[3].casefold()}")
         if found:

@@ -62,6 +62,16 @@ def test_names(out):
     assert m[5] in sg.FIRST["cyrillic", "m"] and m[6] in sg.LAST["cyrillic"] and m[7] not in (m[1], "Jones")
 
 
+def test_names_after_capitalised_words():
+    names = lambda t: [(t[a:b], k) for a, b, k, _ in sg.find_entities(t)]
+    full = [("Anna", "first"), ("Smith", "last")]
+    for text in ("Contact Anna Smith today", "Dear Anna Smith,", "Yesterday Anna Smith came", "The New Contact Anna Smith Today", "Anna Anna Smith", "Wir sahen es. Gestern Anna\nSmith"):
+        assert names(text) == full, text
+    assert names("Anna Smith Peter Jones") == [*full, ("Peter", "first"), ("Jones", "last")]
+    assert names("Сегодня Иван Петров") == [("Иван", "first"), ("Петров", "last")]
+    assert names("Contact Anna Nobody Smith") == names("Contact Anna. Smith") == []
+
+
 def test_collisions_are_drawn_again(spark):
     """More last names than the list has, among them every name of it."""
     names = [f"latin:{n.casefold()}" for n in sg.LAST["latin"]] + [f"latin:name{k}" for k in range(100)]
