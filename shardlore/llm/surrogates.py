@@ -66,7 +66,7 @@ _LAST = {n.casefold() for names in LAST.values() for n in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][^\W\d_]+(?:[-'’][A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][^\W\d_]+)?"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])", re.A)),
-    ("secret", re.compile(r"""(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?token|private[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9+/_.=-]{8,512})""")),
+    ("secret", re.compile(r"""(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?token|private[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9+/_.=-]{8,})""")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})", re.A)),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("card", re.compile(r"(?<![\d.-])(?:\d{4}[ -]?){3}\d{4}(?:\d{1,3})?(?![\d-]|\.\d)|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-]|\.\d)")),

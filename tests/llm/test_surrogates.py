@@ -72,6 +72,15 @@ def test_names_after_capitalised_words():
     assert names("Contact Anna Nobody Smith") == names("Contact Anna. Smith") == []
 
 
+@pytest.mark.parametrize("length", [8, 512, 513, 800, 100_000])
+def test_secrets_of_any_length(spark, length):
+    secret = ("Ab1/cD2+eF3_" * length)[:length]
+    docs = spark.createDataFrame([(1, f"token={secret} end")], "doc_id long, text string")
+    (row,) = sg.replace_entities(docs).select("n_entities", "new_text").collect()
+    left = re.fullmatch(r"token=(\S+) end", row.new_text)[1]
+    assert row.n_entities == 1 and len(left) == length and secret[-8:] != left[-8:] and secret[:8] != left[:8]
+
+
 def test_collisions_are_drawn_again(spark):
     """More last names than the list has, among them every name of it."""
     names = [f"latin:{n.casefold()}" for n in sg.LAST["latin"]] + [f"latin:name{k}" for k in range(100)]
