@@ -78,7 +78,7 @@ PATTERNS = (
     ("person", re.compile(rf"(?<!\w)({_NAME})(?=(\s)({_NAME})(?!\w))")),
 )
 #: The patterns cost most where nothing is to be found; a text without these can have no entity of the kind.
-_HINTS = {"email": re.compile("@"), "title": re.compile(rf"(?<!\w)(?i:{'|'.join(TITLES)})(?!\w)"), "person": re.compile("|".join(sorted({n for names in FIRST.values() for n in names})))}
+_HINTS = {"email": re.compile("@"), "title": re.compile(rf"(?<!\w)(?i:{'|'.join(TITLES)})(?!\w)")}
 
 
 def luhn(digits: str) -> bool:

@@ -72,6 +72,14 @@ def test_names_after_capitalised_words():
     assert names("Contact Anna Nobody Smith") == names("Contact Anna. Smith") == []
 
 
+def test_names_in_capitals_alone(spark):
+    texts = [(1, "ANNA SMITH called"), (2, "CONTACT JÜRGEN MÜLLER NOW"), (3, "ИВАН ПЕТРОВ"), (4, "Then Anna Smith"), (5, "AnNA SMith"), (6, "anna smith"), (7, "Soﬁa Smith")]
+    rows = sg.replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).select("row.doc_id", "n_entities", "new_text").collect()
+    out = {r.doc_id: r for r in rows}
+    assert [out[k].n_entities for k in range(1, 8)] == [2, 2, 2, 2, 2, 0, 2]
+    assert out[1].new_text.removesuffix(" called") == out[4].new_text.removeprefix("Then ").upper()
+
+
 @pytest.mark.parametrize("length", [8, 512, 513, 800, 100_000])
 def test_secrets_of_any_length(spark, length):
     secret = ("Ab1/cD2+eF3_" * length)[:length]
