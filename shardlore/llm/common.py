@@ -47,6 +47,14 @@ def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_unnamed(docs: DataFrame, id_col: str, tag: str) -> DataFrame | None:
+    """The rows of docs without an id, with numbers for ids, or None if there are none. Written, so that the numbers stay."""
+    unnamed = docs.filter(F.col(id_col).isNull())
+    if not unnamed.limit(1).count():
+        return None
+    return staged(unnamed.withColumn(id_col, F.monotonically_increasing_id()), tag)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import numbered_unnamed, read_table, staged
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -68,13 +68,17 @@ def training_time(u, slope) -> F.Column:
     return 2 * u / (1 - slope + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, positions): one row per document."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, row_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, positions): one row per document.
+
+    row_col numbers rows without an id; it is returned as well, and their equal sizes go by text.
+    """
     n = docs.count()
     ranges = max(1, -(-n // RANGE_ROWS))
     ident = F.col(id_col).cast("long")
     key = F.md5(F.coalesce(ident.cast("string"), F.lit("")))
-    rows = docs.select(ident.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
+    own = [] if row_col is None else [F.when(ident.isNull(), F.md5(text_col)).alias("tie"), F.col(row_col).alias("number")]
+    rows = docs.select(ident.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *own)
     part = F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * ranges / 2**28).cast("long")
     rows = staged(rows.withColumn("part", part), "mix-sizes")
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -82,14 +86,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     sums = sums.join(targets, sums["source"].eqNullSafe(targets["source"])).select(sums["source"].alias("s"), F.col("part").alias("p"), "ahead", "source_size", "target", "slope")
-    inner = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", *(["tie", "number"] if own else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     start = lambda e: F.col("ahead") + F.col("inside") + F.col("source_size") * e
     chosen = [F.when((F.col("size") > 0) & (2 * start(e) + F.col("size") <= 2 * F.col("target")), training_time((2 * start(e) + F.col("size")) / (2 * F.col("target")), F.col("slope"))) for e in range(max_epochs)]
     rows = rows.withColumn("positions", F.array_compact(F.array(*chosen)))
     taken = F.col("size") * F.size("positions")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "positions")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "positions", *(["number"] if own else []))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +106,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, a row for each time the mix takes one, with epoch and training time, range-sorted by it.
 
-    Repeated doc_ids must be equal rows; they are mixed once.
+    Repeated doc_ids must be equal rows; they are mixed once.  Rows without a
+    doc_id are mixed one by one.
     """
-    plan = mix(docs, id_col).groupBy("doc_id").agg(F.max("positions").alias("positions"))
-    plan = plan.select(F.col("doc_id").alias("mixed_id"), F.posexplode("positions").alias("epoch", "position"))
-    out = docs.join(plan, docs[id_col] == plan["mixed_id"]).drop("mixed_id")
+
+    def taken(rows: DataFrame, positions: DataFrame) -> DataFrame:
+        plan = positions.select(F.col("doc_id").alias("mixed_id"), F.posexplode("positions").alias("epoch", "position"))
+        return rows.join(plan, rows[id_col] == plan["mixed_id"]).drop("mixed_id")
+
+    once = lambda mixed: mixed.groupBy("doc_id").agg(F.max("positions").alias("positions"))
+    unnamed = numbered_unnamed(docs, id_col, "mix-unnamed")
+    if unnamed is None:
+        return taken(docs, once(mix(docs, id_col))).orderBy("position", id_col)
+    named = docs.filter(F.col(id_col).isNotNull())
+    nothing = F.lit(None).cast(docs.schema[id_col].dataType)
+    rows = named.select(id_col, "text", "source", F.lit(None).cast("long").alias("row"))
+    rows = rows.union(unnamed.select(nothing, "text", "source", F.col(id_col).alias("row")))
+    mixed = staged(mix(rows, id_col, row_col="row"), "mix-plan")
+    out = taken(named, once(mixed.filter("doc_id is not null")))
+    out = out.unionByName(taken(unnamed, mixed.filter("doc_id is null").select(F.col("number").alias("doc_id"), "positions")).withColumn(id_col, nothing))
     return out.orderBy("position", id_col)
 
 

@@ -136,7 +136,8 @@ def text_evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...]
                 ["id", "host", "declared", "n", "logs", "vote"],
             )
 
-    out = rows.mapInArrow(run, "id long, host string, declared string, n long, logs array<double>, vote int")
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"id {kind}, host string, declared string, n long, logs array<double>, vote int")
     labels = F.split("host", r"\.")
     domain = F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, F.size(labels) - 1, 2), "."))
     suffix = F.when(F.size(labels) >= 2, F.element_at(labels, -1))
@@ -189,10 +190,11 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return fuse(staged(text_evidence(rows, fit(docs, "doc_id", "text", "lang"), html=True), "lang-evidence"))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
-    """Languages of documents: lang is the declared language, source the host."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("source").alias("host"), F.lower("lang").alias("declared"))
-    return fuse(staged(text_evidence(rows, fit(docs, "doc_id", "text", "lang")), "lang-evidence"))
+def identify_documents(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """Languages of documents: lang is the declared language, source the host, id the key (doc_id, if none is given)."""
+    docs = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("id"), "text", "source", "lang")
+    rows = docs.select("id", "text", F.col("source").alias("host"), F.lower("lang").alias("declared"))
+    return fuse(staged(text_evidence(rows, fit(docs, "id", "text", "lang")), "lang-evidence"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +203,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "page_id").withColumn("confidence", F.round("confidence", 6))
 
 
+def document_key() -> F.Column:
+    """doc_id, or for a row without one all that its language is judged by. It has the hash of the bare doc_id."""
+    unnamed = F.col("doc_id").isNull()
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.when(unnamed, c).alias(n) for n, c in (("text", F.sha2("text", 256)), ("source", F.col("source")), ("lang", F.col("lang")))])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those judged 'und' go. Ids decide, so rows of one id go together, and so do those without one."""
-    gone = identify_documents(docs).filter("lang = 'und'").select(F.col("id").alias("gone_id")).dropDuplicates()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti").select(docs.columns)
+    """Documents in a known language; those judged 'und' go. Ids decide, so rows of one id go together; a row without one is judged on its own."""
+    gone = identify_documents(docs, document_key()).filter("lang = 'und'").select(F.col("id").alias("gone_id")).dropDuplicates()
+    return docs.join(gone, document_key() == gone["gone_id"], "left_anti").select(docs.columns)

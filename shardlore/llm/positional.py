@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, read_table, staged, text_batches
+from .common import WordHashes, numbered_unnamed, read_table, staged, text_batches
 
 WINDOW = 8
 SEGMENT_WORDS = 1_000_000
@@ -267,11 +267,21 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     One leaked passage is enough here; ``contaminated`` of the query is about
     several items.  An item shorter than a window is no passage on its own.
-    Ids decide, so rows of one id go together, and so do those without one.
+    Ids decide, so rows of one id go together; a row without one is judged on
+    its own.
     """
-    index = staged(build_index(docs), "positional-index")
-    bad = contamination(index, read_table(spark, sf_dir, "benchmark")).filter(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti").select(docs.columns)
+    items = read_table(spark, sf_dir, "benchmark")
+
+    def clean(rows: DataFrame) -> DataFrame:
+        index = staged(build_index(rows), "positional-index")
+        bad = contamination(index, items).filter(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("bad_id")).distinct()
+        return rows.join(bad, rows["doc_id"].cast("long") == bad["bad_id"], "left_anti").select(docs.columns)
+
+    unnamed = numbered_unnamed(docs, "doc_id", "positional-unnamed")
+    if unnamed is None:
+        return clean(docs)
+    nothing = F.lit(None).cast(docs.schema["doc_id"].dataType)
+    return clean(docs.filter(F.col("doc_id").isNotNull())).unionByName(clean(unnamed).withColumn("doc_id", nothing))
 
 
 

@@ -78,3 +78,24 @@ def test_rows_are_range_sorted_and_empty_tables(spark):
     assert cu.mix(docs.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, "a", None)], docs.schema)
     assert [(r.target, r.taken) for r in cu.mix(blank).collect()] == [(0.0, 0)]
+
+
+def test_rows_without_an_id_are_mixed_one_by_one(spark):
+    rows = corpus() + [(None, "hot" if k % 2 else None, "word " * (k % 5 + 1) + str(k % 20)) for k in range(60)] + [(None, "hot", ""), (None, "hot", None)]
+    docs = spark.createDataFrame([r for r in rows if r[0] != 0], "doc_id long, source string, text string")
+    out = cu.mixed_rows(docs).collect()
+    assert [r.position for r in out] == sorted(r.position for r in out)
+    key = lambda r, n: (r.doc_id, r.source, n)
+    want = [(key(r, r["size"]), e, t) for r in cu.mix(docs).collect() if r.doc_id is None for e, t in enumerate(r.positions)]
+    texts = {}
+    for r in out:
+        if r.doc_id is None:
+            texts.setdefault((r.source, r.text), []).append(r.epoch)
+    assert sorted(((key(r, len(r.text.split())), r.epoch, r.position) for r in out if r.doc_id is None), key=str) == sorted(want, key=str) and len(want) >= 60
+    copies = {}
+    for i, source, text in rows:
+        if i is None:
+            copies[source, text] = copies.get((source, text), 0) + 1
+    assert all(es.count(e) <= copies[k] for k, es in texts.items() for e in es)
+    again = cu.mixed_rows(docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))

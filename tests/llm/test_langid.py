@@ -83,6 +83,16 @@ def test_stage_keeps_documents_in_known_languages(spark):
     assert out.columns == docs.columns and kept == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("share", [7, 1])
+def test_stage_judges_rows_without_an_id_one_by_one(spark, share):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % share != 0, F.col("doc_id")))
+    odd = spark.createDataFrame([(None, "", "en", "s", 0), (None, None, None, None, 0), (None, "это русский текст без перевода " * 5, "en", "s", 155)], docs.schema)
+    out = li.language_stage(spark, docs.union(odd), "")
+    kept = sorted(map(str, out.collect()))
+    assert out.schema == docs.schema and kept == sorted(map(str, docs.collect()))
+
+
 def test_empty_tables(spark, labelled):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert li.identify_pages(pages, labelled).count() == 0

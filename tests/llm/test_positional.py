@@ -81,3 +81,15 @@ def test_stage(spark):
     with tempfile.TemporaryDirectory() as folder:
         benchmark.write.parquet(f"{folder}/benchmark.parquet")
         assert {r.doc_id for r in ps.decontaminate_stage(spark, docs, folder).collect()} == want
+
+
+def test_stage_judges_rows_without_an_id_one_by_one(spark, tmp_path):
+    docs = spark.createDataFrame([*[(None, t, "en") for _, t in DOCS], (0, "clean", "en"), (1, PHRASE, "en")], "doc_id long, text string, lang string")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    hits = {r[0]: r[2] for r in brute([(k, t) for k, (_, t) in enumerate(DOCS)], ITEMS)}
+    want = [t for k, (_, t) in enumerate(DOCS) if hits[k] < 8]
+    out = ps.decontaminate_stage(spark, docs, f"file://{tmp_path}")
+    rows = out.collect()
+    assert out.schema == docs.schema and 1 < len(want) < len(DOCS)
+    assert sorted((r.text for r in rows if r.doc_id is None), key=str) == sorted(want, key=str)
+    assert [(r.doc_id, r.text) for r in rows if r.doc_id is not None] == [(0, "clean")]
