@@ -1,31 +1,45 @@
 r"""PII: detected entities get keyed, type-consistent surrogates.
 
-Detection is by strict patterns with validity checks: e-mail addresses, phone
-numbers, IPv4 addresses, card numbers, IBANs, US social security numbers,
-secrets assigned to a named variable or with a known prefix, and persons named
-by a title or by two gazetteer names.
+Detection is by strict patterns: e-mail addresses, phone numbers, IPv4
+addresses, card numbers (digits in a card's layout, Luhn-valid or not), IBANs
+with right check digits, US social security numbers, secrets assigned to a named
+variable or with a known prefix, and persons.  Digits of any script count.
+
+Persons are names after a title, and pairs of a first and a last name.  Which
+words are names isn't fixed but learnt from the whole corpus: a word is a first
+(last) name if the documents that have it in this place after a title are at
+least one for each ``TITLE_SHARE`` that have it in this place of a capitalised
+pair.  The share doesn't change with the corpus' size.  The small gazetteers
+below only add to these, and are what name surrogates are drawn from.
 
 An entity is (kind, canonical form): case, spaces and punctuation of a surface
 don't matter, so one entity has one surrogate in the whole corpus
-(coreference), laid out in each surface's own format: digits for digits,
-letters for letters in the same case, separators as they were, a phone with or
-without its country code.  Kinds keep what
-makes them valid: a card's Luhn property and first digit, an IBAN's country and
-check digits, a phone's country code, octets below 256, a top-level domain; a
-first name's surrogate has its gender and script, a last name's its script.
+(coreference), laid out in each surface's own format: digits for digits in the
+surface's script, letters for letters in the same case, separators as they were,
+a phone with or without its country code.  Kinds keep what makes them valid: a
+card's Luhn property and first digit, an IBAN's country and check digits, a
+phone's country code, octets below 256, a top-level domain; a first name's
+surrogate has its gender (if titles and gazetteers agree on one) and script, a
+last name's its script.  The domain of an address is an entity of its own:
+colleagues stay colleagues, and distinct domains stay distinct.
 
 Surrogates come from HMAC-SHA256 under a secret key.  Collision checks: over
 the distinct entities, a surrogate that two entities share (all but the least
-of them), or that is itself an entity of the corpus, is drawn again with the
-next attempt number until none is left, so distinct entities stay distinct.
+of them), or that is itself an entity of the corpus, is drawn again; only such
+entities are.  After ``FIRM`` attempts a surrogate may be longer than its
+surface, ever more so, so that entities of a format with too few values (a
+domain of one letter, a secret of signs) become distinct as well, and no entity
+can stop a run.
 
 The entity table is grouped with partial aggregates; texts meet their
-replacements in one join, and texts without entities carry none.
+replacements in one join on a hash of (id, text).  A collision of that hash
+only adds replacements that the other text doesn't use.
 
 Edge cases: null or empty texts have no entities and stay as they are.
-Repeated rows get equal results.  A null doc_id is matched as one document.  An
-empty table gives an empty result.  Extra columns are carried by
-:func:`replace_entities` inside ``row`` whatever their names.
+Repeated rows get equal results; rows without an id, and different texts of one
+id, are each replaced on their own.  An empty table gives an empty result.
+Extra columns are carried by :func:`replace_entities` inside ``row`` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,7 +47,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from dataclasses import dataclass
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,7 +59,10 @@ from .common import read_table, staged
 
 #: Give a secret key of your own; this one only makes runs agree.
 KEY = b"shardlore-example-key"
-ATTEMPTS = 40
+#: Documents with a word in a pair that one with it after a title speaks for.
+TITLE_SHARE = 20
+#: Attempts that keep the length of the surface.
+FIRM = 3
 
 FIRST = {
     ("latin", "f"): "Anna Maria Laura Emma Julia Sarah Elena Sofia Clara Marie Lucia Paula Alice Helen Irene Nora Eva Ines Rosa Carmen Claire Sophie Camille Greta Heidi Ingrid Linda Mary Susan Karen".split(),
@@ -60,6 +79,7 @@ LAST = {
 }
 SYLLABLES = {"latin": "ra lin to mar ve ni sol der ka min".split(), "cyrillic": "ра лин то мар ве ни сол дер ка мин".split(), "greek": "ρα λιν το μαρ βε νι σολ δερ κα μιν".split()}
 TITLES = {"mr": "m", "sir": "m", "herr": "m", "monsieur": "m", "señor": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "г-н": "m", "г-жа": "f", "κύριος": "m", "κυρία": "f", "dr": "", "prof": ""}
+_TITLE_GENDER = {re.compile(re.escape(t), re.I): g for t, g in TITLES.items()}
 _GENDER = {n.casefold(): g for (_, g), names in FIRST.items() for n in names}
 _LAST = {n.casefold() for names in LAST.values() for n in names}
 
@@ -106,10 +126,37 @@ def country_code(digits: str) -> str:
     return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
 
 
-def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form), in order and without overlaps; later patterns don't see what earlier ones took."""
+#: Digits of scripts other than ASCII's; each script has its ten in a row.
+_FOREIGN_DIGIT = re.compile(r"[^\D0-9]")
+_TO_ASCII = {c: int(chr(c)) + 48 for c in range(128, 0x20000) if chr(c).isdecimal()}
+
+
+def title_gender(title: str) -> str:
+    """Whatever the pattern matched without regard to case, such as a long s, is one of the titles."""
+    return next(g for pattern, g in _TITLE_GENDER.items() if pattern.fullmatch(title))
+
+
+def name_form(name: str) -> str:
+    return f"{script_of(name)}:{name.casefold()}"
+
+
+@dataclass
+class Found:
+    """spans: (start, end, kind, canonical form), in order and without overlaps; genders: (first name, gender or ""); pairs: capitalised words in pairs that aren't known as names."""
+
+    spans: list[tuple[int, int, str, str]]
+    genders: set[tuple[str, str]]
+    pairs: set[tuple[str, str]]
+
+
+def detect(text: str, firsts: Container[str] = (), lasts: Container[str] = ()) -> Found:
+    """The entities of a text; firsts and lasts: forms of names beyond the gazetteers. Later patterns don't see what earlier ones took."""
     taken: list[tuple[int, int, str, str]] = []
     found: list[tuple[int, int, str, str]] = []
+    genders: set[tuple[str, str]] = set()
+    pairs: set[tuple[str, str]] = set()
+    if not text.isascii() and _FOREIGN_DIGIT.search(text):
+        text = text.translate(_TO_ASCII)  # one code point for one: places stay
     rest = text
 
     def add(start: int, end: int, kind: str, canon: str) -> None:
@@ -139,15 +186,20 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "ip":
                 add(*m.span(), kind, ".".join(str(int(x)) for x in m[0].split(".")))
             elif kind == "title":
-                gender = TITLES[m[1].lower()]
+                if m[1] == "miss":  # far more often a verb
+                    continue
                 if m[5]:
-                    add(*m.span(3), "first", f"{script_of(m[3])}:{_GENDER.get(m[3].casefold(), gender)}:{m[3].casefold()}")
-                    add(*m.span(5), "last", f"{script_of(m[5])}:{m[5].casefold()}")
+                    add(*m.span(3), "first", name_form(m[3]))
+                    genders.add((name_form(m[3]), _GENDER.get(m[3].casefold(), title_gender(m[1]))))
+                add(*m.span(5 if m[5] else 3), "last", name_form(m[5] or m[3]))
+            elif not found or m.start() >= found[-1][1]:
+                first, last = name_form(m[1]), name_form(m[3])
+                if (m[1].casefold() in _GENDER or first in firsts) and (m[3].casefold() in _LAST or last in lasts):
+                    add(*m.span(1), "first", first)
+                    add(*m.span(3), "last", last)
+                    genders.add((first, _GENDER.get(m[1].casefold(), "")))
                 else:
-                    add(*m.span(3), "last", f"{script_of(m[3])}:{m[3].casefold()}")
-            elif kind == "person" and m[1].casefold() in _GENDER and m[3].casefold() in _LAST and (not found or m.start() >= found[-1][1]):
-                add(*m.span(1), "first", f"{script_of(m[1])}:{_GENDER[m[1].casefold()]}:{m[1].casefold()}")
-                add(*m.span(3), "last", f"{script_of(m[3])}:{m[3].casefold()}")
+                    pairs.add((first, last))
         if found:
             pieces, at = [], 0
             for start, end, *_ in found:
@@ -156,7 +208,11 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             rest = "".join([*pieces, rest[at:]])
             taken += found
             found.clear()
-    return sorted(taken)
+    return Found(sorted(taken), genders, pairs)
+
+
+def find_entities(text: str, firsts: Container[str] = (), lasts: Container[str] = ()) -> list[tuple[int, int, str, str]]:
+    return detect(text, firsts, lasts).spans
 
 
 class _Draw:
@@ -172,53 +228,74 @@ class _Draw:
         value, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
         return value % n
 
-    def like(self, text: str) -> str:
-        """The same format: digit for digit, letter for letter; hex stays hex."""
-        hexed = re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", text) is not None and not text.isdigit()
+    def some(self, n: int, signs: str = "0123456789") -> str:
+        return "".join(signs[self.below(len(signs))] for _ in range(n))
+
+    def like(self, text: str, more: int = 0) -> str:
+        """The same format: digit for digit, letter for letter; hex stays hex; signs alone become letters and digits. more: how many signs longer."""
+        if re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", text) and not text.isdigit():
+            return self.some(len(text) + more, "0123456789ABCDEF" if text.isupper() else "0123456789abcdef")
+        if not any(c.isascii() and c.isalnum() for c in text):
+            return self.some(len(text) + more, "abcdefghijklmnopqrstuvwxyz0123456789")
         out = []
         for c in text:
-            if hexed:
-                d = "0123456789abcdef"[self.below(16)]
-                out.append(d.upper() if text.isupper() else d)
-            elif c.isascii() and c.isdigit():
+            if c.isascii() and c.isdigit():
                 out.append(str(self.below(10)))
             elif c.isascii() and c.isalpha():
                 out.append(chr((65 if c.isupper() else 97) + self.below(26)))
             else:
                 out.append(c)
-        return "".join(out)
+        return "".join(out) + self.some(more, "0123456789" if text.isdigit() else "abcdefghijklmnopqrstuvwxyz")
 
 
-def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
-    """The canonical form of an entity's surrogate."""
+def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY, gender: str = "") -> str:
+    """The canonical form of an entity's surrogate; of an e-mail address, that of its local part."""
     draw = _Draw(key, kind, canon, str(attempt))
+    more = max(0, attempt - FIRM) ** 2
     if kind == "email":
-        local, _, domain = canon.rpartition("@")
-        # a domain's surrogate doesn't depend on the local part: colleagues stay colleagues
-        site = _Draw(key, "domain", domain)
-        labels = domain.split(".")
-        return draw.like(local) + "@" + ".".join([*(site.like(x) for x in labels[:-1]), labels[-1]])
+        return draw.like(canon.rpartition("@")[0], more)
+    if kind == "domain":
+        *labels, top = canon.split(".")
+        return ".".join([*(draw.like(x) for x in labels[:-1]), draw.like(labels[-1], more), top])
     if kind == "phone":
         code = country_code(canon[1:])
-        return "+" + code + draw.like(canon[1 + len(code) :])
+        return "+" + code + draw.like(canon[1 + len(code) :], more)
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        octets = ".".join(str(1 + draw.below(254)) for _ in range(4))
+        # addresses are used up at last: go on in the range that is set apart for documentation
+        return octets if not more else "2001:db8:" + ":".join(draw.some(4, "0123456789abcdef") for _ in range(6))
     if kind == "card":
-        body = canon[0] + draw.like(canon[1:-1])
+        body = canon[0] + draw.like(canon[1:-1], more)
         good = next(str(d) for d in range(10) if luhn(body + str(d)))
         return body + (good if luhn(canon) else str((int(good) + 1 + draw.below(9)) % 10))
     if kind == "iban":
-        body = draw.like(canon[4:])
+        body = draw.like(canon[4:], more)
         return canon[:2] + f"{98 - iban_rest(canon[:2] + '00' + body):02d}" + body
     if kind == "ssn":
-        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}" + draw.some(more)
     if kind in ("first", "last"):
-        script, *gender, _ = canon.split(":")
-        names = FIRST[script, gender[0] or "mf"[draw.below(2)]] if kind == "first" else LAST[script]
+        script = canon.partition(":")[0]
+        names = FIRST[script, gender or "mf"[draw.below(2)]] if kind == "first" else LAST[script]
         name = names[draw.below(len(names))]
-        extra = "".join(SYLLABLES[script][draw.below(10)] for _ in range(min(max(0, attempt - 1), 8)))
-        return ":".join([script, *gender, (name + extra).casefold()])
-    return draw.like(canon)
+        extra = "".join(SYLLABLES[script][draw.below(10)] for _ in range(2 * max(0, attempt - 1)))
+        return f"{script}:{(name + extra).casefold()}"
+    return draw.like(canon, more)
+
+
+def _digit_like(old: str, new: str) -> str:
+    """A digit in the script of another."""
+    return chr(ord(old) - int(old) + int(new)) if old.isdecimal() and new.isdecimal() else new
+
+
+def _filled(surface: str, signs: str, letters: bool) -> str:
+    """surface with its digits (and ASCII letters) replaced in turn; what is left of signs comes at the end."""
+    rest = iter(signs)
+    out = [_digit_like(c, next(rest, c)) if c.isdecimal() or letters and c.isascii() and c.isalpha() else c for c in surface]
+    return "".join([*out, *rest])
+
+
+def _cased(surface: str, value: str) -> str:
+    return "".join(n.upper() if c is not None and c.isupper() else n for c, n in zip_longest(surface, value) if n is not None)
 
 
 def lay_out(kind: str, surface: str, value: str) -> str:
@@ -227,65 +304,106 @@ def lay_out(kind: str, surface: str, value: str) -> str:
         name = value.rpartition(":")[2]
         return name.upper() if surface.isupper() and len(surface) > 1 else "-".join(p.capitalize() for p in name.split("-"))
     if kind == "ip":
-        return value
+        sample = next(c for c in surface if c.isdecimal())
+        return "".join(_digit_like(sample, c) if c.isdecimal() else c for c in value)
     if kind == "secret":
         return value
     if kind == "email":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(surface, value, strict=True))
-    pattern = r"\d" if kind in ("phone", "card", "ssn") else r"[A-Za-z0-9]"
-    signs = re.findall(pattern, value)
-    chars = iter(signs[len(signs) - len(re.findall(pattern, surface)) :])  # a phone's surface may lack the country code
-    return re.sub(pattern, lambda _: next(chars), surface)
+        old, new = surface.rpartition("@"), value.rpartition("@")
+        return _cased(old[0], new[0]) + "@" + ".".join(_cased(*labels) for labels in zip(old[2].split("."), new[2].split("."), strict=True))
+    if kind == "iban":
+        return _filled(surface, value, True)
+    signs = value.removeprefix("+")
+    return _filled(surface, signs[1:] if kind == "phone" and surface[0] != "+" else signs, False)  # a surface without a country code is of country 1
 
 
-ENTITIES = "doc long, kind string, canon string"
+ENTITIES = "doc long, kind string, canon string, note string"
 
 
 def entities(texts: DataFrame) -> DataFrame:
-    """(doc, text) -> distinct (doc, kind, canon)."""
+    """(doc, text) -> distinct (doc, kind, canon, note) with one row a domain, and rows of kind 'pair' for two words that may be names: canon and note.
+
+    The note of a first name is the gender that a title or the gazetteer gives it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, kind, canon) for kind, canon in dict.fromkeys((k, c) for _, _, k, c in find_entities(text or ""))]
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["doc", "kind", "canon"])
+                found = detect(text or "")
+                own = {(k, c, "") for _, _, k, c in found.spans if k != "first"} | {("first", *x) for x in found.genders}
+                own |= {("domain", c.rpartition("@")[2], "") for _, _, k, c in found.spans if k == "email"}
+                rows += [(doc, *x) for x in sorted(own)] + [(doc, "pair", *x) for x in sorted(found.pairs)]
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 3), strict=True)], ["doc", "kind", "canon", "note"])
 
     return texts.mapInArrow(run, ENTITIES)
 
 
+def with_learned_names(found: DataFrame) -> DataFrame:
+    """(doc, kind, canon, note): pairs become names where the corpus or the gazetteers know both words as such."""
+    spark = found.sparkSession
+    listed = [("first", name_form(n)) for names in FIRST.values() for n in names] + [("last", name_form(n)) for names in LAST.values() for n in names]
+    one = lambda kind, name, titled: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("canon"), F.lit(titled).alias("titled"))
+    votes = F.when(F.col("kind") == "first", F.array(one("first", "canon", True))).when(F.col("kind") == "last", F.array(one("last", "canon", True)))
+    votes = votes.when(F.col("kind") == "pair", F.array(one("first", "canon", False), one("last", "note", False)))
+    votes = found.select("doc", F.explode(votes).alias("v")).groupBy("v.kind", "v.canon").agg(F.count_if(F.col("v.titled")).alias("titled"), F.count_if(~F.col("v.titled")).alias("paired"))
+    learnt = votes.filter((F.col("titled") > 0) & (F.col("titled") * TITLE_SHARE >= F.col("paired"))).select("kind", "canon")
+    known = learnt.union(spark.createDataFrame(listed, "kind string, canon string")).dropDuplicates()
+    firsts = known.filter("kind = 'first'").select(F.col("canon"))
+    lasts = known.filter("kind = 'last'").select(F.col("canon").alias("note"))
+    pairs = found.filter("kind = 'pair'").join(lasts, "note", "left_semi").join(firsts, "canon", "left_semi")
+    made = pairs.select("doc", F.explode(F.array(F.struct(F.lit("first").alias("kind"), "canon"), F.struct(F.lit("last").alias("kind"), F.col("note").alias("canon")))).alias("e"))
+    return found.filter("kind <> 'pair'").unionByName(made.select("doc", "e.kind", "e.canon", F.lit("").alias("note")))
+
+
 def assign_surrogates(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, canon) -> also value: distinct within a kind and no entity of the table itself."""
+    """(kind, canon[, note]) -> (kind, canon, value): distinct within a kind (of addresses: within a domain), and no entity of the table itself."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            values = [surrogate(kind, canon, attempt, key) for kind, canon, attempt in zip(*columns[:3], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values, pa.string())], ["kind", "canon", "attempt", "value"])
-
-    schema = "kind string, canon string, attempt int, value string"
-    table = staged(distinct.select("kind", "canon", F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates-0")
-    for round_ in range(1, ATTEMPTS + 1):
-        real = distinct.select("kind", F.col("canon").alias("value"), F.lit(True).alias("real"))
-        # the holder of the lowest attempt keeps a value, so settled ones never move
-        holder = F.row_number().over(Window.partitionBy("kind", "value").orderBy("attempt", "canon"))
-        marked = table.withColumn("place", holder).join(real, ["kind", "value"], "left")
-        bad = (F.col("place") > 1) | F.coalesce("real", F.lit(False))
-        marked = staged(marked.select("kind", "canon", (F.col("attempt") + bad.cast("int")).alias("attempt"), "value", bad.alias("bad")), f"surrogates-check-{round_}")
-        if not marked.filter("bad").limit(1).count():
-            return marked.select("kind", "canon", "value")
-        again = marked.filter("bad").select("kind", "canon", "attempt").mapInArrow(draw, schema)
-        table = staged(marked.filter("not bad").select("kind", "canon", "attempt", "value").union(again), f"surrogates-{round_}")
-    raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts")
+            values = [surrogate(kind, canon, attempt, key, note) for kind, canon, note, _, attempt in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], [*names, "value"])
+
+    names = ["kind", "canon", "note", "scope", "attempt"]
+    schema = "kind string, canon string, note string, scope string, attempt int, value string"
+    place = ["kind", "scope", "value"]
+    if "note" not in distinct.columns:
+        distinct = distinct.withColumn("note", F.lit(""))
+    mail = F.col("kind") == "email"
+    every = distinct.withColumn("scope", F.when(mail, F.substring_index("canon", "@", -1)).otherwise(""))
+    real = every.select("kind", "scope", F.when(mail, F.expr("left(canon, length(canon) - length(scope) - 1)")).otherwise(F.col("canon")).alias("value")).withColumn("real", F.lit(True))
+    order = F.row_number().over(Window.partitionBy(*place).orderBy("canon"))
+
+    def checked(drawn: DataFrame, tag: str, others: DataFrame) -> DataFrame:
+        bad = (order > 1) | F.coalesce("real", F.lit(False))
+        return staged(drawn.join(others, place, "left").withColumn("bad", bad).select(*names, "value", "bad"), tag)
+
+    rows = checked(every.select(*names[:4], F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates-0", real)
+    settled = rows.filter("not bad")
+    attempt = 0
+    while rows.filter("bad").limit(1).count():  # more than FIRM rounds only where a format has too few values
+        attempt += 1
+        again = rows.filter("bad").withColumn("attempt", F.lit(attempt)).select(*names)
+        drawn = staged(again.mapInArrow(draw, schema), f"surrogates-draw-{attempt}")
+        # what is settled or real is cut to the few values drawn now, then joined
+        used = settled.select(*place).unionByName(real.select(*place)).join(drawn.select(*place), place, "left_semi").dropDuplicates().withColumn("real", F.lit(True))
+        rows = checked(drawn, f"surrogates-{attempt}", used)
+        settled = settled.unionByName(rows.filter("not bad"))
+    return settled.select("kind", "canon", "value")
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """(row, n_entities, kinds, new_text): row holds the columns of docs."""
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    found = staged(entities(docs.select(ident.alias("doc"), F.col(text_col).alias("text"))), "entities")
-    values = assign_surrogates(staged(found.select("kind", "canon").dropDuplicates(), "entities-distinct"), key)
-    lists = found.join(values, ["kind", "canon"]).groupBy("doc").agg(F.collect_set(F.struct("kind", "canon", "value")).alias("swaps"))
+    ident = F.xxhash64(F.col(id_col), F.col(text_col))
+    raw = staged(entities(docs.select(ident.alias("doc"), F.col(text_col).alias("text"))), "entities-raw")
+    found = staged(with_learned_names(raw), "entities")
+    # a first name has the gender that all evidence for it agrees on
+    evidence = F.collect_set(F.nullif("note", F.lit("")))
+    distinct = found.groupBy("kind", "canon").agg(evidence.alias("notes")).select("kind", "canon", F.when(F.size("notes") == 1, F.col("notes")[0]).otherwise("").alias("note"))
+    values = assign_surrogates(staged(distinct, "entities-distinct"), key)
+    lists = found.select("doc", "kind", "canon").join(values, ["kind", "canon"]).groupBy("doc").agg(F.collect_set(F.struct("kind", "canon", "value")).alias("swaps"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     joined = docs.select(ident.alias("doc"), row).join(lists, "doc", "left").select("row", "swaps", F.col(f"row.`{text_col}`").alias("text"))
 
@@ -293,11 +411,13 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             numbers, kinds, texts = [], [], []
             for swaps, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = find_entities(text) if swaps and text else []
                 known = {(s["kind"], s["canon"]): s["value"] for s in swaps or ()}
+                names = {k: {c for kind, c in known if kind == k} for k in ("first", "last")}
+                spans = find_entities(text, names["first"], names["last"]) if swaps and text else []
                 pieces, at = [], 0
                 for start, end, kind, canon in spans:
-                    pieces += [text[at:start], lay_out(kind, text[start:end], known[kind, canon])]
+                    value = known[kind, canon] + ("@" + known["domain", canon.rpartition("@")[2]] if kind == "email" else "")
+                    pieces += [text[at:start], lay_out(kind, text[start:end], value)]
                     at = end
                 numbers.append(len(spans))
                 kinds.append(",".join(sorted({s[2] for s in spans})))

@@ -100,8 +100,7 @@ def test_collisions_are_drawn_again(spark):
 
 
 def test_keys_and_empty_table(spark):
-    assert sg.surrogate("email", "a@b.org", 0) == sg.surrogate("email", "a@b.org", 0) != sg.surrogate("email", "a@b.org", 0, b"k")
-    assert sg.surrogate("email", "a@b.org", 0).split("@")[1] == sg.surrogate("email", "c@b.org", 0).split("@")[1]
+    assert sg.surrogate("email", "anna@b.org", 0) == sg.surrogate("email", "anna@b.org", 0) != sg.surrogate("email", "anna@b.org", 0, b"k")
     assert sg.replace_entities(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -114,3 +113,106 @@ def test_given_documents(spark):
         assert not old & set(private.findall(r.new_text)) and (r.n_entities > 0) == bool(old)
         assert len(private.findall(r.text)) == len(private.findall(r.new_text))
         assert private.sub("_", r.text) == private.sub("_", r.new_text)
+
+
+def replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.new_text for r in sorted(sg.replace_entities(docs).select("row.doc_id", "new_text").collect())]
+
+
+def test_titles_in_odd_case(spark):
+    old = ["Mrſ Anna Smith", "κύριοσ Νίκος Παπαδόπουλος", "MıSS Anna Smith", "I miss Paris"]
+    new = replaced(spark, old)
+    assert [o.split()[0] == n.split()[0] and o != n for o, n in zip(old, new)] == [True, True, True, False]
+    assert new[0].split()[1:] == new[2].split()[1:]
+
+
+def test_digits_of_any_script(spark):
+    ascii_ = ["+1 (974) 555-3436", "4929 3483 8514 6306", "97.51.17.173", "123-45-6789", "DE89 3704 0044 0532 0130 00"]
+    shift = lambda t, zero: "".join(chr(zero + int(c)) if c.isdigit() else c for c in t)
+    mixed = lambda t: "".join(chr((48, 0x660, 0xFF10)[k % 3] + int(c)) if c.isdigit() else c for k, c in enumerate(t))
+    old = [f"x {f(t)} y" for t in ascii_ for f in (str, lambda t: shift(t, 0x660), lambda t: shift(t, 0xFF10), mixed)]
+    new = replaced(spark, old)
+    to_ascii = lambda t: "".join(str(int(c)) if c.isdecimal() else c for c in t)
+    for k in range(0, len(old), 4):
+        assert len({to_ascii(n) for n in new[k : k + 4]}) == 1 and new[k] != old[k]
+    for o, n in zip(old, new):
+        if "." not in o:
+            assert [c.isdecimal() and ord(c) - int(c) for c in o] == [c.isdecimal() and ord(c) - int(c) for c in n]  # each digit in its script
+            assert sum(a != b for a, b in zip(o, n)) >= 5
+
+
+def test_formats_with_too_few_values(spark):
+    """Domains of one letter, secrets of signs, short phones: all become distinct, and nothing raises."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{u}@{d}.co" for d in letters for u in "abcd"]
+    signs = ['password: "====....----____++++"', 'password: "=-=-....----____++++"', 'password = "========-----___+++/a"']
+    phones = [f"+7 12345{k}" for k in range(10)] + [f"+7 1{k:05d}" for k in range(0, 100000, 997)]
+    new = replaced(spark, mails + signs + phones)
+    old = mails + signs + phones
+    assert len(set(new)) == len(old) and not set(new) & set(old)
+    domains = {}
+    for o, n in zip(mails, new):
+        domains.setdefault(o.split("@")[1], set()).add(n.split("@")[1])
+    assert all(len(v) == 1 for v in domains.values()) and len(set.union(*domains.values())) == 26
+    assert all("====" not in n and "----" not in n for n in new[len(mails) : len(mails) + 2])
+
+
+def test_names_are_learnt_from_titles(spark):
+    texts = ["Dr. Zelda Quuxley wrote", "Yesterday Zelda Quuxley came", "Zelda Nobody", "Mrs Oddname", "Anna Oddname", "Then Zelda Oddname left", "Frau Zelda Quuxley", "Bank Street", "Mr Bank Street", *["Bank Street"] * 40]
+    new = replaced(spark, texts)
+    first, last = re.match(r"Dr\. (\w+) (\w+) wrote", new[0]).groups()
+    assert new[1] == f"Yesterday {first} {last} came" and new[6] == f"Frau {first} {last}" and first in sg.FIRST["latin", "f"]
+    odd = new[3].split()[1]
+    assert new[2] == texts[2] and new[4].split()[1] == odd and new[5] == f"Then {first} {odd} left"
+    assert new[7] == "Bank Street" == new[-1] and new[8] != texts[8]
+
+
+def test_repeated_and_missing_ids_and_clashing_columns(spark):
+    rows = [(None, "a@x.org", "p"), (None, "b@x.org", "q"), (None, "b@x.org", "q"), (4, "a@x.org", "r"), (4, "10.1.2.3", None), (5, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, swaps string").withColumn("row", F.lit(1)).withColumn("n_entities", F.lit("x")).withColumn("doc", F.lit(2))
+    out = sg.replace_entities(docs).select("row.doc_id", F.col("row.text").alias("old"), "row.swaps", "new_text", "n_entities").collect()
+    new = {r.old: r.new_text for r in out}
+    assert len(out) == 6 and len({v for v in new.values()}) == 4 and all(r.new_text == new[r.old] for r in out)
+    assert new["a@x.org"].split("@")[1] == new["b@x.org"].split("@")[1] != "x.org" and sorted(r.n_entities for r in out) == [0, 1, 1, 1, 1, 1]
+
+
+PLAIN = (
+    ("email", r"[A-Za-z0-9][\w.+%-]*@[\w.-]+\.[a-z]+"), ("secret", r"(?<==\s\")[0-9a-f]{40}|\b[0-9a-f]{40}\b"), ("phone", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)"), ("card", r"\b\d{16}\b"),
+)
+
+
+def test_against_a_second_implementation(spark, sf_dir):
+    """Every text of the given documents, with entities found by simple patterns and surrogates assigned one by one in a dictionary."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    canon = {"email": str.lower, "secret": str, "phone": lambda s: "+" + re.sub(r"\D", "", s), "ip": str, "card": str}
+    whole = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PLAIN), re.A)
+    entities = {(m.lastgroup, canon[m.lastgroup](m[0])) for _, t in rows for m in whole.finditer(t)}
+    entities |= {("domain", c.split("@")[1]) for k, c in entities if k == "email"}
+    assert {k for k, _ in entities} >= {"email", "domain", "phone", "ip", "card"}
+    value = {}
+    waiting, attempt = sorted(entities), 0
+    while waiting:
+        drawn, rest = {}, []
+        for kind, c in waiting:
+            scope = c.split("@")[1] if kind == "email" else ""
+            v = sg.surrogate(kind, c, attempt)
+            clash = (kind, f"{v}@{scope}" if scope else v) in entities or (kind, scope, v) in drawn or (kind, scope, v) in {(k, s, x) for (k, _), (s, x) in value.items()}
+            if clash:
+                rest.append((kind, c))
+            else:
+                drawn[kind, scope, v] = c
+        value |= {(kind, c): (scope, v) for (kind, scope, v), c in drawn.items()}
+        waiting, attempt = rest, attempt + 1
+
+    def put(m):
+        kind, c = m.lastgroup, canon[m.lastgroup](m[0])
+        v = value[kind, c][1]
+        if kind == "email":
+            v += "@" + value["domain", c.split("@")[1]][1]
+            return "".join(n.upper() if o.isupper() else n for o, n in zip(m[0], v, strict=True))
+        return re.sub(r"\d", lambda _, it=iter(v[1:]): next(it), m[0]) if kind == "phone" else v
+
+    want = sorted((i, whole.sub(put, t)) for i, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in sg.replace_entities(docs).select("row.doc_id", "new_text").collect()) == want
