@@ -1,11 +1,14 @@
 r"""Chat formatting with declarative mappings selected by schema fingerprints.
 
 *Fingerprints.* A record's layout is the sorted set of its nested field paths
-(array elements as ``[]``), hashed.  :data:`MAPPINGS` gives a declarative
-mapping for each known layout: prompt and response columns, instruction with
-optional input, lists of messages under several names.  :func:`canonical_turns`
-selects a mapping by fingerprint and yields (role, text) turns; a layout that
-no mapping covers gets none and is reported, not guessed at.
+(array elements as ``[]``), hashed.  :data:`LAYOUTS` gives a declarative
+mapping for each known layout: rows of one turn, prompt and response columns,
+instruction with optional input, lists of messages under several names.  A
+fingerprint selects its mapping; of a layout with fields beyond the known ones,
+the fingerprint selects the known layout with the most fields that lies within
+it, if there is just one.  Any other layout gives no turns and is reported, not
+guessed at.  :func:`canonical_turns` does this for JSON records, each by its own
+fingerprint, :func:`mapped_frame` for typed tables, by that of the schema.
 
 *Template.* A conversation is ``<s>``, then for each turn ``[TURN role]text[/TURN]``,
 and ``</s>``.  Inside texts ``\`` becomes ``\\`` and each control string gets a
@@ -13,7 +16,9 @@ and ``</s>``.  Inside texts ``\`` becomes ``\\`` and each control string gets a
 inside roles a ``\`` stands before all but ASCII letters, digits and ``_``.
 Formatting is reversible for any text: ``\x`` is read as ``x``.
 
-*Loss mask.* The inside of each assistant turn, as code point ranges of the output.
+*Loss mask.* The inside of each assistant turn, as code point ranges of the
+output.  :func:`digests` reads the loss text from the output at these ranges,
+without looking at roles.
 
 :func:`format_turns` and :func:`digests` stream rows sorted by conversation and
 turn: one batch of turns is in memory at a time, also for a conversation with a
@@ -57,20 +62,21 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def format_turn(role: str, text: str) -> str:
-    return f"[TURN {_ROLE.sub(lambda m: chr(92) + m[0], role)}]{escape(text)}{TURN_END}"
+def format_turn(role: str, text: str) -> tuple[str, tuple[int, int] | None]:
+    """A turn's output, and the range of it that the loss is taken of."""
+    head, body = f"[TURN {_ROLE.sub(lambda m: chr(92) + m[0], role)}]", escape(text)
+    return head + body + TURN_END, (len(head), len(head) + len(body)) if role == "assistant" else None
 
 
 def format_conversation(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The output and the loss mask's ranges in it."""
     pieces, mask, at = [OPEN], [], len(OPEN)
     for role, text in turns:
-        piece = format_turn(role, text)
+        piece, loss = format_turn(role, text)
         pieces.append(piece)
+        if loss:
+            mask.append((at + loss[0], at + loss[1]))
         at += len(piece)
-        if role == "assistant":
-            stop = at - len(TURN_END)
-            mask.append((stop - len(escape(text)), stop))
     return "".join([*pieces, CLOSE]), mask
 
 
@@ -117,8 +123,9 @@ def fingerprint(paths: list[str]) -> str:
     return xxhash.xxh3_64_hexdigest("\n".join(sorted(paths)))
 
 
-#: Layout -> steps. A step is (role, field), or (list field, role field, text field).
+#: Layout -> steps. A step is (role, field), (role, field, joint, field), ("*", list, role field, text field), ("#", list, fields named as roles) or ("row", turn, role and text field).
 LAYOUTS: dict[tuple[str, ...], tuple[tuple[str, ...], ...]] = {
+    ("role", "text", "turn"): (("row", "turn", "role", "text"),),
     ("prompt", "response"): (("user", "prompt"), ("assistant", "response")),
     ("prompt", "completion"): (("user", "prompt"), ("assistant", "completion")),
     ("question", "answer"): (("user", "question"), ("assistant", "answer")),
@@ -133,14 +140,35 @@ LAYOUTS: dict[tuple[str, ...], tuple[tuple[str, ...], ...]] = {
 }
 MAPPINGS = {fingerprint(list(paths)): steps for paths, steps in LAYOUTS.items()}
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Fingerprints met so far -> that of the known layout within, or none; a worker forgets them all at some number.
+_WITHIN: dict[str, str | None] = {}
+_MOST_MET = 100_000
+
+
+def select_mapping(paths: list[str]) -> tuple[str, tuple[tuple[str, ...], ...] | None]:
+    """(fingerprint, steps) of a layout: those of its own fingerprint, or of the largest known layout within it."""
+    layout = fingerprint(paths)
+    if layout in MAPPINGS:
+        return layout, MAPPINGS[layout]
+    if layout not in _WITHIN:
+        if len(_WITHIN) >= _MOST_MET:
+            _WITHIN.clear()
+        inside = [known for known in LAYOUTS if set(known) <= set(paths)]
+        largest = [known for known in inside if len(known) == max(map(len, inside))]
+        _WITHIN[layout] = fingerprint(list(largest[0])) if len(largest) == 1 else None
+    known = _WITHIN[layout]
+    return layout, MAPPINGS[known] if known else None
 
 
 def apply_mapping(record: dict, steps: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
     turns = []
+    named = lambda r: ROLES.get(r or "", r or "")
     for step in steps:
-        if step[0] == "*":
+        if step[0] == "row":
+            turns.append((named(record.get(step[2])), record.get(step[3]) or ""))
+        elif step[0] == "*":
             _, where, role, text = step
-            turns += [(ROLES.get(r := m.get(role) or "", r), m.get(text) or "") for m in record.get(where) or () if m]
+            turns += [(named(m.get(role)), m.get(text) or "") for m in record.get(where) or () if m]
         elif step[0] == "#":
             _, where, *roles = step
             turns += [(r, m[r]) for m in record.get(where) or () if m for r in roles if m.get(r) is not None]
@@ -166,9 +194,10 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame
                 except ValueError:
                     record = {}
                 record = record if isinstance(record, dict) else {}
-                layout = fingerprint(value_paths(record))
-                turns = apply_mapping(record, MAPPINGS[layout]) if layout in MAPPINGS else []
-                rows += [(key, layout, k, role, body) for k, (role, body) in enumerate(turns)] or [(key, layout, None, None, None)]
+                layout, steps = select_mapping(value_paths(record))
+                turns = apply_mapping(record, steps) if steps else []
+                first = record.get("turn") if steps and steps[0][0] == "row" and isinstance(record.get("turn"), int) else 0
+                rows += [(key, layout, k, role, body) for k, (role, body) in enumerate(turns, first)] or [(key, layout, None, None, None)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return records.select(F.col(id_col).cast("long").alias("id"), F.col(json_col).alias("json")).mapInArrow(run, "id long, layout string, turn long, role string, text string")
@@ -199,10 +228,13 @@ def _step_turns(df: DataFrame, step: tuple[str, ...]) -> Column:
 def mapped_frame(df: DataFrame, id_col: str) -> DataFrame:
     """The same for a typed table: its schema's fingerprint selects the mapping once, and no Python runs on the rows."""
     shape = T.StructType([f for f in df.schema.fields if f.name != id_col])
-    layout = fingerprint(field_paths(shape))
-    if layout not in MAPPINGS:
+    layout, steps = select_mapping(field_paths(shape))
+    if not steps:
         raise ValueError(f"no mapping for the layout {field_paths(shape)}")
-    parts = [_step_turns(df, step) for step in MAPPINGS[layout]]
+    if steps[0][0] == "row":  # a turn a row, which says its own number and role
+        _, turn, role, text = steps[0]
+        return df.select(F.col(id_col).alias("id"), F.lit(layout).alias("layout"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    parts = [_step_turns(df, step) for step in steps]
     exploded = df.select(F.col(id_col).alias("id"), F.posexplode(F.concat(*parts)).alias("turn", "t"))
     return exploded.select("id", F.lit(layout).alias("layout"), F.col("turn").cast("long"), "t.role", "t.text")
 
@@ -210,7 +242,7 @@ def mapped_frame(df: DataFrame, id_col: str) -> DataFrame:
 # --- formatting ---------------------------------------------------------------
 
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-READ = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("size", pa.int64())])
+READ = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("size", pa.int64()), ("masked", pa.bool_()), ("loss", pa.string())])
 
 
 def clean_turns(turns: DataFrame) -> DataFrame:
@@ -233,10 +265,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if conv != now:
                     now, at, k = conv, len(OPEN), 0
-                piece = format_turn(role, text)
-                stop = at + len(piece) - len(TURN_END)
-                mine = role == "assistant"
-                rows.append((conv, k, piece, stop - len(escape(text)) if mine else None, stop if mine else None))
+                piece, loss = format_turn(role, text)
+                rows.append((conv, k, piece, *((at + loss[0], at + loss[1]) if loss else (None, None))))
                 at, k = at + len(piece), k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
@@ -244,22 +274,27 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, size): each turn is formatted where it lies, and read back from its output."""
+    """(conv_id, turn, role, text, size, masked, loss): each turn is formatted where it lies, and read back from its output.
+
+    masked says whether the loss mask has a range in the turn's output; loss is
+    what the output holds in this range, or null where that is the text itself,
+    which isn't sent twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roles, texts, sizes = [], [], []
+            rows = []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                piece = format_turn(role, text)
-                role, text, _, end = parse_turn(piece, 0)  # from here on only what the output says
+                piece, mask = format_turn(role, text)
+                role, text, _, end = parse_turn(piece, 0)  # from here on only what the output and the mask say
                 if end != len(piece):
                     raise ValueError("a turn was cut short")
-                roles.append(role)
-                texts.append(text)
-                sizes.append(end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], schema=READ)
+                loss = unescape(piece[slice(*mask)]) if mask else None
+                rows.append((role, text, end, mask is not None, None if loss == text else loss))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(READ)[2:], strict=True))], schema=READ)
 
-    return clean_turns(turns).mapInArrow(run, "conv_id long, turn long, role string, text string, size long")
+    return clean_turns(turns).mapInArrow(run, "conv_id long, turn long, role string, text string, size long, masked boolean, loss string")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -284,17 +319,18 @@ def digests(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, schema=DIGEST)
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4)]
-            for conv, role, text, size in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)]
+            for conv, role, text, size, masked, loss in zip(*columns, strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), len(OPEN)]
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
-                if role == "assistant":
-                    state[3] += len(text)
-                    state[4].update(text.encode())
+                if masked:
+                    loss = text if loss is None else loss
+                    state[3] += len(loss)
+                    state[4].update(loss.encode())
                 state[5] += size
             if len(done) >= 1000:
                 yield out()
@@ -307,7 +343,7 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = mapped_frame(read_table(spark, sf_dir, "conversations"), "conv_id").select(F.col("id").alias("conv_id"), "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     return digests(turns.unionByName(added))

@@ -1,9 +1,10 @@
 """Helpers shared by the training-data operators.
 
 Shared storage: every intermediate table goes below the folder that the
-session names in ``spark.checkpoint.dir``.  Only where that is unset (tests,
-notebooks) a temporary folder is made and set.  Nothing here writes to a
-machine-local folder on a cluster.
+session names in ``spark.checkpoint.dir``.  Only in a local session where that
+is unset (tests, notebooks) a temporary folder is made and set; on a cluster an
+unset folder is an error.  Nothing here writes to a machine-local folder on a
+cluster.
 """
 
 from __future__ import annotations
@@ -11,15 +12,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words whose hashes a worker keeps at once (about 150 bytes each).
 HASH_CACHE = 400_000
+#: Paths to drop, a list for each open :func:`scratch`.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,19 +33,45 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shardlore-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/shardlore-{sc.applicationId}"
 
 
-def staged_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+def staged_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new path of the shared folder; it is dropped with the open scratch (keep: with the one around that)."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    open_ = _SCRATCH.get()
+    if len(open_) > keep:
+        open_[-1 - keep].append(path)
+    return path
 
 
-def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is dropped at the end, but for what is staged to be kept."""
+    mine: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), mine))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in mine:
+            drop_path(spark, path)
+        free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark drops shuffle files once the driver's garbage collector finds their plans unused; a long job asks for that between its steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at the files."""
     spark = df.sparkSession
-    path = staged_path(spark, tag)
+    path = staged_path(spark, tag, keep)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -47,12 +79,32 @@ def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered_unnamed(docs: DataFrame, id_col: str, tag: str) -> DataFrame | None:
-    """The rows of docs without an id, with numbers for ids, or None if there are none. Written, so that the numbers stay."""
-    unnamed = docs.filter(F.col(id_col).isNull())
-    if not unnamed.limit(1).count():
-        return None
-    return staged(unnamed.withColumn(id_col, F.monotonically_increasing_id()), tag)
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row's columns (but for maps, which have no hash): rows of one hash are equal but for collisions."""
+
+    def hashable(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(hashable(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return hashable(kind.elementType)
+        return not isinstance(kind, T.MapType)
+
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if hashable(f.dataType)])
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one, so that no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def once_each(keyed: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """keyed with one row of each key; repeated: the keys with more, staged. Which of them stays depends on the rows alone."""
+    if not repeated.limit(1).count():
+        return keyed
+    rest = [c for c in keyed.columns if c != key]
+    many = keyed.join(repeated, key, "left_semi")
+    picked = many.groupBy(key).agg(F.min_by(F.struct(*rest), row_hash(many)).alias("picked")).select(key, "picked.*")
+    return keyed.join(repeated, key, "left_anti").unionByName(picked)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -124,52 +176,3 @@ def text_batches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str,
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
-
-
-#: Bits of an id filter at most (8 MB), and bits an id.
-FILTER_BITS, BITS_PER_ID = 1 << 26, 8
-
-
-def _filter_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix64(ids.astype(np.int64).view(np.uint64))
-    return [(h % np.uint64(bits)).astype(np.int64), (mix64(h) % np.uint64(bits)).astype(np.int64), (mix64(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)]
-
-
-def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """rows whose id may be among ids: all that are, and a few percent of the others.
-
-    A Bloom filter of a bounded size drops most other rows where they are read,
-    before a join has to shuffle their texts; the join after it stays exact.
-    With more ids than the filter holds, rows are returned as they are.
-    """
-    spark = rows.sparkSession
-    n = ids.count()
-    bits = 1 << max(10, (n * BITS_PER_ID).bit_length())
-    if bits > FILTER_BITS:
-        return rows
-    (name,) = ids.columns
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(_filter_places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits)))
-            words, heads = np.unique(at >> 6, return_index=True)
-            values = np.bitwise_or.reduceat(np.int64(1) << (at & 63), heads) if len(at) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values)], ["word", "value"])
-
-    table = np.zeros(bits // 64, np.int64)
-    for word, value in ids.select(F.col(name).cast("long")).mapInArrow(fill, "word long, value long").groupBy("word").agg(F.bit_or("value")).toLocalIterator():
-        table[word] = value
-    shared = spark.sparkContext.broadcast(table)  # at most FILTER_BITS / 8 bytes
-    place = rows.columns.index(id_col)
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in batches:
-            column = batch.column(place)
-            good = ~column.is_null().to_numpy(zero_copy_only=False)
-            keys = column.fill_null(0).to_numpy(zero_copy_only=False)
-            for at in _filter_places(keys, bits):
-                good &= (bitmap[at >> 6] >> (at & 63) & 1).astype(bool)
-            yield batch.filter(pa.array(good))
-
-    return rows.mapInArrow(test, rows.schema)

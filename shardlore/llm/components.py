@@ -21,6 +21,8 @@ from .common import staged
 #: Edges a worker reduces at a time.
 FOREST = 1_000_000
 ROUNDS = 60
+#: Vertices at most whose edges aren't dealt by vertex (16 bytes each in a broadcast).
+HUBS = 20_000
 
 
 class UnionFind:
@@ -64,11 +66,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round on edges (u, v), u > v. Large: the larger neighbours of each vertex move to its smallest; small: the smaller ones do."""
+    """One round on edges (u, v), u > v. Large: the larger neighbours of each vertex move to its smallest; small: the smaller ones do.
+
+    No task gets all edges of a hub: hubs are the vertices with more than one
+    in ``HUBS`` of all edge ends, so there are at most ``HUBS`` of them, and
+    they are broadcast; the edges of all other vertices are dealt by vertex.
+    """
     if large:
         edges = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = edges.join(least, "u")
+    share = edges.count() // HUBS
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u")), "star-least")
+    hubs = F.broadcast(least.filter(F.col("n") > share).select("u", "m"))  # at most HUBS rows
+    moved = edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= share).select("u", "m"), "u"))
     if large:
         return moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = moved.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -18,10 +18,16 @@ middle is within the target.  Prefix sums over documents are two-level: sums
 per (source, key range), a window over those sums, and a window within each
 range, so a source with a third of all rows is many small windows.
 
+Schedules are a parameter: :class:`Schedule` takes any positive weights on
+equal parts of training time, of which the linear ones above are the default's
+closed form, and inverts their integral part by part.
+
 Edge cases: a null or wordless text has size 0 and takes 0.  A null source is a
-source.  Rows of a repeated doc_id are mixed one by one (ties in the order go by
-size).  Empty tables give an empty result.  Extra columns of any name are
-carried by :func:`mixed_rows`.
+source.  Every row is mixed on its own: rows of a repeated doc_id stand one
+after the other (ties in the order go by size), rows without one in the order
+of md5(text).  Empty tables give an empty result.  Extra columns of any name
+are carried by :func:`mixed_rows`; where the table has columns ``epoch`` or
+``position``, those that it adds are called ``mix_epoch`` and ``mix_position``.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered_unnamed, read_table, staged
+from .common import once_each, read_table, row_hash, staged, whole_row
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -64,20 +70,48 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def training_time(u, slope) -> F.Column:
-    """Inverse of the cumulative demand."""
+    """Inverse of the cumulative demand of a linear schedule."""
     return 2 * u / (1 - slope + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * u))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, row_col: str | None = None) -> DataFrame:
+class Schedule:
+    """Weights on equal parts of training time, integrated to the cumulative demand, which is inverted part by part."""
+
+    def __init__(self, weights: tuple[float, ...]) -> None:
+        if not weights or min(weights) < 0 or max(weights) <= 0:
+            raise ValueError("a schedule needs weights that aren't negative, and one that is positive")
+        total = float(sum(weights))
+        self.parts = [(sum(weights[:k]) / total, w / total) for k, w in enumerate(weights)]
+
+    def time(self, u: F.Column) -> F.Column:
+        """Training time at which the fraction u of the demand is met."""
+        n = len(self.parts)
+        out = F.lit(1.0)
+        for k in range(n - 1, -1, -1):
+            before, share = self.parts[k]
+            if share > 0:
+                out = F.when(u <= before + share, (k + (u - before) / share) / n).otherwise(out)
+        return out
+
+
+def _when_trained(u: F.Column, schedules: dict[str, Schedule]) -> F.Column:
+    out = training_time(u, F.col("slope"))
+    for source, schedule in schedules.items():
+        out = F.when(F.col("source").eqNullSafe(F.lit(source)), schedule.time(u)).otherwise(out)
+    return out
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, row: F.Column | None = None, schedules: dict[str, Schedule] | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, positions): one row per document.
 
-    row_col numbers rows without an id; it is returned as well, and their equal sizes go by text.
+    row: a hash of the row, which orders documents of equal id and size and is returned as well.
+    schedules: those of some sources, instead of the linear ones.
     """
     n = docs.count()
     ranges = max(1, -(-n // RANGE_ROWS))
     ident = F.col(id_col).cast("long")
-    key = F.md5(F.coalesce(ident.cast("string"), F.lit("")))
-    own = [] if row_col is None else [F.when(ident.isNull(), F.md5(text_col)).alias("tie"), F.col(row_col).alias("number")]
+    key = F.md5(F.coalesce(ident.cast("string"), F.col(text_col), F.lit("")))
+    own = [] if row is None else [row.alias("number")]
     rows = docs.select(ident.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *own)
     part = F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * ranges / 2**28).cast("long")
     rows = staged(rows.withColumn("part", part), "mix-sizes")
@@ -86,11 +120,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     sums = sums.join(targets, sums["source"].eqNullSafe(targets["source"])).select(sums["source"].alias("s"), F.col("part").alias("p"), "ahead", "source_size", "target", "slope")
-    inner = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", *(["tie", "number"] if own else [])).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", *(["number"] if own else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     start = lambda e: F.col("ahead") + F.col("inside") + F.col("source_size") * e
-    chosen = [F.when((F.col("size") > 0) & (2 * start(e) + F.col("size") <= 2 * F.col("target")), training_time((2 * start(e) + F.col("size")) / (2 * F.col("target")), F.col("slope"))) for e in range(max_epochs)]
+    at = lambda e: (2 * start(e) + F.col("size")) / (2 * F.col("target"))
+    chosen = [F.when((F.col("size") > 0) & (2 * start(e) + F.col("size") <= 2 * F.col("target")), _when_trained(at(e), schedules or {})) for e in range(max_epochs)]
     rows = rows.withColumn("positions", F.array_compact(F.array(*chosen)))
     taken = F.col("size") * F.size("positions")
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "positions", *(["number"] if own else []))
@@ -103,29 +138,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", schedules: dict[str, Schedule] | None = None) -> DataFrame:
     """docs, a row for each time the mix takes one, with epoch and training time, range-sorted by it.
 
-    Repeated doc_ids must be equal rows; they are mixed once.  Rows without a
-    doc_id are mixed one by one.
+    Rows meet their positions by a hash of all their columns.  Equal rows are
+    each mixed, and one of them stands for all their positions.
     """
-
-    def taken(rows: DataFrame, positions: DataFrame) -> DataFrame:
-        plan = positions.select(F.col("doc_id").alias("mixed_id"), F.posexplode("positions").alias("epoch", "position"))
-        return rows.join(plan, rows[id_col] == plan["mixed_id"]).drop("mixed_id")
-
-    once = lambda mixed: mixed.groupBy("doc_id").agg(F.max("positions").alias("positions"))
-    unnamed = numbered_unnamed(docs, id_col, "mix-unnamed")
-    if unnamed is None:
-        return taken(docs, once(mix(docs, id_col))).orderBy("position", id_col)
-    named = docs.filter(F.col(id_col).isNotNull())
-    nothing = F.lit(None).cast(docs.schema[id_col].dataType)
-    rows = named.select(id_col, "text", "source", F.lit(None).cast("long").alias("row"))
-    rows = rows.union(unnamed.select(nothing, "text", "source", F.col(id_col).alias("row")))
-    mixed = staged(mix(rows, id_col, row_col="row"), "mix-plan")
-    out = taken(named, once(mixed.filter("doc_id is not null")))
-    out = out.unionByName(taken(unnamed, mixed.filter("doc_id is null").select(F.col("number").alias("doc_id"), "positions")).withColumn(id_col, nothing))
-    return out.orderBy("position", id_col)
+    number = row_hash(docs)
+    plan = staged(mix(docs, id_col, row=number, schedules=schedules).select("number", "positions"), "mix-plan")
+    repeated = staged(plan.groupBy("number").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("number"), "mix-repeated")
+    rows = once_each(docs.select(number.alias("number"), whole_row(docs)), "number", repeated)
+    slots = plan.select("number", F.posexplode("positions").alias("epoch", "position"))
+    taken = {c.lower() for c in docs.columns}
+    names = [n if n not in taken else f"mix_{n}" for n in ("epoch", "position")]
+    out = rows.join(slots, "number").orderBy("position", f"row.`{id_col}`", "number")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("epoch").alias(names[0]), F.col("position").alias(names[1]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -135,7 +162,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS k,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM d GROUP BY source

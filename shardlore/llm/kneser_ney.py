@@ -10,19 +10,19 @@ order.
 
 *Storage.* Each bucket is a file of a sorted 64-bit hash array and its values
 in the shared folder, written under a temporary name and renamed, so a task
-that runs again only replaces it.
+that runs again only replaces it.  What the driver and each worker hold of the
+model is a bit a file and a few sums, which Spark aggregates.
 
 *Scoring.* Workers memory-map the files and look a batch's distinct n-grams up
 in sorted order, which touches pages in sequence.  Where the shared folder
-isn't a mounted file system, a worker copies each file that it needs to its
-own temporary folder first.
+isn't a mounted file system, see files.py.
 
 Base model: log10((c + 0.5) / (N + 0.5 (V + 1))).  The lowest order of the
 Kneser-Ney model interpolates with 1 / (V + 1), so unknown words have a
 probability and all probabilities of a context sum to 1.
 
-ORDER is 2 by default: 3 works the same way, but its distinct trigrams shuffle
-more than the disk budget of 4 times the input (see README).
+ORDER is 2 by default: 3 works the same way, but its distinct trigrams alone
+need more disk than the budget of 4 times the input (see README).
 
 Tokens: words ``[^\x20\x09-\x0D]+``, A-Z lower-cased, then one end token a text.
 Training rows: crc32(doc_id as text) mod 5 is not 1.
@@ -36,19 +36,16 @@ token.  An empty table gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chain64, read_table, space_words, staged, staged_path, text_batches
+from .common import WordHashes, chain64, free_shuffles, read_table, scratch, space_words, staged, staged_path, text_batches
+from .files import map_bytes, write_arrays
 
 ORDER = 2
 FOLDS, HELD_OUT = 5, 1
@@ -60,49 +57,6 @@ BATCH = 600_000
 BEGIN, END = np.uint64(0x5BF0_3635_0D8E_8A11), np.uint64(0x2545_F491_4F6C_DD1D)
 
 
-# --- files ------------------------------------------------------------------
-
-
-#: Hadoop's names of stores, in pyarrow's.
-_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
-
-
-def _place(base: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if "://" not in base and not base.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), base
-    if base.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), "/" + base[5:].lstrip("/")
-    scheme, _, rest = base.partition("://")
-    return pyarrow.fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
-
-
-def write_shard(base: str, name: str, arrays: list[np.ndarray]) -> None:
-    fs, root = _place(base)
-    fs.create_dir(root, recursive=True)
-    part = f"{root}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        for array in arrays:
-            out.write(np.ascontiguousarray(array).tobytes())
-    fs.move(part, f"{root}/{name}")
-
-
-def map_shard(base: str, name: str, n: int, dtypes: list[str]) -> list[np.ndarray]:
-    fs, root = _place(base)
-    path = f"{root}/{name}"
-    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-        own = os.path.join(tempfile.gettempdir(), f"ngrams-{abs(hash(base))}-{name}")
-        if not os.path.exists(own):
-            part = f"{own}.{uuid.uuid4().hex}"  # workers of one executor may copy at the same time
-            pyarrow.fs.copy_files(path, part, source_filesystem=fs)
-            os.replace(part, own)
-        path = own
-    out, at = [], 0
-    for kind in dtypes:
-        out.append(np.memmap(path, dtype=kind, mode="r", offset=at, shape=(n,)))
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
 # --- counting ---------------------------------------------------------------
 
 
@@ -144,6 +98,11 @@ def packed(kind: str, level: int, bucket: np.ndarray, arrays: list[np.ndarray])
 
 PACK = "kind string, level int, bucket long, n long, body binary"
 _PACK = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+#: Rows of kind 's...' say what was stored: how many of a bucket, their sum, and how many occur 1 to 4 times.
+STATS = ("total", "n1", "n2", "n3", "n4")
+REDUCED = f"{PACK}, {', '.join(f'{x} long' for x in STATS)}"
+#: Types of the arrays of a stored file.
+STORED = {"g": ("<u8", "<u4"), "u": ("<u8", "<u8"), "c": ("<u8", "<u8", "<u8", "<u8", "<u8")}
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -188,6 +147,14 @@ def count_ngrams(texts: DataFrame, order: int, grid: int) -> DataFrame:
     return texts.mapInArrow(run, PACK)
 
 
+def _reduced_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(*r, *[0] * len(STATS))[: len(_PACK) + len(STATS)] for r in rows], columns=[*(f.name for f in _PACK), *STATS])
+
+
+def _stored(base: str, kind: str, level: int, bucket: int, arrays: list[np.ndarray]) -> None:
+    write_arrays(base, f"{kind}{level}-{bucket}", [a.astype(t) for a, t in zip(arrays, STORED[kind], strict=True)])
+
+
 def _level(base: str, grid: int):
     """Reduce one bucket of packed counts: write its file, and send on what other levels need."""
 
@@ -198,9 +165,10 @@ def _level(base: str, grid: int):
             words.append(np.frombuffer(body, np.uint64, n * level).reshape(level, n).T)
             counts.append(np.frombuffer(body, np.uint32, n, n * level * 8).astype(np.uint64))
         grams, counts, h = reduced(np.concatenate(words), np.concatenate(counts))
-        write_shard(base, f"{kind}{level}-{bucket}", [h, counts])
-        stats = np.array([int(counts.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4))], np.int64)
-        rows = [("s" + kind, level, bucket, len(h), stats.tobytes())]
+        if kind == "g":  # one n-gram as often as 4 thousand million times scores as that often
+            counts = np.minimum(counts, np.uint64(2**32 - 1))
+        _stored(base, kind, level, bucket, [h, counts])
+        rows = [("s" + kind, level, bucket, len(h), b"", int(counts.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)))]
         if kind == "g" and level > 1:
             context = ngram_hash(grams[:, :-1])
             order = np.argsort(context, kind="stable")
@@ -210,7 +178,7 @@ def _level(base: str, grid: int):
             rows += packed("c", level, (context[heads] % np.uint64(grid * grid)).astype(np.int64), [context[heads], *sums])
             lower, kinds, _ = reduced(grams[:, 1:], np.ones(len(grams), np.uint64))
             rows += packed("g", level - 1, bucket_of(lower, grid), [*lower.T, kinds.astype(np.uint32)])
-        return pd.DataFrame(rows, columns=[f.name for f in _PACK])
+        return _reduced_frame(rows)
 
     return run
 
@@ -223,26 +191,32 @@ def _contexts(base: str):
         table = np.concatenate([np.frombuffer(body, np.uint64).reshape(5, -1) for body in frame["body"]], axis=1)
         table = table[:, np.argsort(table[0], kind="stable")]
         heads = np.flatnonzero(np.concatenate(([True], table[0, 1:] != table[0, :-1])))
-        write_shard(base, f"c{level}-{bucket}", [table[0, heads], *(np.add.reduceat(x, heads) for x in table[1:])])
-        return pd.DataFrame([("sc", level, bucket, len(heads), b"")], columns=[f.name for f in _PACK])
+        _stored(base, "c", level, bucket, [table[0, heads], *(np.add.reduceat(x, heads) for x in table[1:])])
+        return _reduced_frame([("sc", level, bucket, len(heads), b"")])
 
     return run
 
 
 class Model:
-    """What workers need to score: where the files are, and a few numbers. Its size is bounded by the number of files."""
+    """What workers need to score: where the files are, which there are (a bit each), and sums."""
 
     def __init__(self, base: str, order: int, grid: int) -> None:
         self.base, self.order, self.grid = base, order, grid
-        self.sizes: dict[tuple[str, int], dict[int, int]] = {}
+        self.files: dict[tuple[str, int], np.ndarray] = {}
+        self.sizes: dict[tuple[str, int], int] = {}
         self.stats: dict[tuple[str, int], np.ndarray] = {}
 
-    def note(self, rows: DataFrame) -> None:
-        for kind, level, bucket, n, body in rows.filter(F.col("kind").startswith("s")).toLocalIterator():
-            key = (kind[1:], level)
-            self.sizes.setdefault(key, {})[bucket] = n
-            if body:
-                self.stats[key] = self.stats.get(key, np.zeros(5, np.int64)) + np.frombuffer(bytes(body), np.int64)
+    def note(self, reduced_: DataFrame) -> None:
+        """reduced_: staged rows, of which those that say what was stored are summed by Spark."""
+        said = reduced_.filter(F.col("kind").startswith("s"))
+        sums = said.groupBy("kind", "level").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in STATS])
+        for r in sums.collect():  # a row a kind and level
+            key = (r["kind"][1:], r["level"])
+            self.sizes[key], self.stats[key] = r["n"], np.array([r[x] for x in STATS], np.int64)
+            self.files[key] = np.zeros(-(-self.grid * self.grid // 64), np.int64)
+        bits = said.groupBy("kind", "level", F.expr("bucket div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("bits"))
+        for r in bits.collect():  # a row for 64 files
+            self.files[(r["kind"][1:], r["level"])][r["word"]] = r["bits"]
 
     @property
     def tokens(self) -> int:
@@ -250,7 +224,7 @@ class Model:
 
     @property
     def vocabulary(self) -> int:
-        return sum(self.sizes.get(("u", 1), {}).values())
+        return self.sizes.get(("u", 1), 0)
 
     def discounts(self, level: int) -> np.ndarray:
         """D for counts 0, 1, 2 and more."""
@@ -262,17 +236,25 @@ class Model:
     def look(self, kind: str, level: int, keys: np.ndarray, bucket: np.ndarray, columns: int = 1) -> np.ndarray:
         """(columns, len(keys)) values of sorted keys, 0 where absent."""
         out = np.zeros((columns, len(keys)), np.float64)
-        sizes = self.sizes.get((kind, level), {})
+        if (kind, level) not in self.files:
+            return out
+        files, kinds = self.files[kind, level], STORED[kind]
+        wide = sum(np.dtype(t).itemsize for t in kinds)
         order = np.argsort(bucket, kind="stable")
         names, heads = np.unique(bucket[order], return_index=True)
         for b, rows in zip(names.tolist(), np.split(order, heads[1:]) if len(order) else [], strict=True):
-            if not sizes.get(b):
+            if not int(files[b >> 6]) >> (b & 63) & 1:
                 continue
-            h, *values = map_shard(self.base, f"{kind}{level}-{b}", sizes[b], ["<u8"] * (columns + 1))
-            at = np.minimum(np.searchsorted(h, keys[rows]), len(h) - 1)
-            good = np.asarray(h[at]) == keys[rows]
+            body = map_bytes(self.base, f"{kind}{level}-{b}")
+            n, at, arrays = len(body) // wide, 0, []
+            for t in kinds:
+                arrays.append(np.frombuffer(body, t, n, at))
+                at += n * np.dtype(t).itemsize
+            h, *values = arrays
+            place = np.minimum(np.searchsorted(h, keys[rows]), n - 1)
+            good = np.asarray(h[place]) == keys[rows]
             for k in range(columns):
-                out[k, rows[good]] = values[k][at[good]]
+                out[k, rows[good]] = values[k][place[good]]
         return out
 
     def score(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +278,7 @@ class Model:
                 if total:
                     d = self.discounts(1)
                     n1, n2 = self.stats[("g", 1)][1:3].astype(float)
-                    more = sum(self.sizes[("g", 1)].values()) - n1 - n2
+                    more = self.sizes["g", 1] - n1 - n2
                     p = (np.maximum(counts - d[np.minimum(counts, 3).astype(int)], 0) + (d[1] * n1 + d[2] * n2 + d[3] * more) / (self.vocabulary + 1)) / total
                 else:
                     p = np.full(len(at), 1.0 / (self.vocabulary + 1))
@@ -317,21 +299,23 @@ def train(texts: DataFrame, order: int = ORDER, bucket: int = BUCKET) -> Model:
     spark = texts.sparkSession
     chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
     grid = max(1, math.ceil(math.sqrt(chars / 5 / bucket)))
-    model = Model(staged_path(spark, "ngrams"), order, grid)
-    packs = count_ngrams(texts, order, grid)
-    for level in range(order, 0, -1):
-        grams = packs.filter((F.col("kind") == "u") | (F.col("kind") == "g") & (F.col("level") == level))
-        packs = staged(grams.groupBy("kind", "level", "bucket").applyInPandas(_level(model.base, grid), PACK), f"ngram-level{level}")
-        model.note(packs)
-        contexts = packs.filter("kind = 'c'").groupBy("level", "bucket").applyInPandas(_contexts(model.base), PACK)
-        model.note(contexts)
-        packs = packs.filter("kind = 'g'")
+    with scratch(spark):
+        model = Model(staged_path(spark, "ngrams", keep=True), order, grid)
+        packs = count_ngrams(texts, order, grid)
+        for level in range(order, 0, -1):
+            grams = packs.filter((F.col("kind") == "u") | (F.col("kind") == "g") & (F.col("level") == level)).select(*[f.name for f in _PACK])
+            packs = staged(grams.groupBy("kind", "level", "bucket").applyInPandas(_level(model.base, grid), REDUCED), f"ngram-level{level}")
+            model.note(packs)
+            contexts = packs.filter("kind = 'c'").select(*[f.name for f in _PACK]).groupBy("level", "bucket").applyInPandas(_contexts(model.base), REDUCED)
+            model.note(staged(contexts, f"ngram-contexts{level}"))
+            packs = packs.filter("kind = 'g'")
+            free_shuffles(spark)
     return model
 
 
 def score_texts(texts: DataFrame, model: Model) -> DataFrame:
     """(id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # a bit a file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, lm = WordHashes(), shared.value
@@ -370,4 +354,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    with scratch(spark):
+        return staged(score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "lm-scores", keep=True)

@@ -16,9 +16,11 @@ vote is taken out of its host's and domain's counts.  A background model, even
 over all trigrams, stands for no known language: ``und``.  Texts without a
 letter are ``und`` as well.
 
-The text model is fitted on at most ``SAMPLE`` documents of each language in
-``LANGUAGES`` (those of the smallest hashed ids), a documented bound; its
-size is fixed.  Everything else covers all rows and whole texts.
+The languages are those that at least ``LEAST_LABELLED`` rows are labelled with,
+the ``MOST_LANGUAGES`` most frequent ones if there are more (a bound on the
+model's size).  The text model is fitted on at most ``SAMPLE`` documents of each
+(those of the smallest hashed ids), a documented bound.  Everything else covers
+all rows and whole texts.
 
 Edge cases: null or empty text, host, declared language or suffix is no
 evidence.  Repeated rows are judged one by one.  Without any labelled document
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -37,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, read_table, staged
+from .common import binary_column, read_table, scratch, staged
 
-LANGUAGES = ("de", "en", "es", "fr")
 SAMPLE = 500
+#: Labelled rows that a language needs to be modelled, and languages at most.
+LEAST_LABELLED, MOST_LANGUAGES = 20, 500
 #: So many times the sample is ranked: fewer than SAMPLE of 4,000 expected hashes are never met in practice.
 SPARE = 8
 BINS = 1 << 16
@@ -79,11 +83,21 @@ def trigrams(text: bytes) -> np.ndarray:
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
-    """(len(languages) + 1, BINS) log probabilities; the last row is the background. At most sample rows a language."""
-    named = labelled.filter(F.col(label_col).isin(*languages)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("h", F.xxhash64("id"))
+@dataclass
+class TextModel:
+    """logs: (len(languages) + 1, BINS) log probabilities; the last row is the background."""
+
+    languages: tuple[str, ...]
+    logs: np.ndarray
+
+
+def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, least: int = LEAST_LABELLED, sample: int = SAMPLE) -> TextModel:
+    """The languages that the labels name, and their trigrams in at most sample rows each."""
+    label = F.lower(F.btrim(F.col(label_col)))
+    named = labelled.filter(~label.isin("", "und")).select(F.col(id_col).alias("id"), label.alias("label")).withColumn("h", F.xxhash64("id"))
     # hashes are even, so the smallest of n rows lie below a known bound; what is above it needn't be ranked
-    sizes = named.groupBy("label").agg(F.approx_count_distinct("id").alias("n")).collect()  # a row a language
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("id").alias("n")).filter(F.col("rows") >= least).orderBy(F.desc("rows"), "label").limit(MOST_LANGUAGES).collect()
+    languages = tuple(sorted(r["label"] for r in sizes))
     bounds = {r["label"]: -(2**63) + min(2**64 - 1, 2**64 * SPARE * sample // max(1, r["n"])) for r in sizes}
     below = reduce(lambda a, b: a | b, [(F.col("label") == label) & (F.col("h") <= bound) for label, bound in bounds.items()], F.lit(False))
     order = Window.partitionBy("label").orderBy("h", "id")
@@ -108,12 +122,12 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, languag
     model = np.log((table + 0.05) / (table.sum(axis=1, keepdims=True) + 0.05 * BINS))
     # even over the trigrams that some language has: text unlike every language does better here
     model[-1] = -np.log(max(2.0, float((table.sum(axis=0) > 0).sum()) * 4))
-    return model.astype(np.float32)
+    return TextModel(languages, model.astype(np.float32))
 
 
-def text_evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES, html: bool = False) -> DataFrame:
+def text_evidence(rows: DataFrame, model: TextModel, html: bool = False) -> DataFrame:
     """rows (id, text, host, declared) -> id, host, domain, suffix, declared, n (trigrams), logs (one a class), vote."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # fixed size: (classes, BINS) floats
+    shared = rows.sparkSession.sparkContext.broadcast(model.logs)  # at most (MOST_LANGUAGES + 1, BINS) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -130,7 +144,8 @@ def text_evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...]
                 total *= min(1.0, TEXT_WEIGHT / max(1, len(found)))
                 logs.append(total.tolist())
                 sizes.append(len(found))
-                votes.append(int(np.argmax(total[:-1])) if len(found) and total[:-1].max() >= total[-1] else None)
+                best = int(np.argmax(total))
+                votes.append(best if len(found) and best < len(table) - 1 else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(batch.schema.get_field_index("host")), pa.array(declared, pa.string()), pa.array(sizes, pa.int64()), pa.array(logs, pa.list_(pa.float64())), pa.array(votes, pa.int32())],
                 ["id", "host", "declared", "n", "logs", "vote"],
@@ -144,9 +159,11 @@ def text_evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...]
     return out.withColumn("domain", F.when(F.col("host") != "", domain)).withColumn("suffix", F.when(F.col("host") != "", suffix))
 
 
-def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def fuse(evidence: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """evidence (staged) -> id, host, declared, suffix, text_lang, lang ('und': none), confidence."""
     k = len(languages)
+    if not k:  # nothing is labelled
+        return evidence.select("id", "host", "declared", "suffix", F.lit("und").alias("text_lang"), F.lit("und").alias("lang"), F.lit(1.0).alias("confidence"))
     tally = [F.count_if(F.col("vote") == i).alias(f"v{i}") for i in range(k)]
     whole = evidence.agg(*tally).first()
     total = sum(whole)
@@ -154,7 +171,8 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
 
     def counts(key: str, prefix: str) -> DataFrame:
         named = [F.count_if(F.col("vote") == i).alias(f"{prefix}{i}") for i in range(k)]
-        return evidence.filter(F.col(key).isNotNull()).groupBy(key).agg(*named)
+        # written, so that its size is known before the join: few hosts are broadcast, and rows are dealt by host only where hosts are many
+        return staged(evidence.filter(F.col(key).isNotNull()).groupBy(key).agg(*named), f"lang-{key}")
 
     out = evidence
     for key, prefix in (("host", "h"), ("domain", "d"), ("declared", "c"), ("suffix", "s")):
@@ -187,14 +205,16 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Languages of (page_id, url, html), with the text model of labelled docs (doc_id, text, lang)."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#:@]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"), F.nullif(host, F.lit("")).alias("host"))
-    return fuse(staged(text_evidence(rows, fit(docs, "doc_id", "text", "lang"), html=True), "lang-evidence"))
+    model = fit(docs, "doc_id", "text", "lang")
+    return fuse(staged(text_evidence(rows, model, html=True), "lang-evidence"), model.languages)
 
 
 def identify_documents(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
     """Languages of documents: lang is the declared language, source the host, id the key (doc_id, if none is given)."""
-    docs = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("id"), "text", "source", "lang")
-    rows = docs.select("id", "text", F.col("source").alias("host"), F.lower("lang").alias("declared"))
-    return fuse(staged(text_evidence(rows, fit(docs, "id", "text", "lang")), "lang-evidence"))
+    docs = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
+    rows = docs.select("id", "text", F.col("source").alias("host"), F.lower(F.btrim("lang")).alias("declared"))
+    model = fit(docs, "id", "text", "lang")
+    return fuse(staged(text_evidence(rows, model), "lang-evidence"), model.languages)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,12 +224,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_key() -> F.Column:
-    """doc_id, or for a row without one all that its language is judged by. It has the hash of the bare doc_id."""
-    unnamed = F.col("doc_id").isNull()
-    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.when(unnamed, c).alias(n) for n, c in (("text", F.sha2("text", 256)), ("source", F.col("source")), ("lang", F.col("lang")))])
+    """All that the language of a document is judged by, and its id."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text"), F.col("source").alias("source"), F.col("lang").alias("lang"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those judged 'und' go. Ids decide, so rows of one id go together; a row without one is judged on its own."""
-    gone = identify_documents(docs, document_key()).filter("lang = 'und'").select(F.col("id").alias("gone_id")).dropDuplicates()
-    return docs.join(gone, document_key() == gone["gone_id"], "left_anti").select(docs.columns)
+    """Documents in a known language; those judged 'und' go. Every row is judged by its own text, source and declared language."""
+    with scratch(spark):
+        unknown = identify_documents(docs, document_key()).filter("lang = 'und'").select(F.col("id").alias("gone")).dropDuplicates()
+        # written, so that its size is known before the join: texts are shuffled only if it is large
+        gone = staged(unknown, "lang-gone", keep=True)
+    return docs.join(gone, document_key() == gone["gone"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

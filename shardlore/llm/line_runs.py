@@ -1,17 +1,20 @@
 r"""Line dedup over levelled sorted runs of line hashes.
 
-A *run* is a table ``(h1, h2, n_docs, top_doc)`` dealt to files by a 128-bit
-line hash and sorted by it within each: in how many documents a line occurs, and
-the largest id among them.  New
-batches become level-0 runs; ``fanout`` runs of a level are merged into one run
-of the next, so a store of n batches keeps O(fanout * log n) runs.
-
-Two ways to use it:
-
-* :meth:`LineRuns.add` (incremental): the batch merge-anti-joins every run, so
-  that only lines that no earlier batch had are returned, and then adds its own.
-* :func:`drop_repeated` (whole table): deal the table into batches, add them
-  all, compact, and drop each repeated line from all but the largest document.
+A *run* is a table ``(h1, h2, n_docs, top_doc)`` in buckets of a 128-bit line
+hash, one file a bucket, sorted by the hash: in how many documents of its batch
+a line occurs, and the largest id among them.  All runs have the same buckets, so runs
+meet batches and each other in merge joins bucket by bucket, without a shuffle.
+
+:meth:`LineRuns.add` takes one batch of documents: its lines merge-anti-join
+every run.  What no run holds becomes a level-0 run of its own, so each line
+is in exactly one run.  What some run holds already is a repeat, and goes to
+the (far smaller) table of repeats with the batch's count and largest id.
+``fanout`` runs of a level are merged into one of the next, so a store of n
+batches keeps O(fanout * log n) runs.  :meth:`LineRuns.repeated` adds the
+repeats to the runs' own counts.
+
+:func:`drop_repeated` deals a whole table into batches, adds them one after the
+other, and drops each repeated line from all but the largest document.
 
 Line key: the line with ``[\x20\x09-\x0D]`` stripped at both ends and A-Z
 lower-cased.  Only keys of ``min_chars`` code points or more are looked at.
@@ -19,14 +22,16 @@ lower-cased.  Only keys of ``min_chars`` code points or more are looked at.
 Edge cases: a null or empty text is one empty line.  A null doc_id counts as
 one document below all others.  Repeated rows of one doc_id are one document
 for the counts, and each row is rewritten.  An empty table gives an empty
-result.  Extra columns are carried by :func:`drop_repeated`, whatever their
-names; its own columns are joined in under names that cannot clash.
+result.  Extra columns are carried by :func:`drop_repeated` in ``row``, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, drop_path, read_table, staged, staged_path
+from .common import binary_column, drop_path, read_table, scratch, staged, staged_path, whole_row
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
-FANOUT = 4
+BATCHES = 6
+FANOUT = 2
 NO_ID = -(2**63)
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -53,83 +58,117 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct (doc, h1, h2) of the lines that can repeat, one row per document and key."""
+    """(number, doc, h1, h2) of the lines that can repeat, one row per row of docs and key; number: a hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, owners = batch.column(0).to_pylist(), [], []
-            for key, text in zip(ids, binary_column(batch, "text"), strict=True):
+            digests, sizes = [], []
+            for text in binary_column(batch, "text"):
                 found = {h for line in (text or b"").split(b"\n") if (h := line_key(line, min_chars))}
                 digests.extend(found)
-                owners.extend([key] * len(found))
+                sizes.append(len(found))
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc", "h1", "h2"])
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["number", "doc", "h1", "h2"])
 
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")
-    return docs.select(ids, F.col(text_col).alias("text")).mapInArrow(run, "doc long, h1 long, h2 long")
+    return docs.select(row_number_of(id_col, text_col).alias("number"), ids, F.col(text_col).alias("text")).mapInArrow(run, "number long, doc long, h1 long, h2 long")
+
+
+def row_number_of(id_col: str, text_col: str) -> F.Column:
+    """What a row's drop list is joined by. A collision only adds lines to the lists that the other text doesn't have, but for lines of both."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 class LineRuns:
-    """A store of levelled runs in the shared folder."""
+    """A store of levelled runs in the shared folder, as bucketed tables of the session's catalog; close it to drop them."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout = spark, max(2, fanout)
+        #: As many buckets as shuffles have partitions, so that an aggregation of a batch lands in the runs' buckets.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        #: The newest run, which is merged with others only when the next one comes or at compact().
+        self.newest: str | None = None
+        self.repeats: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def runs(self) -> list[str]:
-        return [path for level in self.levels for path in level]
+        return [name for level in self.levels for name in level] + ([self.newest] if self.newest else [])
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = staged_path(self.spark, f"line-run-l{level}")
-        # groupBy has dealt the rows by hash already; sorting each part makes a sorted run
-        run.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+    def compact(self) -> None:
+        """Put the newest run to its level, which merges the level if that is full."""
+        if self.newest:
+            newest, self.newest = self.newest, None
+            self._file(newest, 0)
+
+    def _write(self, run: DataFrame, tag: str) -> str:
+        """A bucketed, sorted table of run, whose rows are in their buckets' tasks already."""
+        name, path = f"line_runs_{uuid.uuid4().hex}", staged_path(self.spark, tag)
+        run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
+
+    def _file(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            self._merge(self.levels[level], level + 1)
-
-    def _merge(self, paths: list[str], level: int) -> None:
-        old = list(paths)
-        merged = self._read(old).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"))
-        paths.clear()
-        self._write(merged, level)
-        for path in old:
-            drop_path(self.spark, path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, n_docs long, top_doc long"
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def add_hashes(self, hashes: DataFrame) -> None:
-        """Add a batch of distinct (doc, h1, h2); its documents must be in no other batch."""
-        run = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("top_doc"))
-        self._write(run, 0)
-
-    def add(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-        """The (doc, h1, h2) that no earlier run holds; then the batch's own run is added."""
-        hashes = staged(line_hashes(batch, id_col, text_col, min_chars), "line-batch")
-        fresh = staged(hashes.join(self._read(self.runs()).select("h1", "h2"), ["h1", "h2"], "left_anti"), "line-fresh")
-        self.add_hashes(hashes.dropDuplicates())
-        return fresh
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs()) > 1:
-            paths = self.runs()
-            level = len(self.levels)
-            self.levels = [[] for _ in range(level)]
-            self._merge(paths, level)
+            merged, *others = self.levels[level]
+            self.levels[level] = []
+            for other in others:
+                made = self._write(self.merged(merged, other), f"line-run-l{level + 1}")
+                self._drop(merged)
+                self._drop(other)
+                merged = made
+            self._file(merged, level + 1)
+
+    def merged(self, one: str, other: str, how: str = "full") -> DataFrame:
+        """Two tables as one, merged bucket by bucket; how: left keeps the lines of the first."""
+        right = self.spark.table(other).select("h1", "h2", F.col("n_docs").alias("n"), F.col("top_doc").alias("top"))
+        both = self.spark.table(one).join(right.hint("merge"), ["h1", "h2"], how)
+        return both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("top_doc", "top").alias("top_doc"))
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Add a batch of (doc, h1, h2), whose documents are in no other batch. Returns (h1, h2, n_docs, top_doc) of the lines that no earlier batch had; read it before the next add."""
+        self.compact()
+        own = lines.select("doc", "h1", "h2").dropDuplicates().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("top_doc"))
+        batch = self._write(own, "line-batch")
+        fresh = self.spark.table(batch)
+        for run in self.runs():
+            fresh = fresh.join(self.spark.table(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        fresh = self._write(fresh.select(*RUN), "line-run-l0")
+        seen = self.spark.table(batch).join(self.spark.table(fresh).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self.repeats.append(self._write(seen.select(*RUN), "line-repeats"))
+        self._drop(batch)
+        self.newest = fresh
+        return self.spark.table(fresh)
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """(h1, h2, top_doc) of the lines of at least min_docs documents; needs one run."""
-        self.compact()
-        return self._read(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "top_doc")
+        """(h1, h2, top_doc) of the lines of at least min_docs documents of all batches, staged."""
+        if not self.runs():
+            return self.spark.createDataFrame([], "h1 long, h2 long, top_doc long")
+        again = self.spark.read.schema(self.spark.table(self.repeats[0]).schema).parquet(*[self.paths[name] for name in self.repeats])
+        again = self._write(again.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc")), "line-repeats-all")
+        # a line is in one run, so each run is joined alone
+        found = [self.merged(run, again, "left").filter(F.col("n_docs") >= min_docs).select("h1", "h2", "top_doc") for run in self.runs()]
+        out = staged(reduce(DataFrame.union, found), "line-repeated")
+        self._drop(again)
+        return out
+
+
+RUN = ("h1", "h2", "n_docs", "top_doc")
 
 
-def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with repeated lines removed, plus n_lines, n_dropped and kept_sha256.
 
     The text is shuffled once, to meet its drop list; the hashes are dealt by
@@ -137,16 +176,19 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     partition of a line that very many documents hold.
     """
     spark = docs.sparkSession
-    own = line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", F.expr(f"pmod(xxhash64(doc), {int(batches)})").cast("int"))
-    hashes = staged(own, "line-hashes", ["batch"])
-    store = LineRuns(spark)
-    for k in range(batches):
-        store.add_hashes(hashes.filter(F.col("batch") == k).drop("batch").dropDuplicates())
-    drops = hashes.join(store.repeated(min_docs), ["h1", "h2"]).filter(F.col("doc") < F.col("top_doc"))
-    drops = drops.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), row)
-    joined = keyed.join(drops, "doc", "left").select("row", "gone", F.col(f"row.`{text_col}`").alias("text"))
+    with scratch(spark):
+        own = line_hashes(docs, id_col, text_col, min_chars).withColumn("batch", F.expr(f"pmod(xxhash64(doc), {int(batches)})").cast("int"))
+        hashes = staged(own, "line-hashes", ["batch"])
+        store = LineRuns(spark, fanout)
+        for k in range(batches):
+            store.add(hashes.filter(F.col("batch") == k))
+        many = store.repeated(min_docs)
+        store.close()
+        drops = hashes.join(many, ["h1", "h2"]).filter(F.col("doc") < F.col("top_doc"))
+        # one text's lines: never more than it has
+        drops = staged(drops.groupBy("number").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")), "line-drops", keep=True)
+    keyed = docs.select(row_number_of(id_col, text_col).alias("number"), whole_row(docs))
+    joined = keyed.join(drops, "number", "left").select("row", "gone", F.col(f"row.`{text_col}`").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -21,7 +21,8 @@ r"""Near-duplicate groups by SuperMinHash, banding, exact verification and union
 
 Edge cases: null or wordless texts have an empty set and no links.  Rows of
 one doc_id must be equal texts (repeated rows); each gets the id's result.
-A null doc_id is its own component and is kept.  Empty tables give an empty
+A null doc_id is its own component and is kept by :func:`near_duplicates`;
+:func:`dedup_stage` also groups rows without an id.  Empty tables give an empty
 result; extra columns are ignored.
 """
 
@@ -35,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chain64, maybe_among, mix64, read_table, space_words, staged, text_batches
+from .common import WordHashes, chain64, mix64, once_each, read_table, scratch, space_words, staged, text_batches, whole_row
 from .components import UnionFind, components
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 4
 PERCENT = 85
+#: Similarity of near-duplicates in the pipeline.
+STAGE_PERCENT = 80
 BLOCK = 256
 #: Elements whose permutations are held at once (one byte a slot).
 WALK = 40_000
@@ -229,10 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots = reps.select("rep", F.explode("buckets").alias("bucket"))  # a bucket's name holds its band
     heads = slots.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = staged(slots.join(heads, "bucket").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).dropDuplicates(), "minhash-pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).dropDuplicates()
+    ends = staged(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).dropDuplicates(), "minhash-ends")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ends = staged(ends, "minhash-ends")
-    needed = maybe_among(texts, "id", ends).join(ends, "id", "left_semi").dropDuplicates(["id"])
+    # texts are dealt by id at every size of the table; a filter of ids small enough for each worker would do nothing for a large one
+    needed = texts.filter("id is not null").join(ends.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     sets = staged(shingle_sets(needed, size), "minhash-sets")
     links = staged(verified(pairs, sets, percent), "minhash-links")
     comps = components(links)
@@ -273,20 +276,31 @@ def _unfinished(pairs: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    with scratch(spark):
+        return staged(near_duplicates(read_table(spark, sf_dir, "documents")), "minhash-groups", keep=True)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id; rows of a repeated id become one row."""
-    judged = staged(near_duplicates(docs), "minhash-judged")
-    gone = judged.filter(~F.col("kept")).select("doc_id").dropDuplicates()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    repeated = staged(repeated, "minhash-repeated")
-    if not repeated.limit(1).count():
-        return stay
-    once = stay.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return stay.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """One document of each group stays: that of the smallest id, then of the smallest hash.
+
+    Rows are told apart by a 64-bit hash of id and text, so different texts of
+    one id are different documents, and so are rows without an id, which stay
+    only where no document of their group has one.  Rows equal in id and text
+    become one row.  Documents at STAGE_PERCENT or more are linked.
+    """
+    number = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    keyed = docs.select(number.alias("number"), whole_row(docs))
+    with scratch(spark):
+        rows = docs.select(number.alias("number"), F.col("doc_id").cast("long").alias("id"), "text")
+        judged = staged(near_duplicates(rows, "number", percent=STAGE_PERCENT), "minhash-judged")
+        ids = rows.groupBy("number").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        groups = staged(judged.select(F.col("doc_id").alias("number"), "component_id").dropDuplicates().join(ids, "number"), "minhash-ids")
+        first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number")).alias("first"))
+        stay = groups.join(first, "component_id").filter(F.col("number") == F.col("first.number"))
+        gone = staged(groups.join(stay.select("number"), "number", "left_anti").select("number"), "minhash-gone", keep=True)
+        repeated = staged(stay.filter("n > 1").select("number"), "minhash-repeated", keep=True)
+    stayed = once_each(keyed.join(gone, "number", "left_anti"), "number", repeated)
+    return stayed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -13,13 +13,19 @@ lower bound first; with the stored distances it discards entries by
 |d(q, parent) - d(entry, parent)| - radius > d_k before computing d(q, entry).
 
 Vectors are dealt by id to trees of at least about ``tree_rows`` and queries to
-blocks of about ``block_rows``; each (tree, block) pair is one bounded piece of work,
-and the trees' best k are merged by a window that trims before its shuffle.
-Equal vectors of a tree are one entry that keeps its k + 1 smallest ids: no
-more can be in a result, so the answer stays exact with any number of copies.
+blocks of about ``block_rows``; trees are files in the shared folder, each (tree,
+block) pair is one bounded piece of work, and the trees' best k are merged by a
+window that trims before its shuffle.  Equal vectors of a tree are one entry
+that keeps its k + 1 smallest ids: no more can be in a result, so the answer
+stays exact with any number of copies.
+
+Scores are exact whatever the components: where doubles can't hold them, inner
+products are summed from products of 21-bit limbs.  A score beyond 64 bits is
+ranked by its true value and given as the nearest 64-bit number.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite
-component take no part, and neither do null ids.  A query meets candidates of
+component take no part, and neither do null ids.  Scaled components beyond 64
+bits count as the nearest 64-bit number.  A query meets candidates of
 its own length only.  Exactly repeated rows count once.  Ties go to the smaller
 id.  Empty tables give empty results.  Extra columns are ignored.
 """
@@ -35,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import read_table, scratch, staged, staged_path
+from .files import map_bytes, write_arrays
 
 TOP = 20
 SCALE = 64
@@ -43,11 +50,14 @@ QUERY_STEP = 20
 #: Vectors of a tree: at least the first, at most the second (some 70 MB with 64 components), with 64 trees in between.
 TREE_ROWS, MOST_TREE_ROWS, TREES = 8192, 65_536, 64
 BLOCK_ROWS = 4096
-PAGE = 512
+PAGE = 64
 FANOUT = 16
 EPS = 1e-6
 #: Scores times entries below this are exact in doubles and fit keys of 64 bits.
 SAFE = 2.0**53
+#: Bits of a limb, and components whose products of limbs a double can sum.
+LIMB, LIMB_COMPONENTS = 21, 1024
+MOST, LEAST = 2**63 - 1, -(2**63)
 
 
 class MTree:
@@ -58,6 +68,7 @@ class MTree:
     """
 
     def __init__(self, points: np.ndarray, ids: list[np.ndarray], page: int = PAGE, fanout: int = FANOUT) -> None:
+        self.whole = points.astype(np.int64)
         self.points = points.astype(np.float64)
         self.squares = (self.points**2).sum(axis=1)
         self.top_square = float(self.squares.max()) if len(points) else 0.0
@@ -71,6 +82,8 @@ class MTree:
         order = np.concatenate(self._leaves) if self._leaves else np.zeros(0, np.int64)
         del self._leaves
         self.points, self.squares = self.points[order], self.squares[order]
+        # whole numbers are needed only where doubles may not hold them
+        self.whole = self.whole[order] if self.top_square * max(1, len(order)) >= SAFE else None
         self.counts = np.array([len(ids[i]) for i in order], np.int64)
         self.ids = np.concatenate([ids[i] for i in order]) if len(order) else np.zeros(0, np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
@@ -130,7 +143,7 @@ class MTree:
         q = queries.astype(np.float64)
         squares = (q**2).sum(axis=1)
         if max(self.top_square, float(squares.max())) * n >= SAFE:
-            return self._search_plainly(queries, k)
+            return self._search_exactly(queries, k)
         worst_of = np.iinfo(np.int64).min
         best = np.full((m, width), worst_of)  # score * n + place; the first is the least
         limit = np.full(m, np.inf)
@@ -186,19 +199,26 @@ class MTree:
     def _from(self, q: np.ndarray, squares: np.ndarray, points: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, squares[:, None] + self.top_square - 2.0 * (q @ points.T)))
 
-    def _search_plainly(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Components so large that doubles aren't exact: whole numbers of any size, cut to 64 bits at the end."""
-        entries, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -1, np.int64)
-        points = [[int(x) for x in p] for p in self.points]
-        for row, query in enumerate(queries.tolist()):
-            found = sorted((-sum(a * b for a, b in zip(p, query, strict=True)), -int(self.place[i]), i) for i, p in enumerate(points))[:k]
-            entries[row, : len(found)] = [f[2] for f in found]
-            scores[row, : len(found)] = [max(-(2**63), min(2**63 - 1, -f[0])) for f in found]
+    def _search_exactly(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Components so large that doubles aren't exact: all of the tree by whole numbers of any size, as objects."""
+        entries, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -1, object)
+        points = self.points.astype(np.int64) if self.whole is None else self.whole
+        for row, query in enumerate(queries):
+            exact = whole_products(query[None, :], points)[0]
+            order = np.lexsort((-self.place, np.unique(-exact, return_inverse=True)[1]))[:k]
+            entries[row, : len(order)], scores[row, : len(order)] = order, exact[order]
         return entries, scores
 
     def best(self, queries: np.ndarray, query_ids: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, id, score) of the k best of each query id other than itself; owner: its row of queries."""
+        """(query id, id, score) of the k best of each query id other than itself; owner: its row of queries. Scores may be objects."""
         entries, scores = self.search(queries, k + 1)
+        if scores.dtype == object:  # go on with places among the scores
+            values, places = np.unique(scores, return_inverse=True)
+            query, found, place = self._best(entries, places.reshape(scores.shape), query_ids, owner, k)
+            return query, found, values[place]
+        return self._best(entries, scores, query_ids, owner, k)
+
+    def _best(self, entries: np.ndarray, scores: np.ndarray, query_ids: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, at = np.nonzero(entries >= 0)
         entry, score = entries[row, at], scores[row, at]
         counts = self.counts[entry]
@@ -209,8 +229,8 @@ class MTree:
         row, ids, score = row[order], ids[order], score[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         good = place <= k
-        table, points = np.zeros((2, len(queries), k + 1), np.int64)
-        held = np.zeros((len(queries), k + 1), bool)
+        table, points = np.zeros((2, len(entries), k + 1), np.int64)
+        held = np.zeros((len(entries), k + 1), bool)
         table[row[good], place[good]], points[row[good], place[good]], held[row[good], place[good]] = ids[good], score[good], True
         other = held[owner] & (table[owner] != query_ids[:, None])
         other &= np.cumsum(other, axis=1) <= k
@@ -225,8 +245,28 @@ def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")).dropDuplicates()
 
 
-def plant(rows: DataFrame, trees: int, k: int) -> DataFrame:
-    """(tree, dim, body): one stored M-tree for each piece of the vectors."""
+def whole_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of 64-bit whole numbers as objects, exact: sums of limb products stay below 2^53."""
+
+    def limbs(x: np.ndarray) -> list[np.ndarray]:
+        mask = (1 << LIMB) - 1
+        return [(x & mask).astype(np.float64), (x >> LIMB & mask).astype(np.float64), (x >> 2 * LIMB).astype(np.float64)]
+
+    out = np.zeros((len(left), len(right)), object)
+    for k in range(0, left.shape[1], LIMB_COMPONENTS):
+        for i, a in enumerate(limbs(left[:, k : k + LIMB_COMPONENTS])):
+            for j, b in enumerate(limbs(right[:, k : k + LIMB_COMPONENTS])):
+                out += (a @ b.T).astype(np.int64).astype(object) << LIMB * (i + j)
+    return out
+
+
+def order_key(score: int) -> bytes | None:
+    """Bytes that sort as scores do, of those at or beyond the 64-bit bounds."""
+    return None if LEAST < score < MOST else (score + (1 << 159)).to_bytes(20, "big")
+
+
+def plant(rows: DataFrame, trees: int, k: int, base: str) -> DataFrame:
+    """(tree, dim): an M-tree for each piece of the vectors, stored as a file below base."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         points = np.stack(frame["v"].to_numpy()).astype(np.int64)
@@ -235,43 +275,58 @@ def plant(rows: DataFrame, trees: int, k: int) -> DataFrame:
         ids = frame["id"].to_numpy()[order]
         heads = np.searchsorted(owner[order], np.arange(len(every)))
         tree = MTree(every, [part[: k + 1] for part in np.split(ids, heads[1:])])
-        return pd.DataFrame({"tree": [frame["tree"].iloc[0]], "dim": [points.shape[1]], "body": [pickle.dumps(tree, 5)]})
+        number, dim = int(frame["tree"].iloc[0]), points.shape[1]
+        write_arrays(base, f"tree-{number}-{dim}", [np.frombuffer(pickle.dumps(tree, 5), np.uint8)])
+        return pd.DataFrame({"tree": [number], "dim": [dim]})
 
     dealt = rows.withColumn("tree", F.expr(f"pmod(xxhash64(id), {trees})")).withColumn("dim", F.size("v"))
-    return dealt.groupBy("tree", "dim").applyInPandas(run, "tree long, dim int, body binary")
+    return dealt.groupBy("tree", "dim").applyInPandas(run, "tree long, dim int")
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, query_step: int = QUERY_STEP, tree_rows: int = TREE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of every row whose id is divisible by query_step."""
+    """(query_id, rank, vec_id, score, computed): the k best of every row whose id is divisible by query_step.
+
+    computed: distances that the trees computed for the query's block, a query.
+    """
+    spark = vectors.sparkSession
     rows = staged(usable_vectors(vectors, id_col, vector_col), "vectors")
     n = rows.count()
     # every query goes to every tree, so trees are large where that still leaves work for all executors
     trees = max(1, -(-n // max(tree_rows, min(MOST_TREE_ROWS, n // TREES))))
     blocks = max(1, -(-n // (query_step * block_rows)))
-    forest = staged(plant(rows, trees, k), "m-trees")
+    base = staged_path(spark, "m-trees")
+    forest = staged(plant(rows, trees, k, base), "m-forest")
     queries = rows.filter(F.col("id") % query_step == 0).withColumn("dim", F.size("v"))
     # a block has a bounded number of queries; each goes to every tree of its length
     queries = queries.withColumn("block", F.expr(f"pmod(xxhash64(id, 1), {blocks})")).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     queries = queries.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("tree", F.col("tree").cast("long"))
-    work = forest.hint("shuffle_hash").join(queries, ["tree", "dim"]).select("body", F.col("queries.id").alias("ids"), F.flatten("queries.v").alias("flat"))
+    # the blocks of one tree come one after the other, so a worker reads it once
+    work = queries.join(forest.hint("shuffle_hash"), ["tree", "dim"]).sortWithinPartitions("tree", "dim").select("tree", "dim", F.col("queries.id").alias("ids"), F.flatten("queries.v").alias("flat"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, tree = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                tree = pickle.loads(batch.column(0)[i].as_py())
-                ids = np.asarray(batch.column(1)[i].values)
-                vectors = np.asarray(batch.column(2)[i].values).reshape(len(ids), -1)
+                wanted = f"tree-{batch.column(0)[i].as_py()}-{batch.column(1)[i].as_py()}"
+                if wanted != name:
+                    name, tree = wanted, pickle.loads(map_bytes(base, wanted))
+                ids = np.asarray(batch.column(2)[i].values)
+                vectors = np.asarray(batch.column(3)[i].values).reshape(len(ids), -1)
                 every, owner = np.unique(vectors, axis=0, return_inverse=True)
-                columns = tree.best(every, ids, owner.reshape(-1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+                tree.computed = 0
+                query, found, score = tree.best(every, ids, owner.reshape(-1), k)
+                keys = [order_key(x) for x in score] if score.dtype == object else [None] * len(score)
+                shown = pa.array(np.clip(score, LEAST, MOST).astype(np.int64) if score.dtype == object else score)
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), shown, pa.array(keys, pa.binary()), pa.array(np.full(len(query), tree.computed / len(ids)))], ["query_id", "vec_id", "score", "beyond", "computed"])
 
-    found = work.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = work.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary, computed double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "computed")
 
 
 def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(read_table(spark, sf_dir, "embeddings"))
+    with scratch(spark):
+        return staged(top_k(read_table(spark, sf_dir, "embeddings")).drop("computed"), "mtree-top", keep=True)
 
 
 SQL = """

@@ -15,13 +15,17 @@ looks for every other term within ``slop`` words.
 
 Words: A-Z lower-cased, then ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 
-The test phrases are dealt in blocks of at most ``block_windows`` (at most 12
-MB each); their number follows the benchmark, never the corpus.
+The test phrases are a table as well: distinct windows are dealt by hash to
+block files of about ``block_windows`` (about 10 MB each) in the shared folder.  A
+worker maps one block after the other, so neither the driver nor a worker
+holds the whole benchmark.
 
 Edge cases: null or wordless documents have no words and no hits; null or
 wordless items have no windows.  Repeated rows are judged one by one; rows of
-one item_id are one item.  A null item_id is ignored.  Empty tables give empty
-results or no hits.  Only the id and text columns are read.
+one item_id are one item.  Items without an item_id are together one item
+without a name: their windows count as hits and as one of the items, and
+items_sha256 leaves them out.  Empty tables give empty results or no hits.
+Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, numbered_unnamed, read_table, staged, text_batches
+from .common import WordHashes, binary_column, read_table, scratch, staged, staged_path, text_batches
+from .files import map_arrays, write_arrays
 
 WINDOW = 8
 SEGMENT_WORDS = 1_000_000
@@ -173,60 +179,81 @@ class Segment:
         return np.searchsorted(self.starts, position, "right") - 1
 
 
-def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-    """Blocks of distinct (window, item): hashed words, sizes, item ids as strings."""
-    hashes = WordHashes()
-    words: list[np.ndarray] = []
-    sizes: list[int] = []
-    owners: list[str] = []
-
-    def out() -> tuple[np.ndarray, np.ndarray, list[str]]:
-        return np.array(words, np.uint64).reshape(-1, window), np.array(sizes, np.int64), owners
-
-    rows = items.select(F.col(id_col).cast("string").alias("id"), F.encode(text_col, "utf-8").alias("text")).filter("id is not null")
-    for item, text in rows.toLocalIterator():
-        stream = hashes.array(match_words(bytes(text) if text is not None else None))
-        seen = set()
-        for k in range(max(1, len(stream) - window + 1) if len(stream) else 0):
-            piece = stream[k : k + window]
-            if piece.tobytes() in seen:
-                continue
-            seen.add(piece.tobytes())
-            words.append(np.pad(piece, (0, window - len(piece))))
-            sizes.append(len(piece))
-            owners.append(item)
-            if len(words) >= block_windows:
-                yield out()
-                words, sizes, owners = [], [], []
-    if words:
-        yield out()
+def store_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """Write the distinct (window, item) as block files; returns their folder and (block, windows, pairs, bytes of names) of each."""
+    spark = items.sparkSession
+    base = staged_path(spark, "windows")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            owners, sizes, pieces = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
+                stream = hashes.array(match_words(text))
+                found = {stream[k : k + window].tobytes() for k in range(max(1, len(stream) - window + 1) if len(stream) else 0)}
+                pieces += found
+                owners += [item] * len(found)
+                sizes += [min(len(stream), window)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(sizes, pa.int32()), pa.array(pieces, pa.binary())], ["item", "size", "words"])
+
+    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "item string, size int, words binary")
+    rows = staged(rows.dropDuplicates(), "windows-cut")
+    blocks = max(1, -(-rows.count() // block_windows))
+
+    def write(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame["block"].iloc[0])
+        every, owner = np.unique(frame["words"].to_numpy(object), return_inverse=True)
+        words = np.stack([np.frombuffer(w.ljust(8 * window, b"\0"), np.uint64) for w in every])
+        sizes = np.array([len(w) // 8 for w in every], np.int64)
+        names = frame["item"].to_numpy(object)
+        order = np.argsort(owner, kind="stable")
+        encoded = [b"\0" if names[k] is None else b"\1" + names[k].encode() for k in order]
+        write_arrays(base, f"block-{block}", [words, sizes, np.searchsorted(owner[order], np.arange(len(every) + 1)), np.cumsum([0, *map(len, encoded)]), np.frombuffer(b"".join(encoded), np.uint8)])
+        return pd.DataFrame({"block": [block], "n": [len(every)], "pairs": [len(order)], "bytes": [sum(map(len, encoded))]})
+
+    dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(words), {blocks})"))
+    made = staged(dealt.groupBy("block").applyInPandas(write, "block long, n long, pairs long, bytes long"), "windows-blocks")
+    return base, sorted(tuple(r) for r in made.collect())  # a row of four numbers a block
+
+
+class WindowBlock:
+    """A block of phrases: hashed words, sizes, and the items of each."""
+
+    def __init__(self, base: str, block: int, n: int, pairs: int, size: int, window: int) -> None:
+        words, self.sizes, self.first, self.ends, self.names = map_arrays(base, f"block-{block}", [("<u8", n * window), ("<i8", n), ("<i8", n + 1), ("<i8", pairs + 1), ("u1", size)])
+        self.words = words.reshape(n, window)
+
+    def items(self, phrase: int) -> Iterator[str | None]:
+        for k in range(self.first[phrase], self.first[phrase + 1]):
+            name = self.names[self.ends[k] : self.ends[k + 1]].tobytes()
+            yield name[1:].decode() if name[0] else None
 
 
 def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per indexed document: n_words, n_hit, n_items, items_sha256, contaminated, and the item ids."""
     if window > GAP:
         raise ValueError(f"a window has at most {GAP} words")
-    sc = index.sparkSession.sparkContext
-    blocks = [sc.broadcast(block) for block in item_windows(items, window=window, block_windows=block_windows)]
+    base, blocks = store_windows(items, window=window, block_windows=block_windows)
 
     def judge(row: dict) -> list[tuple]:
         seg = Segment(row)
         edge = np.zeros(seg.size + 1, np.int32)
-        found: dict[int, set[str]] = {}
-        for block in blocks:
-            words, sizes, owners = block.value
-            for phrase, start in seg.phrases(words, sizes):
+        found: dict[int, set[str | None]] = {}
+        for numbers in blocks:
+            block = WindowBlock(base, *numbers, window)
+            for phrase, start in seg.phrases(block.words, block.sizes):
                 np.add.at(edge, start, 1)
-                np.add.at(edge, start + sizes[phrase], -1)
+                np.add.at(edge, start + block.sizes[phrase], -1)
                 pairs = np.unique(np.stack([seg.doc_of(start), phrase]), axis=1)
                 for doc, k in pairs.T.tolist():
-                    found.setdefault(doc, set()).add(owners[k])
+                    found.setdefault(doc, set()).update(block.items(k))
         hits = np.concatenate(([0], np.cumsum(np.cumsum(edge) > 0)))
         n_hit = hits[seg.starts + seg.lengths] - hits[seg.starts]
         out = []
         for k in range(len(seg.ids)):
-            items = sorted(found.get(k, ()))
-            out.append((None if seg.null[k] else int(seg.ids[k]), int(seg.lengths[k]), int(n_hit[k]), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(items) >= min_items, items))
+            items = sorted(x for x in found.get(k, ()) if x is not None)
+            n_items = len(found.get(k, ()))
+            out.append((None if seg.null[k] else int(seg.ids[k]), int(seg.lengths[k]), int(n_hit[k]), n_items, hashlib.sha256(",".join(items).encode()).hexdigest(), n_items >= min_items, items))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +285,9 @@ def proximity(index: DataFrame, words: list[str], slop: int) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = staged(build_index(read_table(spark, sf_dir, "documents")), "positional-index")
-    return contamination(index, read_table(spark, sf_dir, "benchmark")).drop("items")
+    with scratch(spark):
+        index = staged(build_index(read_table(spark, sf_dir, "documents")), "positional-index")
+        return staged(contamination(index, read_table(spark, sf_dir, "benchmark")).drop("items"), "positional-result", keep=True)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -267,22 +295,16 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     One leaked passage is enough here; ``contaminated`` of the query is about
     several items.  An item shorter than a window is no passage on its own.
-    Ids decide, so rows of one id go together; a row without one is judged on
-    its own.
+    Each row is judged by its own text: verdicts go by a 64-bit hash of id and
+    text.
     """
-    items = read_table(spark, sf_dir, "benchmark")
-
-    def clean(rows: DataFrame) -> DataFrame:
-        index = staged(build_index(rows), "positional-index")
-        bad = contamination(index, items).filter(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("bad_id")).distinct()
-        return rows.join(bad, rows["doc_id"].cast("long") == bad["bad_id"], "left_anti").select(docs.columns)
-
-    unnamed = numbered_unnamed(docs, "doc_id", "positional-unnamed")
-    if unnamed is None:
-        return clean(docs)
-    nothing = F.lit(None).cast(docs.schema["doc_id"].dataType)
-    return clean(docs.filter(F.col("doc_id").isNotNull())).unionByName(clean(unnamed).withColumn("doc_id", nothing))
-
+    number = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    with scratch(spark):
+        index = staged(build_index(docs.select(number.alias("doc_id"), "text")), "positional-index")
+        bad = contamination(index, read_table(spark, sf_dir, "benchmark")).filter(F.col("n_hit") >= WINDOW).select(F.col("doc_id").alias("bad")).distinct()
+        # written, so that its size is known before the join: texts are shuffled only if it is large
+        bad = staged(bad, "positional-bad", keep=True)
+    return docs.join(bad, number == bad["bad"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 SQL = r"""

@@ -60,6 +60,10 @@ RECORDS = [
     ({"conversation": [{"user": "a", "assistant": "b"}, {"user": "c", "assistant": "d"}]}, [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]),
     ({"something": 1}, []),
     ({}, []),
+    ({"prompt": "p", "response": "r", "source": "web", "meta": {"x": [1]}}, [("user", "p"), ("assistant", "r")]),
+    ({"prompt": "p", "response": "r", "completion": "c"}, []),  # two known layouts of one size lie within
+    ({"instruction": "i", "input": "x", "output": "o", "response": "r"}, [("user", "i\n\nx"), ("assistant", "o")]),
+    ({"role": "gpt", "text": "t", "turn": 0}, [("assistant", "t")]),
 ]
 
 
@@ -68,7 +72,7 @@ def test_fingerprints_select_mappings(spark):
     found = chat.canonical_turns(spark.createDataFrame(rows, "id long, json string"), "id", "json").orderBy("id", "turn").collect()
     for k, (_, want) in enumerate(RECORDS):
         assert [(r.role, r.text) for r in found if r.id == k and r.turn is not None] == want
-    assert {r.id for r in found if r.turn is None} == {7, 8, 90, 91, 92}
+    assert {r.id for r in found if r.turn is None} == {7, 8, 10, 90, 91, 92}
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"]) != chat.fingerprint(["a.b"])
 
 
@@ -81,3 +85,31 @@ def test_typed_tables(spark):
         assert [(r.role, r.text) for r in chat.mapped_frame(frame, "id").orderBy("turn").collect()] == want
     flat = spark.createDataFrame([(1, "i", "x", "o"), (2, "i", None, None)], "id long, instruction string, input string, output string")
     assert [(r.id, r.role, r.text) for r in chat.mapped_frame(flat, "id").orderBy("id", "turn").collect()] == [(1, "user", "i\n\nx"), (1, "assistant", "o"), (2, "user", "i"), (2, "assistant", "")]
+
+
+def test_rows_of_turns_are_mapped_by_their_schema(spark, monkeypatch):
+    """Extra columns don't matter; without the mapping, or with a wrong mask, the result is another or none."""
+    import pytest
+
+    turns = spark.createDataFrame([(*r, "z", 1.5) for r in ROWS], "conv_id long, turn long, role string, text string, piece string, id double")
+    mapped = chat.mapped_frame(turns, "conv_id").select(F.col("id").alias("conv_id"), "turn", "role", "text")
+    assert sorted(map(tuple, chat.digests(mapped).collect()), key=str) == brute(ROWS)
+    monkeypatch.delitem(chat.LAYOUTS, ("role", "text", "turn"))
+    monkeypatch.delitem(chat.MAPPINGS, chat.fingerprint(["role", "text", "turn"]))
+    chat._WITHIN.clear()
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.mapped_frame(turns, "conv_id")
+    chat._WITHIN.clear()
+
+
+def test_the_loss_text_is_what_the_mask_says():
+    """read_back's own lines on a turn whose mask is off by one."""
+    piece, (a, b) = chat.format_turn("assistant", "said [/TURN] it")
+    assert chat.unescape(piece[a:b]) == "said [/TURN] it" and chat.unescape(piece[a : b - 1]) == "said [/TURN] i"
+    assert chat.format_turn("user", "x")[1] is None
+
+
+def test_a_broken_mask_changes_the_digest(spark):
+    turns = spark.createDataFrame([(1, 0, "assistant", "said")], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(turns)
+    assert [tuple(r) for r in read.collect()] == [(1, 0, "assistant", "said", len("[TURN assistant]said[/TURN]"), True, None)]

@@ -23,15 +23,16 @@ def targets(sizes):
 
 
 def brute(rows):
-    rows = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, s, t in rows]
+    key = lambda i, t: hashlib.md5(((t or "") if i is None else str(i)).encode()).hexdigest()
+    rows = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), key(i, t)) for i, s, t in rows]
     sizes = {}
-    for _, s, n in rows:
+    for _, s, n, _ in rows:
         sizes[s] = sizes.get(s, 0) + n
     share, out = targets(sizes), []
     for s in sizes:
         start = 0
-        own = sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), r[0] or 0, r[2]))
-        for i, _, n in own:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], r[0] or 0, r[2]))
+        for i, _, n, _ in own:
             taken = sum(n for e in range(3) if 2 * (start + e * sizes[s]) + n <= 2 * share[s])
             out.append((i, n, sizes[s], round(share[s], 6), taken))
             start += n
@@ -70,32 +71,57 @@ def test_training_time_inverts_the_integrated_schedule(spark, slope):
         assert abs(integral - row.u) < 1e-9
 
 
-def test_rows_are_range_sorted_and_empty_tables(spark):
-    docs = spark.createDataFrame([r for r in corpus() if r[0] not in (None, 0)], "doc_id long, source string, text string")
-    rows = cu.mixed_rows(docs).collect()
-    assert [r.position for r in rows] == sorted(r.position for r in rows)
-    assert {(r.doc_id, r.epoch) for r in rows} == {(r.doc_id, e) for r in cu.mix(docs).collect() for e in range(len(r.positions))}
-    assert cu.mix(docs.limit(0)).count() == 0
-    blank = spark.createDataFrame([(1, "a", None)], docs.schema)
-    assert [(r.target, r.taken) for r in cu.mix(blank).collect()] == [(0.0, 0)]
+def test_any_schedule_is_inverted(spark):
+    schedule = cu.Schedule((3, 0, 1, 2))
+    frame = spark.range(1, 601).select((F.col("id") / 600).alias("u"))
+    for row in frame.select("u", schedule.time(F.col("u")).alias("t")).collect():
+        whole, part = divmod(row.t * 4, 1)
+        demand = sum((3, 0, 1, 2)[: int(whole)]) + (part * (3, 0, 1, 2)[int(whole)] if whole < 4 else 0)
+        assert abs(demand / 6 - row.u) < 1e-9
+    docs = spark.createDataFrame(corpus(), "doc_id long, source string, text string")
+    late = cu.mix(docs, schedules={"hot": cu.Schedule((0, 0, 0, 1))}).filter("source = 'hot'").collect()
+    assert all(t >= 0.75 for r in late for t in r.positions) and any(r.positions for r in late)
+    with pytest.raises(ValueError):
+        cu.Schedule((0.0, 0.0))
+
+
+def brute_rows(rows):
+    """((id, source, text), epoch) of every row that the mix takes; rows: (id, source, text)."""
+    out = []
+    by_source = {}
+    for i, s, t in rows:
+        by_source.setdefault(s, []).append((hashlib.md5(((t or "") if i is None else str(i)).encode()).hexdigest(), i or 0, len((t or "").split()), i, t))
+    share = targets({s: sum(r[2] for r in own) for s, own in by_source.items()})
+    for s, own in by_source.items():
+        start, size = 0, sum(r[2] for r in own)
+        for _, _, n, i, t in sorted(own, key=lambda r: r[:3]):
+            out += [((i, s, t), e) for e in range(3) if n and 2 * (start + e * size) + n <= 2 * share[s]]
+            start += n
+    return sorted(out, key=str)
 
 
-def test_rows_without_an_id_are_mixed_one_by_one(spark):
-    rows = corpus() + [(None, "hot" if k % 2 else None, "word " * (k % 5 + 1) + str(k % 20)) for k in range(60)] + [(None, "hot", ""), (None, "hot", None)]
-    docs = spark.createDataFrame([r for r in rows if r[0] != 0], "doc_id long, source string, text string")
-    out = cu.mixed_rows(docs).collect()
-    assert [r.position for r in out] == sorted(r.position for r in out)
-    key = lambda r, n: (r.doc_id, r.source, n)
-    want = [(key(r, r["size"]), e, t) for r in cu.mix(docs).collect() if r.doc_id is None for e, t in enumerate(r.positions)]
-    texts = {}
-    for r in out:
-        if r.doc_id is None:
-            texts.setdefault((r.source, r.text), []).append(r.epoch)
-    assert sorted(((key(r, len(r.text.split())), r.epoch, r.position) for r in out if r.doc_id is None), key=str) == sorted(want, key=str) and len(want) >= 60
-    copies = {}
-    for i, source, text in rows:
-        if i is None:
-            copies[source, text] = copies.get((source, text), 0) + 1
-    assert all(es.count(e) <= copies[k] for k, es in texts.items() for e in es)
-    again = cu.mixed_rows(docs.repartition(7)).collect()
-    assert sorted(map(str, again)) == sorted(map(str, out))
+def test_no_row_is_lost(spark):
+    """Rows without an id, rows of one id with other texts, equal rows, and columns named as those that are added."""
+    rows = corpus() + [(None, "hot" if k % 2 else None, "word " * (k % 5 + 1) + str(k % 20)) for k in range(60)] + [(None, "hot", ""), (7, "s0", "another text of this id"), corpus()[3], corpus()[3]]
+    docs = spark.createDataFrame([(*r, "e", "p", "m", 1) for r in rows], "doc_id long, source string, text string, Epoch string, position string, mixed_id string, number int")
+    out = cu.mixed_rows(docs)
+    assert out.columns == [*docs.columns, "mix_epoch", "mix_position"]
+    found = out.collect()
+    assert [r.mix_position for r in found] == sorted(r.mix_position for r in found)
+    assert {(r.Epoch, r.position, r.mixed_id, r.number) for r in found} == {("e", "p", "m", 1)}
+    # equal rows of equal size may change places, so compare which row is taken how often
+    got, want = {}, {}
+    for r in found:
+        got[r.doc_id, r.source, r.text] = got.get((r.doc_id, r.source, r.text), 0) + 1
+    for key, _ in brute_rows(rows):
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+    assert sorted(map(str, cu.mixed_rows(docs.repartition(7)).collect())) == sorted(map(str, found))
+    assert sum(len(r.text.split()) for r in found) == sum(r.taken for r in cu.mix(docs).collect())
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, source string, text string")
+    assert cu.mix(docs.limit(0)).count() == 0 and cu.mixed_rows(docs.limit(0)).count() == 0
+    blank = spark.createDataFrame([(1, "a", None)], docs.schema)
+    assert [(r.target, r.taken) for r in cu.mix(blank).collect()] == [(0.0, 0)]

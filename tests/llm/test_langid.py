@@ -63,7 +63,7 @@ def test_held_out_accuracy(spark, sf_dir):
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     model = li.fit(docs.filter(half == 0), "doc_id", "text", "lang")
     asked = docs.filter(half == 1).select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("declared"))
-    found = li.fuse(li.staged(li.text_evidence(asked, model), "t")).join(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("truth")), "id").collect()
+    found = li.fuse(li.staged(li.text_evidence(asked, model), "t"), model.languages).join(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("truth")), "id").collect()
     assert np.mean([r.lang == r.truth for r in found]) > 0.98
 
 
@@ -72,7 +72,8 @@ def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     fast = li.fit(docs, "doc_id", "text", "lang", sample=20)
     monkeypatch.setattr(li, "SPARE", 10**9)  # ranks all
-    assert np.array_equal(fast, li.fit(docs, "doc_id", "text", "lang", sample=20))
+    slow = li.fit(docs, "doc_id", "text", "lang", sample=20)
+    assert np.array_equal(fast.logs, slow.logs) and fast.languages == slow.languages == ("de", "en")  # five rows are too few
 
 
 def test_stage_keeps_documents_in_known_languages(spark):
@@ -98,3 +99,75 @@ def test_empty_tables(spark, labelled):
     assert li.identify_pages(pages, labelled).count() == 0
     one = spark.createDataFrame([(1, "http://a.b/", page(SAMPLES["en"]))], pages.schema)
     assert [r.lang for r in li.identify_pages(one, labelled.limit(0)).collect()] == ["und"]
+
+
+def test_languages_come_from_the_labels(spark, labelled):
+    russian = "это русский текст без перевода и без других слов на этом языке совсем".split()
+    rng = np.random.default_rng(1)
+    more = spark.createDataFrame([(900 + k, " ".join(rng.permutation(russian)), " RU") for k in range(30)] + [(990, "x", ""), (991, "y", None)], labelled.schema)
+    assert li.fit(labelled.union(more), "doc_id", "text", "lang").languages == ("de", "en", "es", "fr", "ru")
+    pages = spark.createDataFrame([(1, "http://a.b/", page(" ".join(russian)))], "page_id long, url string, html string")
+    assert [r.lang for r in li.identify_pages(pages, labelled.union(more)).collect()] == ["ru"]
+
+
+def brute_languages(rows, labelled, least=20):
+    """(lang of each of rows): the formulas once more, one row and one trigram at a time, in dictionaries. rows: (text, host, declared); labelled: (text, label), of which all are used."""
+    import math
+    import re
+    from collections import Counter
+
+    def grams(text):
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        spaced = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", text.encode())) + b" "
+        return [((spaced[k] << 16 | spaced[k + 1] << 8 | spaced[k + 2]) * 2654435761 % 2**32) >> 16 for k in range(len(spaced) - 2)] if re.search(rb"[a-z\xc3-\xf4]", spaced) else []
+
+    many = Counter(label for _, label in labelled)
+    langs = sorted(x for x, n in many.items() if x and n >= least)
+    counts = {x: Counter() for x in langs}
+    for text, label in labelled:
+        if label in counts:
+            counts[label].update(grams(text))
+    kinds = len(set().union(*counts.values()))
+    logs = []
+    for text, _, _ in rows:
+        found = grams(text)
+        weight = min(1, 200 / max(1, len(found)))
+        own = [weight * sum(math.log((counts[x][g] + 0.05) / (sum(counts[x].values()) + 0.05 * 65536)) for g in found) for x in langs]
+        logs.append((len(found), [*own, -weight * len(found) * math.log(max(2, 4 * kinds))]))
+    votes = [langs[max(range(len(langs)), key=lambda i: (v[i], -i))] if n and max(v[:-1]) >= v[-1] else None for n, v in logs]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+    suffix = lambda h: h.split(".")[-1] if h and "." in h else None
+    tally = {kind: Counter() for kind in "hdcs"}
+    keys = [{"h": host, "d": domain(host), "c": declared, "s": suffix(host)} for _, host, declared in rows]
+    for vote, key in zip(votes, keys):
+        for kind in "hdcs":
+            tally[kind][key[kind], vote] += 1
+    total = {x: votes.count(x) for x in langs}
+    n_all, k, out = sum(total.values()), len(langs), []
+    for (n, v), vote, key in zip(logs, votes, keys):
+        at = lambda kind, x, mine=0: 0 if key[kind] is None else tally[kind][key[kind], x] - (mine and x == vote)
+        scores = []
+        for i, x in enumerate(langs):
+            prior = (total[x] + 1) / (n_all + k)
+            for kind in "dh":
+                prior = (at(kind, x, 1) + 5 * prior) / (sum(at(kind, y, 1) for y in langs) + 5)
+            said = math.log((at("c", x) + 1 + 8 * (key["c"] == x)) / (total[x] + k + 8)) if key["c"] is not None else 0
+            placed = math.log((at("s", x) + 1) / (total[x] + k)) if key["s"] is not None else 0
+            scores.append(v[i] + math.log(prior * 0.99) + said + placed)
+        rest = [math.log((sum(at(kind, x) for x in langs) + 1) / (n_all + k)) if key[kind] is not None else 0 for kind in "cs"]
+        scores.append(v[-1] + math.log(0.01) + sum(rest))
+        out.append([*langs, "und"][scores.index(max(scores))] if n and n_all else "und")
+    return out
+
+
+def test_pages_against_a_second_implementation(spark, sf_dir):
+    import re
+
+    docs = [(r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()
+    plain = lambda h: re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", h or "")
+    declared = lambda h: m[1].lower() if (m := re.search(r"<html[^>]*\slang=.?([a-zA-Z]{2,3})", h or "")) else None
+    host = lambda u: m[1].lower() if (m := re.search(r"://([^/?#:@]+)", u or "")) else None
+    want = brute_languages([(plain(r.html), host(r.url), declared(r.html)) for r in pages], docs)
+    got = li.op5_language_id(spark, sf_dir).orderBy("page_id").collect()
+    assert [r.lang for r in got] == want and len(set(want)) >= 4

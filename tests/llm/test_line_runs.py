@@ -46,16 +46,46 @@ def test_drop(spark, batches):
 
 def test_runs_are_levelled_and_incremental(spark):
     store = lr.LineRuns(spark, fanout=3)
-    seen = set()
+    seen, count, top = set(), {}, {}
     for k in range(7):
         texts = [f"shared line number {k // 2} is here", f"private line number {k} is here", LONG]
         batch = spark.createDataFrame([(10 * k, "\n".join(texts)), (10 * k + 1, "\n".join(texts[:1]))], "doc_id long, text string")
-        fresh = {(r.h1, r.h2) for r in store.add(batch).collect()}
-        every = {(r.h1, r.h2) for r in lr.line_hashes(batch).collect()}
-        assert fresh == every - seen
-        seen |= every
+        fresh = {(r.h1, r.h2) for r in store.add(lr.line_hashes(batch)).collect()}
+        lines = [(r.doc, r.h1, r.h2) for r in lr.line_hashes(batch).collect()]
+        assert fresh == {x[1:] for x in lines} - seen
+        seen |= {x[1:] for x in lines}
+        for doc, *h in lines:
+            count[tuple(h)], top[tuple(h)] = count.get(tuple(h), 0) + 1, max(top.get(tuple(h), 0), doc)
+    store.compact()
     assert [len(level) for level in store.levels] == [1, 2]  # 7 = 1 + 2 * 3
-    assert store.repeated(7).count() == 1 and len(store.runs()) == 1
+    held = [(r.h1, r.h2) for name in store.runs() for r in spark.table(name).collect()]
+    assert len(held) == len(set(held)) == len(seen)  # each line is in one run
+    for least in (1, 2, 4, 7):
+        assert {(r.h1, r.h2): r.top_doc for r in store.repeated(least).collect()} == {h: top[h] for h, n in count.items() if n >= least}
+    store.close()
+    assert not store.paths
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    """The plans of the anti-join with a run and of a merge of runs hold no exchange."""
+    store = lr.LineRuns(spark, fanout=9)
+    docs = spark.createDataFrame([(k, f"{LONG} {k}\n{LONG} {k // 2}") for k in range(100)], "doc_id long, text string")
+    for k in range(3):
+        store.add(lr.line_hashes(docs.filter(F.col("doc_id") % 3 == k)))
+    one, two, _ = store.runs()
+    plans = [spark.table(one).join(spark.table(two).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), store.merged(one, two)]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "SortMergeJoin" in text
+    assert plans[0].count() > 0
+    store.close()
+
+
+def test_rows_without_an_id_have_their_own_drop_lists(spark):
+    rows = [(None, f"{LONG}\nrow {k}", "x") for k in range(5)] + [(k, LONG, "y") for k in range(3)] + [(2, f"{LONG}\nof the same id", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number string")
+    out = [(r["row"].doc_id, r.kept_text) for r in lr.drop_repeated(docs).collect()]
+    assert sorted(out, key=str) == sorted([(None, f"row {k}") for k in range(5)] + [(0, ""), (1, ""), (2, LONG), (2, f"{LONG}\nof the same id")], key=str)
 
 
 def test_empty_and_stage(spark):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shardlore.llm import minhash as mh
 from shardlore.llm.common import WordHashes
@@ -13,14 +14,14 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows if i is not None}
     forest = UnionFind()
     ids = list(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 forest.union(a, b)
     return sorted((i, len(sets[i]), forest.find(i), forest.find(i) == i) for i, _ in rows if i is not None)
 
@@ -99,6 +100,16 @@ def test_superminhash():
     assert abs(found.mean() - 0.5) < 0.01 and found.var() < 0.25 / 128  # less than independent slots have
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    import shardlore.llm.components as module
+
+    edges = [(1000, k) for k in range(300)] + [(k, k + 1) for k in range(2000, 2100)] + [(5000 + k, 2050) for k in range(200)]
+    want = {(k, 0) for k in [*range(1, 300), 1000]} | {(k, 2000) for k in [*range(2001, 2101), *range(5000, 5200)]}
+    for hubs in (4, 20_000):
+        monkeypatch.setattr(module, "HUBS", hubs)
+        assert {(r.vertex, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 90), (90, 100), (7, 7), (None, 3), (200, 201)]
     out = components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -111,16 +122,41 @@ def test_short_texts():
     assert len(mh.shingle_set(h.array([b"a"] * 4))) == 1 and len(mh.shingle_set(h.array([]))) == 0 and len(mh.shingle_set(h.array([b"a"] * 9))) == 1
 
 
+def brute_stage(rows, percent=80):
+    """Rows (id, text, ...) that stay: of equal (id, text) one row, of each group the least id, ids before none, then any."""
+    distinct = list(dict.fromkeys((r[0], r[1]) for r in rows))
+    component = {k: c for k, _, c, _ in brute([(n, t) for n, (_, t) in enumerate(distinct)], percent)}
+    groups = {}
+    for n, key in enumerate(distinct):
+        groups.setdefault(component[n], []).append(key)
+    return [min(g, key=lambda k: (k[0] is None, k[0] or 0)) for g in groups.values()]
+
+
 def test_stage_keeps_one_of_each_group(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    kept = {i for i, *_, k in brute(rows) if k}
     out = mh.dedup_stage(spark, docs, sf_dir)
-    assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} == kept
+    assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} == {i for i, *_, k in brute(rows, 80) if k} == {i for i, _ in brute_stage(rows)}
+
+
+def test_stage_links_at_its_own_similarity(spark):
+    """A pair between 80 and 85 percent is linked in the stage and not in the query."""
+    words_ = [f"w{k}" for k in range(200)]
+    other = [*words_[:90], "x", *words_[91:150], "y", *words_[151:196]]
+    a, b = shingles(" ".join(words_)), shingles(" ".join(other))
+    assert 0.85 > len(a & b) / len(a | b) >= 0.8
+    docs = spark.createDataFrame([(1, " ".join(words_)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in mh.dedup_stage(spark, docs, "").collect()] == [1]
+    assert {r.component_id for r in mh.near_duplicates(docs).collect()} == {1, 2}
 
 
-def test_stage_with_repeated_rows(spark):
+def test_stage_with_repeated_rows_and_rows_without_an_id(spark):
     text = " ".join(f"w{k}" for k in range(50))
-    rows = [(1, text, "a"), (1, text, "a"), (2, "other words", None), (3, f"{text} x", "b"), (None, "a b c", "c"), (None, "a b c", "c")]
-    out = mh.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, rep string"), "")
-    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+    rows = [(1, text, "a"), (1, text, "a"), (2, "other words", None), (3, f"{text} x", "b"), (None, "a b c", "c"), (None, "a b c", "c"), (None, f"y {text}", "d"), (2, "of the same id", "e"), (None, None, "f"), (4, "", "g"), (5, "", "h"), (1, text, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep string").withColumn("number", F.lit(1)).withColumn("row", F.lit("r"))
+    out = mh.dedup_stage(spark, docs, "")
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns and found == sorted(brute_stage(rows), key=str)
+    assert sorted(found, key=str) == sorted([(1, text), (2, "other words"), (2, "of the same id"), (None, "a b c"), (None, None), (4, ""), (5, "")], key=str)
+    again = mh.dedup_stage(spark, docs.repartition(5), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))

@@ -25,7 +25,7 @@ def test_top_k(spark, sizes, trees, monkeypatch):
     rows += [(600, None), (620, []), (640, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (660, [float("nan")] + [0.1] * 5), (680, [float("inf")] + [0.1] * 5), (700, [0.3, 0.4]), (701, [0.1, 0.2]), (None, [0.1] * 6), (720, [0.0] * 6)]
     rows += [rows[0], rows[20]]
     frame = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, id int, v string")
-    got = mt.top_k(frame, k=7, **sizes).orderBy("query_id", "rank").collect()
+    got = mt.top_k(frame, k=7, **sizes).drop("computed").orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in got] == brute(rows, 7, 20)
 
 
@@ -62,8 +62,26 @@ def test_tree_prunes_and_stays_exact():
                 assert np.sqrt(((lifted[below(child)] - router) ** 2).sum(axis=1)).max() <= radius + 1e-9
 
 
+def test_shipped_settings_save_work_on_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (50, 64))
+    rows = [(i, [float(x) for x in centres[i % 50] + rng.normal(0, 0.05, 64)]) for i in range(4000)]
+    out = mt.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(out) == 200 * 20 and max(r.computed for r in out) < 4000 / 3
+    point = {i: np.floor(64 * np.float32(v).astype(float)) for i, v in rows}
+    for q in (0, 40, 3980):
+        want = sorted((-int(point[q] @ v), i) for i, v in point.items() if i != q)[:20]
+        assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] == [(i, -s) for s, i in want]
+
+
 def test_huge_components(spark):
-    rows = [(0, [2.0**50, 1.0]), (1, [2.0**50, 1.0]), (2, [2.0**50, 2.0]), (3, [-(2.0**50), 0.0]), (4, [0.0, 0.5])]
-    got = mt.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).orderBy("rank").collect()
-    exact = sorted((-min(2**63 - 1, max(-(2**63), 2**56 * int(64 * v[0]) + 64 * int(64 * v[1]))), i) for i, v in rows if i)
-    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in exact]
+    """Above 2^53, and scores beyond 64 bits, which stay in their true order."""
+    big = 2.0**50
+    rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 2.0]), (3, [-big, 0.0]), (4, [0.0, 0.5]), (5, [-big, 3.0]), (6, [2.0**53 / 64, 7.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0**40]), (20, [3.0, -(2.0**46)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ({}, {"tree_rows": 2}):
+        got = mt.top_k(frame, k=9, **sizes).orderBy("query_id", "rank").collect()
+        for q in (0, 20):
+            own = dict(rows)[q]
+            exact = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(own, v)), i) for i, v in rows if i != q)
+            assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in exact]

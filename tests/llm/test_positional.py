@@ -20,19 +20,19 @@ def brute(docs, items):
             size = min(8, len(iw))
             pieces = {tuple(iw[k : k + size]) for k in range(len(iw) - size + 1)} if iw else set()
             for k in range(len(w) - size + 1) if size else ():
-                if tuple(w[k : k + size]) in pieces and item is not None:
+                if tuple(w[k : k + size]) in pieces:
                     hit |= set(range(k, k + size))
-                    names.add(str(item))
-        joined = ",".join(sorted(names))
+                    names.add(item)
+        joined = ",".join(sorted(str(x) for x in names if x is not None))
         out.append((i, len(w), len(hit), len(names), hashlib.sha256(joined.encode()).hexdigest(), len(names) >= 2))
     return sorted(out, key=str)
 
 
 PHRASE = "the quick brown fox jumps over the lazy dog near the river bank"
-ITEMS = [(1, PHRASE), (2, PHRASE.upper() + "!"), (10, "alpha-beta gamma"), (3, ""), (4, None), (5, "über größe 1234 naïve"), (6, "the the the the the the the the the"), (None, "no id here at all"), (10, "another text of item ten")]
+ITEMS = [(1, PHRASE), (2, PHRASE.upper() + "!"), (10, "alpha-beta gamma"), (3, ""), (4, None), (5, "über größe 1234 naïve"), (6, "the the the the the the the the the"), (None, "no id here at all"), (None, "is no id here"), (10, "another text of item ten")]
 DOCS = [
     (1, f"so {PHRASE}. and then"), (2, PHRASE.replace("fox", "cat")), (3, None), (4, ""), (5, "Alpha, BETA (gamma) alpha beta"), (6, "Über GRÖßE 1234 naïve x über größe 1234 naïve"), (7, "the " * 50), (8, "alpha beta"), (None, f"{PHRASE} {PHRASE}"),
-    (9, "x " * 30_000 + PHRASE), (1, f"so {PHRASE}. and then"), (11, "quick brown fox jumps over the lazy dog"), (12, "!!!"), (13, "alpha"), (14, "beta gamma"),
+    (9, "x " * 30_000 + PHRASE), (1, f"so {PHRASE}. and then"), (11, "quick brown fox jumps over the lazy dog"), (12, "!!!"), (13, "alpha"), (14, "beta gamma"), (15, "there is no id here at all and alpha beta gamma"),
 ]
 
 
