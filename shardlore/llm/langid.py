@@ -44,7 +44,7 @@ from .common import binary_column, read_table, scratch, staged
 
 SAMPLE = 500
 #: Labelled rows that a language needs to be modelled, and languages at most.
-LEAST_LABELLED, MOST_LANGUAGES = 20, 500
+LEAST_LABELLED, MOST_LANGUAGES = 3, 500
 #: So many times the sample is ranked: fewer than SAMPLE of 4,000 expected hashes are never met in practice.
 SPARE = 8
 BINS = 1 << 16
