@@ -1,7 +1,8 @@
 """Connected components of an edge table, without a driver-side graph.
 
-Each worker first reduces its share of the edges to a spanning forest with
-union-find, which keeps at most one edge per vertex it saw.  Then alternating
+Tasks of about ``FOREST`` edges first reduce their share to a spanning forest
+with union-find, which keeps at most one edge per vertex they saw.  The forest
+of one task that saw all edges is the result.  Otherwise, alternating
 large-star and small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014) turn the forest into stars: every vertex ends with
 an edge to the smallest id of its component.  Each round is written to the
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Edges a worker reduces at a time.
+#: Edges that a task reduces, about (some 200 MB).
 FOREST = 1_000_000
 ROUNDS = 60
 #: Vertices at most whose edges aren't dealt by vertex (16 bytes each in a broadcast).
@@ -58,7 +59,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.union(u, v)
         n += batch.num_rows
-        if n >= FOREST:
+        if n >= 2 * FOREST:  # parts are of uneven size
             yield out(sets)
             sets, n = UnionFind(), 0
     if sets.parent:
@@ -92,7 +93,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = staged(edges.mapInArrow(_forest, "u long, v long").dropDuplicates(), "forest")
+    edges = staged(edges, "edges")
+    tasks = -(-edges.count() // FOREST)
+    edges = staged(edges.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long"), "forest")
+    if tasks <= 1:
+        return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    edges = staged(edges.dropDuplicates(), "forest-distinct")
     mark = None
     for _ in range(ROUNDS):
         edges = staged(_star(edges, large=True).filter("u > v").dropDuplicates(), "large-star")

@@ -209,14 +209,13 @@ class Model:
     def note(self, reduced_: DataFrame) -> None:
         """reduced_: staged rows, of which those that say what was stored are summed by Spark."""
         said = reduced_.filter(F.col("kind").startswith("s"))
-        sums = said.groupBy("kind", "level").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in STATS])
-        for r in sums.collect():  # a row a kind and level
+        bits = F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))"))
+        sums = said.groupBy("kind", "level", F.expr("bucket div 64").alias("word")).agg(bits.alias("bits"), F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in STATS])
+        for r in sums.collect():  # a row for 64 files
             key = (r["kind"][1:], r["level"])
-            self.sizes[key], self.stats[key] = r["n"], np.array([r[x] for x in STATS], np.int64)
-            self.files[key] = np.zeros(-(-self.grid * self.grid // 64), np.int64)
-        bits = said.groupBy("kind", "level", F.expr("bucket div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("bits"))
-        for r in bits.collect():  # a row for 64 files
-            self.files[(r["kind"][1:], r["level"])][r["word"]] = r["bits"]
+            self.files.setdefault(key, np.zeros(-(-self.grid * self.grid // 64), np.int64))[r["word"]] = r["bits"]
+            self.sizes[key] = self.sizes.get(key, 0) + r["n"]
+            self.stats[key] = self.stats.get(key, np.zeros(len(STATS), np.int64)) + np.array([r[x] for x in STATS], np.int64)
 
     @property
     def tokens(self) -> int:

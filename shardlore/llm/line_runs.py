@@ -5,10 +5,11 @@ hash, one file a bucket, sorted by the hash: in how many documents of its batch
 a line occurs, and the largest id among them.  All runs have the same buckets, so runs
 meet batches and each other in merge joins bucket by bucket, without a shuffle.
 
-:meth:`LineRuns.add` takes one batch of documents: its lines merge-anti-join
-every run.  What no run holds becomes a level-0 run of its own, so each line
-is in exactly one run.  What some run holds already is a repeat, and goes to
-the (far smaller) table of repeats with the batch's count and largest id.
+:meth:`LineRuns.add` takes one batch of documents: its lines meet every run in
+a merge join that tells apart those that a run holds.  What no run holds (the
+anti-join) becomes a level-0 run of its own, so each line is in exactly one
+run.  What some run holds already is a repeat, and goes to the (far smaller)
+repeats with the batch's count and largest id.
 ``fanout`` runs of a level are merged into one of the next, so a store of n
 batches keeps O(fanout * log n) runs.  :meth:`LineRuns.repeated` adds the
 repeats to the runs' own counts.
@@ -90,7 +91,7 @@ class LineRuns:
         self.levels: list[list[str]] = []
         #: The newest run, which is merged with others only when the next one comes or at compact().
         self.newest: str | None = None
-        self.repeats: list[str] = []
+        self.batches: list[str] = []
         self.paths: dict[str, str] = {}
 
     def runs(self) -> list[str]:
@@ -102,13 +103,19 @@ class LineRuns:
             newest, self.newest = self.newest, None
             self._file(newest, 0)
 
-    def _write(self, run: DataFrame, tag: str) -> str:
+    def _write(self, run: DataFrame, tag: str, *parts: str) -> str:
         """A bucketed, sorted table of run, whose rows are in their buckets' tasks already."""
         name, path = f"line_runs_{uuid.uuid4().hex}", staged_path(self.spark, tag)
-        run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
+        writer = run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd")
+        (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
         self.paths[name] = path
         return name
 
+    def run(self, name: str) -> DataFrame:
+        """The rows of a run; those of a batch's table that earlier runs held are left out where they are stored."""
+        table = self.spark.table(name)
+        return (table.filter("not known") if "known" in table.columns else table).select(*RUN)
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop_path(self.spark, self.paths.pop(name))
@@ -125,41 +132,39 @@ class LineRuns:
             merged, *others = self.levels[level]
             self.levels[level] = []
             for other in others:
-                made = self._write(self.merged(merged, other), f"line-run-l{level + 1}")
-                self._drop(merged)
-                self._drop(other)
-                merged = made
+                old = (merged, other)
+                merged = self._write(self.merged(self.run(merged), self.run(other)), f"line-run-l{level + 1}")
+                for name in old:
+                    if name not in self.batches:  # these also hold repeats
+                        self._drop(name)
             self._file(merged, level + 1)
 
-    def merged(self, one: str, other: str, how: str = "full") -> DataFrame:
-        """Two tables as one, merged bucket by bucket; how: left keeps the lines of the first."""
-        right = self.spark.table(other).select("h1", "h2", F.col("n_docs").alias("n"), F.col("top_doc").alias("top"))
-        both = self.spark.table(one).join(right.hint("merge"), ["h1", "h2"], how)
+    def merged(self, one: DataFrame, other: DataFrame, how: str = "full") -> DataFrame:
+        """Two runs as one, merged bucket by bucket; how: left keeps the lines of the first."""
+        right = other.select("h1", "h2", F.col("n_docs").alias("n"), F.col("top_doc").alias("top"))
+        both = one.join(right.hint("merge"), ["h1", "h2"], how)
         return both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("top_doc", "top").alias("top_doc"))
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch of (doc, h1, h2), whose documents are in no other batch. Returns (h1, h2, n_docs, top_doc) of the lines that no earlier batch had; read it before the next add."""
+        """Add a batch of (doc, h1, h2), whose documents are in no other batch. Returns (h1, h2, n_docs, top_doc) of the lines that no earlier batch had."""
         self.compact()
-        own = lines.select("doc", "h1", "h2").dropDuplicates().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("top_doc"))
-        batch = self._write(own, "line-batch")
-        fresh = self.spark.table(batch)
-        for run in self.runs():
-            fresh = fresh.join(self.spark.table(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        fresh = self._write(fresh.select(*RUN), "line-run-l0")
-        seen = self.spark.table(batch).join(self.spark.table(fresh).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self.repeats.append(self._write(seen.select(*RUN), "line-repeats"))
-        self._drop(batch)
-        self.newest = fresh
-        return self.spark.table(fresh)
+        batch = lines.select("doc", "h1", "h2").dropDuplicates().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("top_doc")).withColumn("known", F.lit(False))
+        for name in self.runs():
+            held = self.run(name).select("h1", "h2", F.lit(True).alias("held"))
+            batch = batch.join(held.hint("merge"), ["h1", "h2"], "left").select(*RUN, (F.col("known") | F.coalesce("held", F.lit(False))).alias("known"))
+        self.newest = self._write(batch, "line-batch", "known")
+        self.batches.append(self.newest)
+        return self.run(self.newest)
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, top_doc) of the lines of at least min_docs documents of all batches, staged."""
         if not self.runs():
             return self.spark.createDataFrame([], "h1 long, h2 long, top_doc long")
-        again = self.spark.read.schema(self.spark.table(self.repeats[0]).schema).parquet(*[self.paths[name] for name in self.repeats])
-        again = self._write(again.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc")), "line-repeats-all")
+        schema = "h1 long, h2 long, n_docs long, top_doc long, known boolean"
+        again = reduce(DataFrame.union, [self.spark.read.schema(schema).parquet(self.paths[name]) for name in self.batches]).filter("known")
+        again = self._write(again.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc")), "line-repeats")
         # a line is in one run, so each run is joined alone
-        found = [self.merged(run, again, "left").filter(F.col("n_docs") >= min_docs).select("h1", "h2", "top_doc") for run in self.runs()]
+        found = [self.merged(self.run(name), self.run(again), "left").filter(F.col("n_docs") >= min_docs).select("h1", "h2", "top_doc") for name in self.runs()]
         out = staged(reduce(DataFrame.union, found), "line-repeated")
         self._drop(again)
         return out

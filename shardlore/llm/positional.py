@@ -197,8 +197,8 @@ def store_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(sizes, pa.int32()), pa.array(pieces, pa.binary())], ["item", "size", "words"])
 
     rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "item string, size int, words binary")
-    rows = staged(rows.dropDuplicates(), "windows-cut")
-    blocks = max(1, -(-rows.count() // block_windows))
+    chars = items.agg(F.sum(F.char_length(text_col))).first()[0] or 0
+    blocks = max(1, -(-chars // (4 * block_windows)))  # a word and what follows it have 4 signs or more on average
 
     def write(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
@@ -211,7 +211,7 @@ def store_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "te
         write_arrays(base, f"block-{block}", [words, sizes, np.searchsorted(owner[order], np.arange(len(every) + 1)), np.cumsum([0, *map(len, encoded)]), np.frombuffer(b"".join(encoded), np.uint8)])
         return pd.DataFrame({"block": [block], "n": [len(every)], "pairs": [len(order)], "bytes": [sum(map(len, encoded))]})
 
-    dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(words), {blocks})"))
+    dealt = rows.dropDuplicates().withColumn("block", F.expr(f"pmod(xxhash64(words), {blocks})"))
     made = staged(dealt.groupBy("block").applyInPandas(write, "block long, n long, pairs long, bytes long"), "windows-blocks")
     return base, sorted(tuple(r) for r in made.collect())  # a row of four numbers a block
 

@@ -58,7 +58,7 @@ def test_runs_are_levelled_and_incremental(spark):
             count[tuple(h)], top[tuple(h)] = count.get(tuple(h), 0) + 1, max(top.get(tuple(h), 0), doc)
     store.compact()
     assert [len(level) for level in store.levels] == [1, 2]  # 7 = 1 + 2 * 3
-    held = [(r.h1, r.h2) for name in store.runs() for r in spark.table(name).collect()]
+    held = [(r.h1, r.h2) for name in store.runs() for r in store.run(name).collect()]
     assert len(held) == len(set(held)) == len(seen)  # each line is in one run
     for least in (1, 2, 4, 7):
         assert {(r.h1, r.h2): r.top_doc for r in store.repeated(least).collect()} == {h: top[h] for h, n in count.items() if n >= least}
@@ -73,7 +73,7 @@ def test_runs_meet_without_a_shuffle(spark):
     for k in range(3):
         store.add(lr.line_hashes(docs.filter(F.col("doc_id") % 3 == k)))
     one, two, _ = store.runs()
-    plans = [spark.table(one).join(spark.table(two).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), store.merged(one, two)]
+    plans = [store.run(one).join(store.run(two).select("h1", "h2").hint("merge"), ["h1", "h2"], "left"), store.merged(store.run(one), store.run(two))]
     for plan in plans:
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in text and "SortMergeJoin" in text

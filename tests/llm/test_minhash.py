@@ -105,8 +105,9 @@ def test_components_with_hubs(spark, monkeypatch):
 
     edges = [(1000, k) for k in range(300)] + [(k, k + 1) for k in range(2000, 2100)] + [(5000 + k, 2050) for k in range(200)]
     want = {(k, 0) for k in [*range(1, 300), 1000]} | {(k, 2000) for k in [*range(2001, 2101), *range(5000, 5200)]}
-    for hubs in (4, 20_000):
+    for hubs, forest in ((4, 50), (20_000, 100), (20_000, 1_000_000)):
         monkeypatch.setattr(module, "HUBS", hubs)
+        monkeypatch.setattr(module, "FOREST", forest)
         assert {(r.vertex, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
