@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, token_count, tokens
+from ..sources.scratch import written
 
 #: Fixed values of the ranking: k1 and b of BM25, and the candidates a list keeps.
 K1, B = 1.2, 0.75
@@ -66,12 +67,13 @@ def bm25(queries: DataFrame, post: DataFrame, stats: DataFrame, depth: int = DEP
     starts = keys.filter("is_prefix").select("corpus", "key", F.col("term").alias("prefix"), F.substring("term", 1, 1).alias("lead"))
     small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     few = F.broadcast if small else (lambda df: df)  # of tables with a row a key or less, counted just now
-    hits = post.join(few(exact), ["corpus", "term"])
+    wanted_terms = few(exact)
     if starts.limit(1).count():
-        # prefixes: the vocabulary is cut by the first sign, then compared
+        # prefixes: the vocabulary is cut by the first sign, then compared; written, so that its size is known
         vocabulary = post.select("corpus", "term").distinct().withColumn("lead", F.substring("term", 1, 1))
         grown = few(starts).join(vocabulary, ["corpus", "lead"]).filter(F.startswith("term", "prefix")).select("corpus", "key", "term")
-        hits = hits.unionByName(post.join(grown, ["corpus", "term"]))
+        wanted_terms = written(exact.unionByName(grown), "bm25-terms")
+    hits = post.join(wanted_terms, ["corpus", "term"])
     # each key's weight in each text is computed once; queries meet it only before the last sum
     tf = hits.groupBy("corpus", "key", "id", "dl").agg(F.sum("tf").alias("f"))
     df = tf.groupBy("corpus", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -1,9 +1,9 @@
 """Exact cosine neighbours.
 
 Distances are 1 - dot / (|a| |b|) in doubles.  One query is a scan with a
-top-k; many queries meet each vector in one Arrow batch with a matrix product,
-and only each batch's best go on, so rows shuffled are bounded by
-batches x queries x depth, not by pairs.
+top-k.  Up to ``BLOCK`` queries are broadcast and meet each Arrow batch of vectors
+in a matrix product.  More queries, like the vectors, are dealt to blocks, and
+each pair of blocks is one product.  Only each product's best go on.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value.
 DEPTH = 50
-#: Queries that are sent to the workers at once; more are done in blocks.
-BLOCK = 2048
+#: Queries of a block, and vectors of a block that meets them.
+BLOCK, VECTOR_BLOCK = 2048, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,35 +35,50 @@ def nearest(vectors: DataFrame, query: list[float], depth: int = DEPTH) -> DataF
     return vectors.select("id", F.abs(F.round(cosine_distance(F.col("embedding"), q), 6)).alias("distance")).orderBy("distance", "id").limit(depth)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, corpus: str, depth: int) -> pd.DataFrame:
+    """The best of one block of vectors for each of a block of queries."""
+    q, v = q / np.linalg.norm(q, axis=1, keepdims=True), v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = np.abs(np.round(1 - q @ v.T, 6))
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :depth]
+    return pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "corpus": corpus, "id": ids[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """(qid, corpus, id, distance, rank). queries: (qid, embedding); vectors: (corpus, id, embedding)."""
     spark = vectors.sparkSession
+    schema = f"qid {dict(queries.dtypes)['qid']}, corpus string, id long, distance double"
+    vectors = vectors.select("corpus", "id", "embedding").filter("embedding is not null")
+    queries = queries.select("qid", "embedding").filter("embedding is not null")
+    few = queries.limit(block + 1).collect()
+    if len(few) <= block:
+        found = _scanned(vectors, few, schema, depth) if few else spark.createDataFrame([], schema)
+    else:
+        found = _by_blocks(vectors, queries, schema, depth, block)
     rank = F.row_number().over(Window.partitionBy("qid", "corpus").orderBy("distance", "id"))
-    out = None
-    block: list = []
-
-    def add(rows: list, out: DataFrame | None) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))  # at most BLOCK queries
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, q = shared.value
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for part in parts:
-                for corpus, group in part.groupby("corpus"):
-                    v = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-                    d = np.abs(np.round(1 - q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6))
-                    ids = group["id"].to_numpy()
-                    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :depth]
-                    yield pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "corpus": corpus, "id": ids[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
-
-        found = vectors.select("corpus", "id", "embedding").filter("embedding is not null").mapInPandas(scan, f"qid {kind}, corpus string, id long, distance double")
-        return found if out is None else out.union(found)
-
-    kind = dict(queries.dtypes)["qid"]
-    for row in queries.select("qid", "embedding").filter("embedding is not null").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            out, block = add(block, out), []
-    if block or out is None:
-        out = add(block, out) if block else spark.createDataFrame([], f"qid {kind}, corpus string, id long, distance double")
-    return out.withColumn("rank", rank).filter(F.col("rank") <= depth)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= depth)
+
+
+def _scanned(vectors: DataFrame, queries: list, schema: str, depth: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in queries]), np.array([r[1] for r in queries], np.float64)))  # at most BLOCK queries
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for corpus, group in part.groupby("corpus"):
+                yield _best(*shared.value, group["id"].to_numpy(), np.stack(group["embedding"].to_numpy()).astype(np.float64), corpus, depth)
+
+    return vectors.mapInPandas(scan, schema)
+
+
+def _by_blocks(vectors: DataFrame, queries: DataFrame, schema: str, depth: int, block: int) -> DataFrame:
+    vector_blocks, query_blocks = -(-vectors.count() // VECTOR_BLOCK), -(-queries.count() // block)
+    left = vectors.withColumn("vb", F.expr(f"pmod(xxhash64(corpus, id), {max(1, vector_blocks)})")).groupBy("vb", "corpus").agg(F.collect_list(F.struct("id", "embedding")).alias("v"))
+    right = queries.withColumn("qb", F.expr(f"pmod(xxhash64(qid), {max(1, query_blocks)})")).groupBy("qb").agg(F.collect_list(F.struct("qid", "embedding")).alias("q"))
+    right = right.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, vector_blocks - 1)).cast("long"))))
+    pairs = left.join(right.hint("shuffle_hash"), "vb").select("corpus", F.col("v.id").alias("ids"), F.flatten("v.embedding").alias("v"), F.col("q.qid").alias("qids"), F.flatten("q.embedding").alias("q"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                yield _best(np.asarray(r.qids), np.asarray(r.q, np.float64).reshape(len(r.qids), -1), np.asarray(r.ids), np.asarray(r.v, np.float64).reshape(len(r.ids), -1), r.corpus, depth)
+
+    return pairs.mapInPandas(run, schema)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.html_tree import split_html
 from ..functions.parse import Section, WINDOW_LINES, WINDOW_OVERLAP, split_code, split_prose
 from ..schema import PARSED
+from ..sources.scratch import written
 from ..sources.trees import decode
 
 
@@ -65,10 +66,19 @@ def parse_code(files: DataFrame, granularity: str = "symbol") -> DataFrame:
 
 
 def number(parsed: DataFrame, first: int = 1) -> DataFrame:
-    """parsed with contiguous ids in file-then-section order."""
+    """parsed with contiguous ids in file-then-section order.
+
+    One row a file is range-sorted and written with its range's number; the
+    prefix sums are one over the ranges and one within each, so no task sees
+    all files.
+    """
     sizes = parsed.groupBy("file_key").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("file_key").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file_key", (F.coalesce(F.sum("n").over(before), F.lit(0)) + first).alias("offset"))
+    sizes = written(sizes.repartitionByRange("file_key").withColumn("range", F.spark_partition_id()), "file-sizes")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("size")).select("range", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("range").orderBy("file_key").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ranges), "range")  # as many rows as shuffles have partitions
+    offsets = offsets.select("file_key", (F.col("ahead") + F.col("inside") + first).alias("offset"))
     return parsed.join(offsets, "file_key").withColumn("id", (F.col("offset") + F.col("ord")).cast("long")).drop("offset")
 
 

@@ -113,7 +113,12 @@ def related(catalog: Catalog, raw_id: str | int, limit: int = 20) -> dict:
 def main(argv: list[str] | None = None) -> None:
     cli = argparse.ArgumentParser(description="Query one or more indexes.")
     cli.add_argument("indexes", nargs="+")
-    cli.add_argument("--query", required=True)
+    asked = cli.add_mutually_exclusive_group(required=True)
+    asked.add_argument("--query", help="search the indexes")
+    asked.add_argument("--section", metavar="ID", help="one section in full")
+    asked.add_argument("--doc", metavar="PATH", help="a file below a docs root")
+    asked.add_argument("--related", metavar="ID", help="what a section links to, and what links to it")
+    cli.add_argument("--corpus", help="the corpus of --doc")
     cli.add_argument("--mode", choices=MODES, default="hybrid")
     cli.add_argument("--source", action="append")
     cli.add_argument("-k", type=int, default=8)
@@ -122,7 +127,15 @@ def main(argv: list[str] | None = None) -> None:
     catalog = Catalog.open(spark, args.indexes)
     if not catalog.corpora:
         raise SystemExit("no index could be opened")
-    print(json.dumps(search_docs(spark, catalog, args.query, args.k, args.mode, args.source), ensure_ascii=False, indent=1))
+    if args.section is not None:
+        answer = get_section(catalog, args.section)
+    elif args.doc is not None:
+        answer = get_doc(spark, catalog, args.doc, args.corpus)
+    elif args.related is not None:
+        answer = related(catalog, args.related)
+    else:
+        answer = search_docs(spark, catalog, args.query, args.k, args.mode, args.source)
+    print(json.dumps(answer, ensure_ascii=False, indent=1))
 
 
 if __name__ == "__main__":

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import bm25, embed, fusion, graph, knn, parsing
+from .plans import search
 from .registry import query
-from .schema import SECTIONS
+from .schema import LINKS, SECTIONS
+from .sources import store
+from .sources.scratch import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -190,7 +194,9 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {corpora_sql(*CORPORA)}, {BENCHMARK}, {BM25}, lists AS (SELECT qid, corpus, id, rank, place AS list FROM keyword), {FUSED}")
 def rrf_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranked(corpora(spark, sf_dir, *CORPORA), benchmark_queries(spark, sf_dir))
-    return _fused([found.filter(F.col("corpus") == name) for name in CORPORA])
+    place = F.create_map(*[F.lit(x) for k, name in enumerate(CORPORA) for x in (name, k)])
+    lists = found.select("qid", "corpus", "id", "rank", place[F.col("corpus")].alias("list"))
+    return fusion.fuse_ranked(lists, 8).select("qid", "corpus", "id", F.round("rrf", 9).alias("rrf"), "place")
 
 
 @query(
@@ -204,6 +210,20 @@ def rrf_kind_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused([fusion.keep_kinds(one.select("qid", "corpus", "id", "rank"), sections, ["code"]) for one in lists])
 
 
+@query(f"WITH {corpora_sql(*CORPORA)}, {BENCHMARK}, {BM25}, lists AS (SELECT qid, corpus, id, rank, place AS list FROM keyword), best AS ({FUSED.replace('sums AS', 'WITH sums AS', 1)}) SELECT qid, corpus || ':' || CAST(id AS VARCHAR) AS id, best.place AS place, rrf, source_kind, file_path FROM best JOIN sections USING (corpus, id)")
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three indexes are written, opened as a catalog and searched: ranking reads the stored postings."""
+    base = scratch_path(spark, "indexes")
+    none = spark.createDataFrame([], LINKS)
+    for name in CORPORA:
+        sections = corpus(spark, sf_dir, name)
+        vectors = spark.createDataFrame([], "id long, embedding array<float>")
+        store.write_index(f"{base}/{name}", name, sections, none, vectors, {"docs_root_relative": ".", "source_format": "rst"}, 64)
+    catalog = store.Catalog.open(spark, [f"{base}/{name}" for name in CORPORA])
+    found = search.search(catalog, benchmark_queries(spark, sf_dir), 8, "keyword")
+    return found.select("qid", "id", "place", F.round("rrf", 9).alias("rrf"), "source_kind", "file_path")
+
+
 # --- sections and documents -----------------------------------------------------------
 
 SNIPPET = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"

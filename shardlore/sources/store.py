@@ -50,7 +50,8 @@ def write_index(path: str, corpus: str, sections: DataFrame, links: DataFrame, v
     links.select(*schema.LINKS.names).write.mode("overwrite").parquet(f"{path}/links")
     right = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding hasn't {dim} components")))
     vectors.select(F.lit(corpus).alias("corpus"), "id", right.alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
-    postings(own).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    # by id as well: a term of every section is many ranges
+    postings(own).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     corpus_stats(own).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     base = {"schema_version": str(schema.VERSION), "embed_dim": str(dim), **derived_meta(own, links)}
     write_meta(spark, f"{path}/meta", base | meta)

@@ -18,7 +18,7 @@ PAGE_SKIP = ("_static", "_sources", "_images", "_downloads", "__pycache__")
 PAGE_SKIP_NAMES = ("genindex.html", "search.html", "py-modindex.html", "objects.inv")
 SOURCE_SKIP = ("__pycache__", "build", "_doxygen", "_build", ".git")
 CODE_SKIP = (".git", ".github", "_build", "_doxygen", "build", "__pycache__")
-#: Suffixes that never hold searchable text.
+#: Suffixes that never hold searchable text.
 BINARY = tuple("7z a bin bmp bz2 d dll dylib elf eot exe gif gz hex ico img jar jpeg jpg lib map o obj out pdf png pyc pyd so svg tar tgz ttf webp woff woff2 xz zip".split())
 C_LIKE = ("c", "cc", "cpp", "cppm", "cxx", "h", "hpp", "hxx")
 WINDOWED = ("asm", "cmake", "conf", "dts", "dtsi", "ld", "overlay", "s", "yaml", "yml")

@@ -166,3 +166,17 @@ def test_command_line(spark, clone, tmp_path, capsys):
     assert '"Beta"' in capsys.readouterr().out
     with pytest.raises(SystemExit), pytest.warns(UserWarning):
         search.main([f"file://{tmp_path}/none", "--query", "x"])
+
+
+def test_neighbours_of_many_queries_go_by_blocks(spark):
+    import numpy as np
+
+    from shardlore.operators import knn
+
+    rng = np.random.default_rng(6)
+    rows = [("ab"[k % 2], k, [float(x) for x in rng.normal(0, 1, 5)]) for k in range(90)] + [("a", 500, None)]
+    vectors = spark.createDataFrame(rows, "corpus string, id long, embedding array<float>")
+    queries = vectors.selectExpr("id AS qid", "embedding")
+    few, many = (sorted(map(tuple, knn.nearest_batch(vectors, queries, 7, block).collect())) for block in (2048, 20))
+    assert few == many and len(few) == 90 * 2 * 7
+    assert knn.nearest_batch(vectors, queries.limit(0)).count() == 0
