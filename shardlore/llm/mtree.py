@@ -50,7 +50,7 @@ QUERY_STEP = 20
 #: Vectors of a tree: at least the first, at most the second (some 70 MB with 64 components), with 64 trees in between.
 TREE_ROWS, MOST_TREE_ROWS, TREES = 8192, 65_536, 64
 BLOCK_ROWS = 4096
-PAGE = 64
+PAGE = 128
 FANOUT = 16
 EPS = 1e-6
 #: Scores times entries below this are exact in doubles and fit keys of 64 bits.
