@@ -374,8 +374,24 @@ def href_extract_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hrefs.join(found, F.ltrim(F.col("href"), F.lit("/")) == F.col("path"), "left").groupBy("src_id", "href", "resolved_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _unescaped(column: str) -> str:
+    """SQL for the references that the pages hold; SQL has no general way."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):  # the last must be last
+        column = f"regexp_replace({column}, '&{name};?', '{sign}', 'g')"
+    return column
+
+
+@query(rf"""
+WITH parts AS (
+  SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h,
+    regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)(<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>)+', chr(10), 'g') AS t FROM pages
+), plain AS (SELECT page_id, trim({_unescaped("h")}) AS header, {_unescaped("t")} AS t FROM parts),
+tidy AS (
+  SELECT page_id, header, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), e' \t\n\x0b\x0c\r') AS text FROM plain
+)
+SELECT row_number() OVER (ORDER BY page_id) AS id, 'web/' || page_id AS docname, header, header AS breadcrumb, text FROM tidy WHERE text <> ''
+""")
 def html_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: SQL has no HTML parser; tests hold the parser against pages of known text."""
+    """Pages without sections, one section each: all their text."""
     pages = table(spark, sf_dir, "pages").select(F.array(F.format_string("%012d", "page_id")).alias("file_key"), F.lit("web").alias("docset"), F.concat(F.lit("web/"), F.col("page_id").cast("string")).alias("docname"), F.encode("html", "utf-8").alias("content"))
     return parsing.number(parsing.parse_pages(pages)).select("id", "docname", "header", "breadcrumb", "text")
