@@ -224,8 +224,17 @@ def ids_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", tx.id_text(corpus, local, False).alias("own"), tx.id_text(corpus, local, True).alias("federated"), tx.citation(F.col("path"), F.col("anchor"), F.col("low"), F.col("high")).alias("cited"))
 
 
-@query("SELECT doc_id AS id, 64 AS dim FROM documents")
+@query(f"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, {tx.EMBED_CHARS})), '[^\\s]+')) AS w FROM documents),
+places AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM words),
+sums AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM places GROUP BY ALL HAVING n <> 0)
+SELECT doc_id AS id, 64 AS dim, coalesce(string_agg(CASE WHEN n > 0 THEN '+' ELSE '-' END || i, ' ' ORDER BY i), '') AS signs, CAST(count(i) > 0 AS INT) AS length
+FROM documents LEFT JOIN sums USING (doc_id) GROUP BY doc_id
+""")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plug-in with the hashing stand-in: every text gets one vector of the right size."""
+    """The plug-in with the hashing stand-in: the size of every text's vector, the signs of its components that aren't 0, and its length."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, tx.EMBED_CHARS).alias("text"))
-    return embed.embed_texts(texts, embed.HashingEmbedder).select("id", F.size("embedding").alias("dim"))
+    vectors = embed.embed_texts(texts, embed.HashingEmbedder)
+    signs = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, F.concat(F.lit("+"), i)).when(x < 0, F.concat(F.lit("-"), i))), lambda s: s.isNotNull())
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    return vectors.select("id", F.size("embedding").alias("dim"), F.array_join(signs, " ").alias("signs"), F.round(F.sqrt(squares)).cast("int").alias("length"))

@@ -8,7 +8,7 @@ each, when the first batch comes.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -37,7 +37,7 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode("utf-8", "replace"))
+                h = int.from_bytes(hashlib.md5(word.encode("utf-8", "replace")).digest()[:4], "big")
                 row[h % self.dim] += 1 if h >> 31 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
