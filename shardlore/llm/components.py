@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_shuffles, staged
 
 #: Edges that a task reduces, about (some 200 MB).
 FOREST = 1_000_000
@@ -78,7 +78,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     share = edges.count() // HUBS
     least = staged(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u")), "star-least")
     hubs = F.broadcast(least.filter(F.col("n") > share).select("u", "m"))  # at most HUBS rows
-    moved = edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= share).select("u", "m"), "u"))
+    moved = edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= share).select("u", "m").hint("merge"), "u"))
     if large:
         return moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = moved.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -107,6 +107,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or now[0] == 0:
             break
         mark = now
+        free_shuffles(edges.sparkSession)  # and the rounds' broadcast hubs
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))

@@ -73,6 +73,25 @@ def test_unfinished_groups_are_completed(spark, monkeypatch):
     assert seen
 
 
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """Whatever the size of the tables: what grows with the corpus must not pass the driver."""
+    plans = []
+
+    def spied(original):
+        return lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or original(df, *a, **k)
+
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(mh, "staged", spied(mh.staged))
+    out = mh.near_duplicates(docs, bands=60, rows=1, block=10).filter("doc_id is not null")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, out.collect())) == brute(rows)
+    stage = mh.dedup_stage(spark, docs, "")
+    plans.append(stage._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum("SortMergeJoin" in p for p in plans) >= 8
+
+
 def test_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert mh.near_duplicates(empty).count() == 0
