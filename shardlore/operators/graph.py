@@ -125,7 +125,7 @@ def related(links: DataFrame, sections: DataFrame, asked: DataFrame, limit: int
     rows = out.filter("resolved_id is not null").select("asked_id", F.lit("out").alias("direction"), "edge", "kind", "target_raw", F.col("resolved_id").alias("other"))
     rows = rows.union(into.select("asked_id", F.lit("in").alias("direction"), "edge", "kind", "target_raw", F.col("src_id").alias("other")))
     rows = rows.union(out.filter("resolved_id is null").select("asked_id", F.lit("unresolved").alias("direction"), "edge", "kind", "target_raw", F.lit(None).cast("long").alias("other")))
-    pos = F.row_number().over(Window.partitionBy("asked_id", "direction").orderBy("edge"))
+    pos = F.row_number().over(Window.partitionBy("asked_id", "direction").orderBy("edge", "target_raw", "other"))  # a total order, should edges share a number
     rows = rows.withColumn("pos", pos).filter(F.col("pos") <= limit).drop("edge")
     known = sections.select(F.col("id").alias("sid"), *[c for c in sections.columns if c not in ("id", "text", "kind")])
     rows = rows.join(known, F.col("other") == F.col("sid"), "left")

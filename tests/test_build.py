@@ -180,3 +180,12 @@ def test_neighbours_of_many_queries_go_by_blocks(spark):
     few, many = (sorted(map(tuple, knn.nearest_batch(vectors, queries, 7, block).collect())) for block in (2048, 20))
     assert few == many and len(few) == 90 * 2 * 7
     assert knn.nearest_batch(vectors, queries.limit(0)).count() == 0
+
+
+def test_related_has_one_order_for_edges_of_one_number(spark):
+    nodes = spark.createDataFrame([(1,)], "id long")
+    rows = [(1, "ref", f"t{k:02d}", None, 7) for k in range(30)]
+    for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        links = spark.createDataFrame(order, "src_id long, kind string, target_raw string, resolved_id long, edge long").coalesce(1)
+        got = graph.related(links, nodes, nodes, 20).orderBy("pos").collect()
+        assert [r.target_raw for r in got] == [f"t{k:02d}" for k in range(20)]
