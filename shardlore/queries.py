@@ -79,8 +79,7 @@ BENCHMARK = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 
 
 def ranked(sections: DataFrame, queries: DataFrame) -> DataFrame:
-    columns = ("text",)
-    return bm25.bm25(queries, bm25.occurrences(sections, columns), bm25.corpus_stats(sections, columns))
+    return bm25.bm25_texts(queries, sections, ("text",))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
