@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +55,18 @@ def _instance(factory: Callable[[], Embedder]) -> Embedder:
 def embed_texts(texts: DataFrame, factory: Callable[[], Embedder], batch: int = BATCH) -> DataFrame:
     """(id, text) -> (id, embedding). Texts of like length share a batch, so padding is small; ids make a restore step needless."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             model = _instance(factory)
-            for k in range(0, len(part), batch):
-                piece = part.iloc[k : k + batch]
-                yield pd.DataFrame({"id": piece["id"], "embedding": list(np.asarray(model.embed(piece["text"].fillna("").tolist()), np.float32))})
-
-    sized = texts.select("id", "text", F.char_length(F.coalesce("text", F.lit(""))).alias("len"))
-    return sized.repartitionByRange(F.col("len")).sortWithinPartitions("len").select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+            for k in range(0, part.num_rows, batch):
+                piece = part.slice(k, batch)
+                made = np.asarray(model.embed([t or "" for t in piece.column("text").to_pylist()]), np.float32)
+                ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], ["id", "embedding"])
+
+    # by id as well: texts of one length, such as those cut at the most, are many ranges
+    sized = texts.select(F.col("id").cast("long").alias("id"), "text", F.char_length(F.coalesce("text", F.lit(""))).alias("len"))
+    return sized.repartitionByRange("len", "id").sortWithinPartitions("len").select("id", "text").mapInArrow(run, "id long, embedding array<float>")
 
 
 def embed_query(text: str, factory: Callable[[], Embedder]) -> list[float]:

@@ -189,3 +189,31 @@ def test_related_has_one_order_for_edges_of_one_number(spark):
         links = spark.createDataFrame(order, "src_id long, kind string, target_raw string, resolved_id long, edge long").coalesce(1)
         got = graph.related(links, nodes, nodes, 20).orderBy("pos").collect()
         assert [r.target_raw for r in got] == [f"t{k:02d}" for k in range(20)]
+
+
+def test_texts_of_one_length_are_dealt(spark):
+    # many texts are cut to the same length: they may not all go to one task
+    texts = spark.range(4000).select("id", F.lit("word " * 20).alias("text"))
+    out = embed_texts(texts, HashingEmbedder).select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2500
+
+
+def test_parsed_in_small_pieces():
+    # what a worker holds is bounded by a few files, not by an Arrow batch
+    import pyarrow as pa
+
+    from shardlore.operators import parsing
+
+    class Files:
+        def mapInArrow(self, run, kind):
+            return run
+
+    run = parsing._parsed(Files(), lambda f: iter([([f.rel], 0, "r", f.rel, "", "", "", 1, 1, "t", [], [], "", "rst", False)]))
+    batch = pa.RecordBatch.from_pydict({"rel": [f"f{k}" for k in range(1000)]})
+    made = list(run(iter([batch])))
+    assert max(b.num_rows for b in made) <= 64 and sum((b.column("file_path").to_pylist() for b in made), []) == [f"f{k}" for k in range(1000)]
