@@ -1,17 +1,18 @@
 """Parsers as Spark operators, and ids for what they yield.
 
-One file is one row; the parsers run in mapInPandas batches, so a file is never
-split and the driver holds none.  Ids are 1..N in file-then-section order: a
+One file is one row; the parsers run in mapInArrow batches, ``FILES`` files at a
+time, so a file is never split and neither the driver nor a worker holds many.  Ids are 1..N in file-then-section order: a
 prefix sum over one row per file, not over the sections.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.html_tree import split_html
 from ..functions.parse import Section, WINDOW_LINES, WINDOW_OVERLAP, split_code, split_prose
@@ -19,34 +20,37 @@ from ..schema import PARSED
 from ..sources.scratch import written
 from ..sources.trees import decode
 
+#: Files that are parsed at once.
+FILES = 64
+
 
 def _rows(file_key: list[str], sections: list[Section], kind: str, fell_back: bool = False) -> Iterator[tuple]:
     for k, s in enumerate(sections):
         yield list(file_key), k, s.repo, s.file_path, s.anchor, s.breadcrumb, s.header, s.line_start, s.line_end, s.text, s.all_anchors, s.raw_links, s.docname, kind, fell_back
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=PARSED.names)
+def _parsed(files: DataFrame, parse: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
+    """The rows that parse makes of each file. What is made of a few files is handed on before the next."""
+    kind = to_arrow_schema(PARSED)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, FILES):
+                rows = [r for f in batch.slice(k, FILES).to_pandas().itertuples(index=False) for r in parse(f)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
-def parse_prose(files: DataFrame) -> DataFrame:
-    """(file_key, repo, rel, content) -> sections of RST and Markdown."""
+    return files.mapInArrow(run, PARSED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _frame([r for f in batch.itertuples(index=False) for r in _rows(f.file_key, split_prose(f.text, f.repo, f.rel), "rst")])
 
-    return files.select("file_key", "repo", "rel", decode(F.col("content")).alias("text")).mapInPandas(run, PARSED)
+def parse_prose(files: DataFrame) -> DataFrame:
+    """(file_key, repo, rel, content) -> sections of RST and Markdown."""
+    return _parsed(files.select("file_key", "repo", "rel", decode(F.col("content")).alias("text")), lambda f: _rows(f.file_key, split_prose(f.text, f.repo, f.rel), "rst"))
 
 
 def parse_pages(files: DataFrame) -> DataFrame:
     """(file_key, docset, docname, content) -> sections of rendered pages."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _frame([r for f in batch.itertuples(index=False) for r in _rows(f.file_key, split_html(f.text or "", f.docset, f.docname), "html")])
-
-    return files.select("file_key", "docset", "docname", decode(F.col("content")).alias("text")).mapInPandas(run, PARSED)
+    return _parsed(files.select("file_key", "docset", "docname", decode(F.col("content")).alias("text")), lambda f: _rows(f.file_key, split_html(f.text or "", f.docset, f.docname), "html"))
 
 
 def parse_code(files: DataFrame, granularity: str = "symbol") -> DataFrame:
@@ -54,15 +58,11 @@ def parse_code(files: DataFrame, granularity: str = "symbol") -> DataFrame:
     if granularity not in ("symbol", "file"):
         raise ValueError(f"granularity is symbol or file, not {granularity}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for f in batch.itertuples(index=False):
-                found, fell_back = split_code(f.text, f.repo, f.rel, "file" if granularity == "file" else f.lang)
-                rows += _rows(f.file_key, found, "code", fell_back and granularity == "symbol")
-            yield _frame(rows)
+    def parse(f: tuple) -> Iterator[tuple]:
+        found, fell_back = split_code(f.text, f.repo, f.rel, "file" if granularity == "file" else f.lang)
+        return _rows(f.file_key, found, "code", fell_back and granularity == "symbol")
 
-    return files.select("file_key", "repo", "rel", "lang", decode(F.col("content")).alias("text")).mapInPandas(run, PARSED)
+    return _parsed(files.select("file_key", "repo", "rel", "lang", decode(F.col("content")).alias("text")), parse)
 
 
 def number(parsed: DataFrame, first: int = 1) -> DataFrame:
