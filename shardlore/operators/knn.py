@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 DEPTH = 50
 #: Queries of a block, and vectors of a block that meets them.
 BLOCK, VECTOR_BLOCK = 2048, 4096
+#: Queries whose distances are in memory at once.
+ROWS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,11 +38,23 @@ def nearest(vectors: DataFrame, query: list[float], depth: int = DEPTH) -> DataF
 
 
 def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, corpus: str, depth: int) -> pd.DataFrame:
-    """The best of one block of vectors for each of a block of queries."""
+    """The best of one block of vectors for each of a block of queries. Only what reaches a query's depth-th distance is sorted."""
     q, v = q / np.linalg.norm(q, axis=1, keepdims=True), v / np.linalg.norm(v, axis=1, keepdims=True)
-    d = np.abs(np.round(1 - q @ v.T, 6))
-    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :depth]
-    return pd.DataFrame({"qid": np.repeat(qids, order.shape[1]), "corpus": corpus, "id": ids[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+    rows, columns, near = [], [], []
+    for first in range(0, len(q), ROWS):
+        d = np.abs(np.round(1 - q[first : first + ROWS] @ v.T, 6))
+        last = np.partition(d, depth - 1, axis=1)[:, depth - 1 : depth] if d.shape[1] > depth else np.full((len(d), 1), np.nan)
+        # not greater, so that ties and distances that are no numbers stay for the sort
+        row, column = np.nonzero(~(d > last))
+        rows.append(row + first)
+        columns.append(column)
+        near.append(d[row, column])
+    row, column, d = (np.concatenate(x) for x in (rows, columns, near)) if rows else (np.zeros(0, int),) * 3
+    order = np.lexsort((ids[column], d, row))
+    row, column, d = row[order], column[order], d[order]
+    heads = np.searchsorted(row, row)  # where each row's entries begin
+    kept = np.arange(len(row)) - heads < depth
+    return pd.DataFrame({"qid": qids[row[kept]], "corpus": corpus, "id": ids[column[kept]], "distance": d[kept]})
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
